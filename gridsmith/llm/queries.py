@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from gridsmith.llm.common import table
+from gridsmith.llm.pii import pii_report
 from gridsmith.llm.secrets import secrets_report, secrets_sql
 
 
@@ -10,8 +11,13 @@ def op6_secret_scans(spark, sf_dir):
     return secrets_report(table(spark, sf_dir, "documents"))
 
 
+def op7_pii(spark, sf_dir):
+    return pii_report(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op6_secret_scans": op6_secret_scans,
+    "op7_pii": op7_pii,
 }
 
 SQL = {
