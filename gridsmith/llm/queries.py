@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from gridsmith.llm.common import table
+from gridsmith.llm.licenses import scan_licenses
 from gridsmith.llm.pii import pii_report
 from gridsmith.llm.secrets import secrets_report, secrets_sql
+from gridsmith.llm.toxicity import score_toxicity
 
 
 def op6_secret_scans(spark, sf_dir):
@@ -15,9 +17,19 @@ def op7_pii(spark, sf_dir):
     return pii_report(table(spark, sf_dir, "documents"))
 
 
+def op9_license_scans(spark, sf_dir):
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
+def op10_toxicity(spark, sf_dir):
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op6_secret_scans": op6_secret_scans,
     "op7_pii": op7_pii,
+    "op9_license_scans": op9_license_scans,
+    "op10_toxicity": op10_toxicity,
 }
 
 SQL = {
