@@ -4,11 +4,16 @@ from __future__ import annotations
 
 from gridsmith.llm.common import table
 from gridsmith.llm.licenses import scan_licenses
+from gridsmith.llm.packing import pack
 from gridsmith.llm.pii import pii_report
 from gridsmith.llm.secrets import secrets_report, secrets_sql
 from gridsmith.llm.toxicity import score_toxicity
 
 
+def op4_packing(spark, sf_dir):
+    return pack(table(spark, sf_dir, "documents"))
+
+
 def op6_secret_scans(spark, sf_dir):
     return secrets_report(table(spark, sf_dir, "documents"))
 
@@ -26,6 +31,7 @@ def op10_toxicity(spark, sf_dir):
 
 
 QUERIES = {
+    "op4_packing": op4_packing,
     "op6_secret_scans": op6_secret_scans,
     "op7_pii": op7_pii,
     "op9_license_scans": op9_license_scans,
