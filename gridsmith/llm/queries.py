@@ -4,12 +4,17 @@ from __future__ import annotations
 
 from gridsmith.llm.common import table
 from gridsmith.llm.licenses import scan_licenses
+from gridsmith.llm.lm import score_documents
 from gridsmith.llm.packing import pack
 from gridsmith.llm.pii import pii_report
 from gridsmith.llm.secrets import secrets_report, secrets_sql
 from gridsmith.llm.toxicity import score_toxicity
 
 
+def op2_lm_scoring(spark, sf_dir):
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
 def op4_packing(spark, sf_dir):
     return pack(table(spark, sf_dir, "documents"))
 
@@ -31,6 +36,7 @@ def op10_toxicity(spark, sf_dir):
 
 
 QUERIES = {
+    "op2_lm_scoring": op2_lm_scoring,
     "op4_packing": op4_packing,
     "op6_secret_scans": op6_secret_scans,
     "op7_pii": op7_pii,
