@@ -8,6 +8,7 @@ from gridsmith.llm.lm import score_documents
 from gridsmith.llm.packing import pack
 from gridsmith.llm.pii import pii_report
 from gridsmith.llm.secrets import secrets_report, secrets_sql
+from gridsmith.llm.topk import top_k, top_k_sql
 from gridsmith.llm.toxicity import score_toxicity
 
 
@@ -19,6 +20,11 @@ def op4_packing(spark, sf_dir):
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op5_top_k(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings")
+    return top_k(vectors, vectors.where("vec_id % 50 = 0"))
+
+
 def op6_secret_scans(spark, sf_dir):
     return secrets_report(table(spark, sf_dir, "documents"))
 
@@ -38,6 +44,7 @@ def op10_toxicity(spark, sf_dir):
 QUERIES = {
     "op2_lm_scoring": op2_lm_scoring,
     "op4_packing": op4_packing,
+    "op5_top_k": op5_top_k,
     "op6_secret_scans": op6_secret_scans,
     "op7_pii": op7_pii,
     "op9_license_scans": op9_license_scans,
@@ -45,5 +52,6 @@ QUERIES = {
 }
 
 SQL = {
+    "op5_top_k": top_k_sql(),
     "op6_secret_scans": secrets_sql(),
 }
