@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from gridsmith.llm.common import table
+from gridsmith.llm.decontaminate import contaminated
 from gridsmith.llm.licenses import scan_licenses
 from gridsmith.llm.lm import score_documents
 from gridsmith.llm.packing import pack
@@ -16,6 +17,10 @@ def op2_lm_scoring(spark, sf_dir):
     return score_documents(table(spark, sf_dir, "documents"))
 
 
+def op3_decontamination(spark, sf_dir):
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_packing(spark, sf_dir):
     return pack(table(spark, sf_dir, "documents"))
 
@@ -43,6 +48,7 @@ def op10_toxicity(spark, sf_dir):
 
 QUERIES = {
     "op2_lm_scoring": op2_lm_scoring,
+    "op3_decontamination": op3_decontamination,
     "op4_packing": op4_packing,
     "op5_top_k": op5_top_k,
     "op6_secret_scans": op6_secret_scans,
