@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from gridsmith.llm.common import table
 from gridsmith.llm.decontaminate import contaminated
+from gridsmith.llm.jaccard import jaccard_components
 from gridsmith.llm.licenses import scan_licenses
 from gridsmith.llm.lm import score_documents
 from gridsmith.llm.packing import pack
@@ -38,6 +39,10 @@ def op7_pii(spark, sf_dir):
     return pii_report(table(spark, sf_dir, "documents"))
 
 
+def op8_jaccard_join(spark, sf_dir):
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op9_license_scans(spark, sf_dir):
     return scan_licenses(table(spark, sf_dir, "documents"))
 
@@ -53,6 +58,7 @@ QUERIES = {
     "op5_top_k": op5_top_k,
     "op6_secret_scans": op6_secret_scans,
     "op7_pii": op7_pii,
+    "op8_jaccard_join": op8_jaccard_join,
     "op9_license_scans": op9_license_scans,
     "op10_toxicity": op10_toxicity,
 }
