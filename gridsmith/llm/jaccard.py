@@ -162,7 +162,7 @@ def prefixes(frame: DataFrame, order: tuple[np.ndarray, np.ndarray], columns: in
         value, ids, extra, bucket = value[by], ids[by], extra[by], bucket[by]
         cuts = np.flatnonzero(np.diff(bucket, prepend=-1)) if len(bucket) else np.zeros(0, int)
         rows = []
-        for a, b in zip(cuts, [*cuts[1:], len(bucket)], strict=True):
+        for a, b in zip(cuts, np.append(cuts[1:], len(bucket))[: len(cuts)], strict=True):
             rows.append((int(bucket[a]), value[a:b].tobytes(), zlib.compress(np.diff(ids[a:b], prepend=0).astype("<i8").tobytes(), 1), zlib.compress(extra[a:b].tobytes(), 1)))
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.binary(), pa.binary(), pa.binary()))], ["bucket", "grams", "ids", "extras"])
 
