@@ -10,10 +10,15 @@ from gridsmith.llm.lm import score_documents
 from gridsmith.llm.packing import pack
 from gridsmith.llm.pii import pii_report
 from gridsmith.llm.secrets import secrets_report, secrets_sql
+from gridsmith.llm.suffixes import remove_repeats
 from gridsmith.llm.topk import top_k, top_k_sql
 from gridsmith.llm.toxicity import score_toxicity
 
 
+def op1_suffix_dedup(spark, sf_dir):
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op2_lm_scoring(spark, sf_dir):
     return score_documents(table(spark, sf_dir, "documents"))
 
@@ -52,6 +57,7 @@ def op10_toxicity(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op2_lm_scoring": op2_lm_scoring,
     "op3_decontamination": op3_decontamination,
     "op4_packing": op4_packing,
