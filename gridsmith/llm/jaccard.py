@@ -281,3 +281,14 @@ def jaccard_components(docs: DataFrame, block_ngrams: int = BLOCK_NGRAMS) -> Dat
     out = sets.join(by_set, ["hi", "lo"], "left")
     own = F.when(F.col("doc_id").isNull(), F.lit(None)).when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), own.cast("long").alias("component_id"))
+
+
+def keep_one_of_each(docs: DataFrame) -> DataFrame:
+    """Of every component the document with the smallest doc_id, with all its columns, once; rows without doc_id stay.
+
+    The join and the removal of repeated rows share one shuffle by doc_id.
+    """
+    found = jaccard_components(docs)
+    kept = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id")
+    one = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    return one.unionByName(docs.where(F.col("doc_id").isNull()))
