@@ -38,3 +38,10 @@ def bucket_of(column: Column, mod: int) -> Column:
 
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def even_keys(spark: SparkSession) -> list[int]:
+    """As many numbers as there are shuffle partitions, each of which a shuffle by its int value deals to another one: as keys of equal work they fill every partition once."""
+    width = shuffle_width(spark)
+    dealt = spark.range(width * 24 + 64).select(F.col("id"), F.pmod(F.hash(F.col("id").cast("int")), F.lit(width)).alias("to"))
+    return [r["key"] for r in dealt.groupBy("to").agg(F.min("id").alias("key")).orderBy("to").collect()]

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridsmith.llm.common import cut, id_and_text, shuffle_width
+from gridsmith.llm.common import cut, even_keys, id_and_text, shuffle_width
 
 WINDOW = 100
 GRAM = 32
@@ -215,7 +215,7 @@ _ENTRY_KINDS = [pa.int32(), *[_BIN] * 6, pa.int32(), pa.bool_()]
 _PLACE_NAMES, _PLACE_KINDS = ["part", "open", "docs", "places", "many", "offsets"], [pa.int32(), pa.bool_(), *[_BIN] * 4]
 
 
-def _shards(parts: int, buckets: int):
+def _shards(parts: int, keys: list[int]):
     """A task's own family. Rows with a bucket are entries for it; rows with a part are places already known to be copies."""
     names = ["bucket", "keys", "marks", "docs", "places", "many", "offsets", "part", "open"]
 
@@ -224,7 +224,7 @@ def _shards(parts: int, buckets: int):
         left, gone = family.close(), family.removed()
         if left is not None:
             key, mark, doc, place, many, offset = left
-            bucket = (key % _U(buckets)).astype(np.int64)
+            bucket = np.array(keys, np.int64)[(key % _U(len(keys))).astype(np.int64)]
             order = np.lexsort((place, doc, bucket))
             key, mark, doc, place, many, offset, bucket = (x[order] for x in (key, mark, doc, place, many, offset, bucket))
             rows += [(b, key[s].tobytes(), mark[s].tobytes(), _steps(doc[s]), _steps(place[s]), _squeeze(many[s].astype("<i8")), _squeeze(offset[s].astype("u1")), None, None) for b, s in _split(bucket)]
@@ -285,7 +285,7 @@ def _meet(parts: int):
     return run
 
 
-def _fetch(buckets: int):
+def _fetch(keys: list[int]):
     """The bytes that open runs of a part span, for the buckets of their grams."""
 
     def run(texts: pa.Table, wanted: pa.Table) -> pa.Table:
@@ -303,7 +303,7 @@ def _fetch(buckets: int):
         rows = []
         if docs:
             key = gram_hashes(b"".join(grams))[::GRAM]
-            bucket = (key % _U(buckets)).astype(np.int64)
+            bucket = np.array(keys, np.int64)[(key % _U(len(keys))).astype(np.int64)]
             order = np.argsort(bucket, kind="stable")
             docs, places, many = (np.array(x, np.int64)[order] for x in (docs, places, many))
             for b, s in _split(bucket[order]):
@@ -380,14 +380,16 @@ def _report(texts: pa.Table, removed: pa.Table) -> pa.Table:
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256, one row a document: the rows that op1 returns."""
-    parts = buckets = 3 * max(shuffle_width(docs.sparkSession), docs.rdd.getNumPartitions()) + 1
+    # A task sends each bucket one row, and a bucket each part: the buckets are as many as the shuffle's partitions, the parts a few times that.
+    keys = even_keys(docs.sparkSession)
+    parts = max(3 * shuffle_width(docs.sparkSession), docs.rdd.getNumPartitions()) + 1
     frame = id_and_text(docs).withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID)))
-    local = frame.mapInArrow(_shards(parts, buckets), f"{ENTRIES}, part int, open boolean")
+    local = frame.mapInArrow(_shards(parts, keys), f"{ENTRIES}, part int, open boolean")
     # Rows that are settled already go to a bucket of their own by part, so that the texts are indexed once.
     met = local.withColumn("bucket", F.coalesce("bucket", -1 - F.col("part"))).groupBy("bucket").applyInArrow(_meet(parts), PLACES)
     known = cut(met)
     dealt = frame.withColumn("part", F.pmod("doc_id", F.lit(parts)).cast("int"))
-    spans = dealt.groupBy("part").cogroup(known.where("open").groupBy("part")).applyInArrow(_fetch(buckets), "bucket int, docs binary, places binary, many binary, spans binary")
+    spans = dealt.groupBy("part").cogroup(known.where("open").groupBy("part")).applyInArrow(_fetch(keys), "bucket int, docs binary, places binary, many binary, spans binary")
     settled = spans.groupBy("bucket").applyInArrow(_settle(parts), PLACES)
     removed = known.where("NOT open").unionByName(settled)
     return dealt.groupBy("part").cogroup(removed.groupBy("part")).applyInArrow(_report, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
