@@ -86,7 +86,8 @@ def stretch(x: Column, low: Column, high: Column) -> Column:
     """low..high to 0..255, cut off at both ends and truncated; what isn't finite gives 0, and equal ends are drawn apart by 1e-6."""
     top = F.when(high <= low, low + 1e-6).otherwise(high)
     share = F.try_divide(finite(x) - low, top - low)
-    return F.coalesce((F.greatest(F.lit(0.0), F.least(F.lit(1.0), share)) * 255).cast("int"), F.lit(0))
+    # greatest and least skip nulls, so these are kept out first.
+    return F.when(share.isNull(), 0).otherwise((F.greatest(F.lit(0.0), F.least(F.lit(1.0), share)) * 255).cast("int"))
 
 
 def bin_of(x: Column, low: Column, high: Column, bins: int) -> Column:

@@ -53,12 +53,14 @@ def read_features(spark: SparkSession, paths: str | Sequence[str], sep: str = "
     """Polygon and multipolygon features of GeoJSON files, with the part of the file name after sep as municipio."""
     shape = "features array<struct<properties:struct<variedade:string,area:double>,geometry:struct<type:string,coordinates:string>>>"
     read = spark.read.schema(shape).option("multiLine", True).json(paths if isinstance(paths, str) else sorted(set(paths)))
-    named = read.select(F.explode("features").alias("f"), F.element_at(F.split(F.regexp_replace(F.col("_metadata.file_name"), r"\.(geo)?json$", ""), sep), -1).alias("municipio"))
+    # The name comes as in a URL.
+    name = F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B")))
+    named = read.select(F.explode("features").alias("f"), F.element_at(F.split(F.regexp_replace(name, r"\.(geo)?json$", ""), sep), -1).alias("municipio"))
     one = F.from_json("f.geometry.coordinates", "array<array<array<double>>>")
     many = F.from_json("f.geometry.coordinates", "array<array<array<array<double>>>>")
     rings = F.when(F.col("f.geometry.type") == "Polygon", one).when(F.col("f.geometry.type") == "MultiPolygon", F.flatten(many))
     points = F.transform(rings, lambda ring: F.transform(ring, lambda p: F.struct(p[0].alias("x"), p[1].alias("y"))))
-    out = named.select(F.url_decode(F.replace(F.col("municipio"), F.lit("+"), F.lit("%2B"))).alias("municipio"), F.col("f.properties.variedade").alias("variedade"), F.col("f.properties.area").alias("area"), points.alias("rings"))
+    out = named.select("municipio", F.col("f.properties.variedade").alias("variedade"), F.col("f.properties.area").alias("area"), points.alias("rings"))
     assert [c.split()[0] for c in FEATURES.split(", ")] == out.columns
     return out
 
