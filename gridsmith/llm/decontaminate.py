@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridsmith.llm.common import id_and_text
+from gridsmith.llm.common import id_and_text, small_batches
 
 MATCH = 5
 COVERAGE = 0.5
@@ -165,6 +165,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The documents that cover no item enough, with all their columns: a pass a block, without a join."""
+    small_batches(docs.sparkSession)
     at = docs.columns.index("text")
     for items in blocks_of(benchmark, block_bytes):
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridsmith.llm.common import bucket_of, cut, id_and_text
+from gridsmith.llm.common import bucket_of, cut, id_and_text, small_batches
 
 SAMPLE = 12_000
 LEARNED = 200
@@ -73,7 +73,8 @@ def features(text: str, learned: frozenset[str]) -> list[float]:
     masked = sum(counts[w] for w in [*odd, *long] if any(u in _SEED or u in learned for u in unmasked(w)))
     single = sum(c for w, c in counts.items() if len(w) == 1) > 3 or any(len(w) > 6 and DOTTED.search(w) for w in odd)
     spaced = SPACED.findall(text) if single else []
-    apart = sum(1 for m in spaced if (u := re.sub(r"[\W_]", "", m).lower()) in _SEED or u in learned)
+    # A word of one letter may stand before or after the letters of a spaced one.
+    apart = sum(1 for m in spaced if (u := re.sub(r"[\W_]", "", m).lower()) and any(v in _SEED or v in learned for v in (u, u[1:], u[:-1], u[1:-1])))
     near = 0
     if bad:
         marks = [i for i, w in enumerate(words) if w in _SEED or w in learned]
@@ -243,6 +244,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> ToxicMode
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("doc_id", "fold", "toxic")] + [pa.array(values, pa.list_(pa.float64()))], ["doc_id", "fold", "toxic", "x"])
 
     got = sorted(rows.mapInArrow(all_features, "doc_id long, fold int, toxic int, x array<double>").toLocalIterator(), key=lambda r: (r["doc_id"], list(r["x"])))
+    if not got:
+        return ToxicModel(frozenset(), None, None, 0.0)
     x = np.array([r["x"] for r in got], float).reshape(len(got), FOLDS + 1, -1).swapaxes(0, 1)
     return fit(x, np.array([r["toxic"] for r in got], float), np.array([r["fold"] for r in got], int), lexicons[-1])
 
@@ -270,6 +273,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents whose score is below THRESHOLD, with all their columns: one pass, without a join back."""
     model = train(docs, labels)
+    small_batches(docs.sparkSession)
     schema = docs.schema
     at = docs.columns.index("text")
 

@@ -51,7 +51,7 @@ def test_secrets_hold_the_base_and_more(frame):
         assert r.doc_id == i and (r.n_assign, r.n_access, r.n_hex) == tuple(sum(k == x for _, k, _ in base) for x in range(3))
         assert r.base_sha256 == hashlib.sha256(digest(base, kinds).encode()).hexdigest()
         if i == 6:
-            assert [s.split(":")[0] for s in r.spans.split(",")] == ["pem", "vcs_token", "chat_token"]
+            assert [s.split(":")[0] for s in r.spans.split(",")] == ["pem", "vcs_token", "hex", "chat_token"]
         elif i < 6:
             assert r.spans == digest(base, kinds)
 
