@@ -1,19 +1,20 @@
 """N-gram Jaccard join by a blocked sparse product of documents and n-grams.
 
 1. One pass gives each document its set's size and 128-bit digest, and counts
-   n-grams that a task sees often, to order n-grams from rare to common. Any
+   n-grams that a task sees repeatedly, to order n-grams from rare to common. Any
    order gives exact results; this one keeps lists short.
 2. The incidence matrix is cut into blocks: rows by task, columns by the
    n-gram's hash. From each distinct set a task sends the first
-   n - ceil(3n/4) + slack(n) n-grams, rare ones first. Sets that link have at
-   least min(slack) of these in common. A column block lays equal n-grams side
-   by side and accumulates overlap counts of pairs; pairs that stay below their
-   bound are discarded. An n-gram that many sets hold ties them to one hub
-   instead of making pairs, so its rows grow as the list does.
+   n - ceil(3n/4) + slack(n) n-grams, rare ones first. Sizes alone bound how
+   many of these two sets that link have in common (see `needed`). A column
+   block lays equal n-grams side by side and accumulates overlap counts of
+   pairs; pairs that stay below their bound are discarded. An n-gram that many
+   sets hold ties them to one hub instead of making pairs, so its rows grow as
+   the list does.
 3. The components of what is left are exact supersets of the result's. Their
-   documents meet in blocks of bounded size (large ones in pairs of blocks), and
-   a sparse product of full rows, in BFS order against documents not yet
-   reached, gives the exact overlaps. Links found become components.
+   documents meet in blocks of bounded size (see `_links`), and a sparse product
+   of full rows, in BFS order against documents not yet reached, gives the exact
+   overlaps. Links found become components.
 
 Sets with equal digests are one vertex, wherever they lie, so exact copies cost
 one row a task.
@@ -35,33 +36,54 @@ from hashlib import blake2b
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridsmith.llm.common import cut, id_and_text, shuffle_width
+from gridsmith.llm.common import cut, even_keys, id_and_text
 from gridsmith.llm.graph import components, forest
 
 N = 5
 #: Links: 100 * intersection >= PERCENT * union.
 PERCENT = 75
 #: Lists up to this long make pairs, longer ones a star around a hub.
-PAIRS = 8
-ORDERED = 100_000
-BLOCK_NGRAMS = 4_000_000
-_CHUNK = 400_000
+PAIRS = 32
+ORDERED = 1_000_000
+#: N-grams of a block: small ones where few sets are left to compare, so that no task holds much of a large group, and at most the larger number.
+BLOCK_NGRAMS = 20_000, 1_000_000
+#: Ids up to this many (of some 40 bytes) are broadcast to the texts; more of them are joined by a shuffle.
+BROADCAST_ROWS = 100_000
+#: Characters of text whose words are held at once.
+_CHUNK = 2_000_000
+#: N-grams whose counts a task gathers before it reports them.
+_HELD = 6_000_000
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 1_000_000:
+        if len(self) >= 250_000:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value
 
 
 def slack(n: np.ndarray) -> np.ndarray:
-    return np.minimum(1 + n // 30, 250)
+    return 1 + n // 20
+
+
+def prefix_length(n: np.ndarray) -> np.ndarray:
+    return np.minimum(n, n - -(-PERCENT * n // 100) + slack(n))
+
+
+def needed(n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """How many n-grams of both prefixes two sets of these sizes share at least if they link.
+
+    They share all told at least PERCENT / (100 + PERCENT) of n + m. Of the set
+    whose prefix ends first in the common order, every shared n-gram in the
+    prefix is in the other's too; the others are among the rest of that set.
+    """
+    overlap = -(-PERCENT * (n + m) // (100 + PERCENT))
+    return np.maximum(1, overlap - np.maximum(n - prefix_length(n), m - prefix_length(m)))
 
 
 def shingle_sets(texts: list[str], hashes: _Hashes) -> tuple[np.ndarray, np.ndarray]:
@@ -87,49 +109,56 @@ def shingle_sets(texts: list[str], hashes: _Hashes) -> tuple[np.ndarray, np.ndar
     return np.bincount(doc[keep], minlength=len(texts)), value[keep]
 
 
-def _chunks(batch: pa.RecordBatch, text: str) -> Iterator[tuple[int, list[str]]]:
-    """The batch's rows in runs of bounded text."""
-    texts = batch.column(text).to_pylist()
+def _chunks(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
+    """Runs of bounded text, with where they start."""
     start = total = 0
     for i, t in enumerate(texts):
         total += len(t)
-        if total > 8 * _CHUNK or i == len(texts) - 1:
+        if total > _CHUNK or i == len(texts) - 1:
             yield start, texts[start : i + 1]
             start, total = i + 1, 0
 
 
+def _often(held: list[np.ndarray]) -> pa.RecordBatch:
+    """The n-grams that occur more than once, with their counts."""
+    grams = np.sort(np.concatenate(held)) if held else np.zeros(0, np.uint64)
+    starts = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]])) if len(grams) else np.zeros(0, int)
+    count = np.diff(np.append(starts, len(grams)))
+    starts, count = starts[count > 1], count[count > 1]
+    none = pa.nulls(len(count), pa.int64())
+    return pa.RecordBatch.from_arrays([none, none, pa.array(grams[starts].view(np.int64)), none, pa.array(count.astype(np.int64))], _DIGEST)
+
+
+_DIGEST = ["doc_id", "n", "hi", "lo", "many"]
+
+
 def digests(frame: DataFrame) -> DataFrame:
-    """A row (doc_id, n, hi, lo, null) for each document, and rows (n-gram hash in hi, count in many) for n-grams that a task's distinct sets often hold."""
+    """A row (doc_id, n, hi, lo, null) for each document, and rows (n-gram hash in hi, count in many) for n-grams that several distinct sets of a task hold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, seen, common = _Hashes(), set(), [np.zeros(0, np.uint64), np.zeros(0, np.int64)]
-        names = ["doc_id", "n", "hi", "lo", "many"]
+        hashes, seen, held, size = _Hashes(), set(), [], 0
         for batch in batches:
             ids = batch.column("doc_id").to_pylist()
-            for start, texts in _chunks(batch, "text"):
+            for start, texts in _chunks(batch.column("text").to_pylist()):
                 n, value = shingle_sets(texts, hashes)
                 ends = np.cumsum(n)
                 raw = value.astype("<u8").tobytes()
                 marks = [blake2b(raw[8 * (e - k) : 8 * e], digest_size=16).digest() for e, k in zip(ends.tolist(), n.tolist(), strict=True)]
                 new = np.array([m not in seen and not seen.add(m) for m in marks], bool)
                 both = np.frombuffer(b"".join(marks), "<i8").reshape(-1, 2)
-                grams, count = np.unique(value[np.repeat(new, n)], return_counts=True)
-                # Counts of 1 so far are let go from time to time: the order needs no exact counts.
-                all_grams, inverse = np.unique(np.concatenate([common[0], grams]), return_inverse=True)
-                count = np.bincount(inverse, np.concatenate([common[1], count]), len(all_grams)).astype(np.int64)
-                if len(all_grams) > 4_000_000:
-                    all_grams, count = all_grams[count > 1], count[count > 1]
-                common = [all_grams, count]
-                yield pa.RecordBatch.from_arrays([pa.array(ids[start : start + len(texts)], pa.int64()), pa.array(n, pa.int64()), pa.array(both[:, 0]), pa.array(both[:, 1]), pa.nulls(len(texts), pa.int64())], names)
-        often = common[1] >= 4
-        k = int(often.sum())
-        yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.array(common[0][often].view(np.int64)), pa.nulls(k, pa.int64()), pa.array(common[1][often])], names)
+                held.append(value[np.repeat(new, n)])
+                size += len(held[-1])
+                if size > _HELD:
+                    yield _often(held)
+                    held, size = [], 0
+                yield pa.RecordBatch.from_arrays([pa.array(ids[start : start + len(texts)], pa.int64()), pa.array(n, pa.int64()), pa.array(both[:, 0]), pa.array(both[:, 1]), pa.nulls(len(texts), pa.int64())], _DIGEST)
+        yield _often(held)
 
     return frame.mapInArrow(run, "doc_id long, n long, hi long, lo long, many long")
 
 
-def prefixes(frame: DataFrame, order: tuple[np.ndarray, np.ndarray], columns: int) -> DataFrame:
-    """A task's block of rows, cut by column: (bucket, n-gram hashes, the rest packed: doc_ids and slacks)."""
+def prefixes(frame: DataFrame, order: tuple[np.ndarray, np.ndarray], keys: list[int]) -> DataFrame:
+    """A task's block of rows, cut by column: (bucket, n-gram hashes, the rest packed: doc_ids and sizes)."""
     common, rank = order
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,7 +166,7 @@ def prefixes(frame: DataFrame, order: tuple[np.ndarray, np.ndarray], columns: in
         parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for batch in batches:
             ids = batch.column("doc_id").to_numpy()
-            for start, texts in _chunks(batch, "text"):
+            for start, texts in _chunks(batch.column("text").to_pylist()):
                 n, value = shingle_sets(texts, hashes)
                 ends = np.cumsum(n)
                 raw = value.astype("<u8").tobytes()
@@ -152,48 +181,51 @@ def prefixes(frame: DataFrame, order: tuple[np.ndarray, np.ndarray], columns: in
                 doc, value = doc[by], value[by]
                 size = np.where(new, n, 0)
                 place = np.arange(len(doc)) - np.repeat(np.cumsum(size) - size, size)
-                extra = slack(n)
-                take = place < np.minimum(n, n - -(-PERCENT * n // 100) + extra)[doc]
+                take = place < prefix_length(n)[doc]
                 doc, value = doc[take], value[take]
-                parts.append((value, ids[start : start + len(texts)][doc], extra[doc].astype(np.uint8)))
-        value, ids, extra = (np.concatenate(x) if parts else np.zeros(0, t) for x, t in zip(zip(*parts, strict=True) if parts else ((), (), ()), (np.uint64, np.int64, np.uint8), strict=True))
-        bucket = ((value >> np.uint64(33)) % np.uint64(columns)).astype(np.int64)
+                parts.append((value, ids[start : start + len(texts)][doc], n[doc].astype(np.int32)))
+        value, ids, size = (np.concatenate(x) if parts else np.zeros(0, t) for x, t in zip(zip(*parts, strict=True) if parts else ((), (), ()), (np.uint64, np.int64, np.int32), strict=True))
+        bucket = np.array(keys, np.int64)[((value >> np.uint64(33)) % np.uint64(len(keys))).astype(np.int64)]
         by = np.lexsort((ids, bucket))
-        value, ids, extra, bucket = value[by], ids[by], extra[by], bucket[by]
+        value, ids, size, bucket = value[by], ids[by], size[by], bucket[by]
         cuts = np.flatnonzero(np.diff(bucket, prepend=-1)) if len(bucket) else np.zeros(0, int)
         rows = []
         for a, b in zip(cuts, np.append(cuts[1:], len(bucket))[: len(cuts)], strict=True):
-            rows.append((int(bucket[a]), value[a:b].tobytes(), zlib.compress(np.diff(ids[a:b], prepend=0).astype("<i8").tobytes(), 1), zlib.compress(extra[a:b].tobytes(), 1)))
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.binary(), pa.binary(), pa.binary()))], ["bucket", "grams", "ids", "extras"])
+            rows.append((int(bucket[a]), value[a:b].tobytes(), zlib.compress(np.diff(ids[a:b], prepend=0).astype("<i8").tobytes(), 1), zlib.compress(size[a:b].astype("<i4").tobytes(), 1)))
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.binary(), pa.binary(), pa.binary()))], ["bucket", "grams", "ids", "sizes"])
 
-    return frame.where(F.col("doc_id").isNotNull()).mapInArrow(run, "bucket int, grams binary, ids binary, extras binary")
+    return frame.where(F.col("doc_id").isNotNull()).mapInArrow(run, "bucket int, grams binary, ids binary, sizes binary")
 
 
 def block_pairs(group: pa.Table) -> pa.Table:
     """One column block: pairs with how many n-grams they share here and how many they need, and stars (need 0)."""
     gram = np.concatenate([np.frombuffer(x, np.uint64) for x in group.column("grams").to_pylist()])
     ids = np.concatenate([np.cumsum(np.frombuffer(zlib.decompress(x), "<i8")) for x in group.column("ids").to_pylist()])
-    extra = np.concatenate([np.frombuffer(zlib.decompress(x), np.uint8) for x in group.column("extras").to_pylist()])
+    size = np.concatenate([np.frombuffer(zlib.decompress(x), "<i4") for x in group.column("sizes").to_pylist()]).astype(np.int64)
     order = np.lexsort((ids, gram))
-    gram, ids, extra = gram[order], ids[order], extra[order]
+    gram, ids, size = gram[order], ids[order], size[order]
     starts = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]])) if len(gram) else np.zeros(0, int)
     many = np.diff(np.append(starts, len(gram)))
-    a, b, need = [], [], []
-    for size in range(2, PAIRS + 1):
-        first = starts[many == size]
-        for i in range(size):
-            for j in range(i + 1, size):
-                a.append(ids[first + i])
-                b.append(ids[first + j])
-                need.append(np.minimum(extra[first + i], extra[first + j]).astype(np.int64))
-    pair_a, pair_b, pair_need = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b, need))
-    key, inverse = np.unique(np.stack([pair_a, pair_b, pair_need], 1), axis=0, return_inverse=True) if len(pair_a) else (np.zeros((0, 3), np.int64), np.zeros(0, int))
-    shared = np.bincount(inverse.ravel(), minlength=len(key))
+    pairs: list[np.ndarray] = []
+    for length in np.unique(many[(many > 1) & (many <= PAIRS)]).tolist():
+        first = starts[many == length]
+        i, j = np.triu_indices(length, 1)
+        for part in np.array_split(first, 1 + len(first) * len(i) // 2_000_000):
+            x, y = (part[:, None] + i).ravel(), (part[:, None] + j).ravel()
+            fit = 100 * np.minimum(size[x], size[y]) >= PERCENT * np.maximum(size[x], size[y])
+            x, y = x[fit], y[fit]
+            found = np.stack([ids[x], ids[y], needed(size[x], size[y])], 1)
+            key, n = np.unique(found, axis=0, return_counts=True) if len(found) else (found, np.zeros(0, np.int64))
+            pairs.append(np.concatenate([key, n[:, None]], 1))
+    all_pairs = np.concatenate(pairs) if pairs else np.zeros((0, 4), np.int64)
+    key, inverse = np.unique(all_pairs[:, :3], axis=0, return_inverse=True) if len(all_pairs) else (all_pairs[:, :3], np.zeros(0, int))
+    shared = np.bincount(inverse.ravel(), all_pairs[:, 3], len(key)).astype(np.int64)
     long = many > PAIRS
     hub = np.repeat(ids[starts[long]], many[long])
     member = ids[np.repeat(long, many)]
     x, y = forest(hub, member) if len(hub) else (hub, member)
-    return pa.table({"a": pa.array(np.concatenate([key[:, 0], y])), "b": pa.array(np.concatenate([key[:, 1], x])), "need": pa.array(np.concatenate([key[:, 2], np.zeros(len(x), np.int64)])), "shared": pa.array(np.concatenate([shared, np.ones(len(x), np.int64)]).astype(np.int64))})
+    star = np.zeros(len(x), np.int64)
+    return pa.table({"a": pa.array(np.concatenate([key[:, 0], y])), "b": pa.array(np.concatenate([key[:, 1], x])), "need": pa.array(np.concatenate([key[:, 2], star])), "shared": pa.array(np.concatenate([shared, star]))})
 
 
 def exact_links(ids: np.ndarray, n: np.ndarray, gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -246,34 +278,72 @@ def _verify(group: pa.Table) -> pa.Table:
         else:
             texts[t] = i
             ids.append(i)
-    n, gram = shingle_sets(list(texts), _Hashes())
+    hashes = _Hashes()
+    sets = [shingle_sets(chunk, hashes) for _, chunk in _chunks(list(texts))]
+    n, gram = (np.concatenate(x) for x in zip(*sets, strict=True))
     a, b = exact_links(np.array(ids, np.int64), n, gram)
     return pa.table({"a": pa.array(np.concatenate([a, np.array(same_a, np.int64)])), "b": pa.array(np.concatenate([b, np.array(same_b, np.int64)]))})
 
 
-def jaccard_components(docs: DataFrame, block_ngrams: int = BLOCK_NGRAMS) -> DataFrame:
+def _texts(frame: DataFrame, keyed: DataFrame) -> DataFrame:
+    """The texts of some documents, with their block keys."""
+    keyed = cut(keyed)
+    return frame.join(F.broadcast(keyed) if keyed.count() <= BROADCAST_ROWS else keyed, "doc_id")
+
+
+def _spread(column: str, blocks: str, salt: int) -> Column:
+    return F.pmod(F.xxhash64(column, F.lit(salt)), F.col(blocks)).cast("int")
+
+
+def _all_blocks(blocks: str) -> Column:
+    return F.sequence(F.lit(0), F.col(blocks) - 1)
+
+
+def _links(frame: DataFrame, rough: DataFrame, sizes: DataFrame, block: tuple[int, int]) -> DataFrame:
+    """Exact links that connect each component of the rough graph as all links would.
+
+    First every component is dealt to small blocks, its smallest document (the
+    hub) to all of them. Of a group of near copies most are then linked by way of
+    the hub. Documents that are not meet all others of their component, again in
+    blocks, which are larger the more there are of them.
+    """
+    member = rough.unionByName(rough.select(F.col("label").alias("v"), "label").distinct())
+    sized = member.join(sizes, "v").select(F.col("v").alias("doc_id"), "label", "n")
+    total = sized.groupBy("label").agg(F.sum("n").alias("total")).withColumn("blocks", F.ceil(F.col("total") / block[0]).cast("int"))
+    dealt = cut(sized.join(total, "label"))
+    own = F.array(_spread("doc_id", "blocks", 1))
+    first = dealt.select("doc_id", "label", F.explode(F.when(F.col("doc_id") == F.col("label"), _all_blocks("blocks")).otherwise(own)).alias("i"))
+    found = cut(_texts(frame, first).groupBy("label", "i").applyInArrow(_verify, "a long, b long"))
+    large = dealt.where("blocks > 1")
+    joined = components(found).select(F.col("v").alias("doc_id"), F.col("label").alias("hub"))
+    apart = large.where(F.col("doc_id") != F.col("label")).join(joined, "doc_id", "left").where(F.coalesce(F.col("hub"), F.col("doc_id")) != F.col("label")).drop("hub")
+    apart = cut(apart)
+    if apart.isEmpty():
+        return found
+    rest = apart.groupBy("label").agg(F.sum("n").alias("rest")).withColumn("size", F.least(F.greatest("rest", F.lit(block[0])), F.lit(block[1])))
+    split = cut(total.join(rest, "label").select("label", F.ceil(F.col("total") / F.col("size")).cast("int").alias("others"), F.ceil(F.col("rest") / F.col("size")).cast("int").alias("parts")))
+    one = large.select("doc_id", "label").join(split, "label").select("doc_id", "label", _spread("doc_id", "others", 2).alias("i"), F.explode(_all_blocks("parts")).alias("j"))
+    two = apart.select("doc_id", "label").join(split, "label").select("doc_id", "label", F.explode(_all_blocks("others")).alias("i"), _spread("doc_id", "parts", 3).alias("j"))
+    met = _texts(frame, one.unionByName(two).distinct()).groupBy("label", "i", "j")
+    return found.unionByName(met.applyInArrow(_verify, "a long, b long"))
+
+
+def jaccard_components(docs: DataFrame, block_ngrams: tuple[int, int] = BLOCK_NGRAMS) -> DataFrame:
     """doc_id, n_shingles and component_id, one row a document: the rows that op8 returns."""
     spark = docs.sparkSession
     frame = id_and_text(docs)
-    columns = 3 * max(shuffle_width(spark), docs.rdd.getNumPartitions())
     first = cut(digests(frame))
     sets = first.where(F.col("many").isNull())
-    counted = first.where(F.col("many").isNotNull()).groupBy("hi").agg(F.sum("many").alias("many")).where(F.col("many") >= 16)
+    counted = first.where(F.col("many").isNotNull()).groupBy("hi").agg(F.sum("many").alias("many")).where(F.col("many") >= 4)
     # At most ORDERED n-grams: they only steer the order.
-    common = sorted((r["hi"] & 0xFFFFFFFFFFFFFFFF, r["many"]) for r in counted.orderBy(F.desc("many"), "hi").limit(ORDERED).collect())
-    order = np.array([c for c, _ in common], np.uint64), np.array([m for _, m in common], np.int64)
-    pairs = prefixes(frame, order, columns).groupBy("bucket").applyInArrow(block_pairs, "a long, b long, need long, shared long")
+    common = counted.orderBy(F.desc("many"), "hi").limit(ORDERED).toArrow()
+    gram = common.column("hi").to_numpy().view(np.uint64)
+    by = np.argsort(gram)
+    order = gram[by], common.column("many").to_numpy()[by]
+    pairs = prefixes(frame, order, even_keys(spark)).groupBy("bucket").applyInArrow(block_pairs, "a long, b long, need long, shared long")
     kept = pairs.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.min("need").alias("need")).where((F.col("shared") >= F.col("need")) & (F.col("a") != F.col("b")))
-    rough = components(kept)
-    member = rough.unionByName(rough.select(F.col("label").alias("v"), "label").distinct())
-    sized = member.join(sets.groupBy(F.col("doc_id").alias("v")).agg(F.max("n").alias("n")), "v")
-    total = sized.groupBy("label").agg((F.ceil(F.sum("n") / block_ngrams)).cast("int").alias("blocks"))
-    spread = sized.join(total, "label").withColumn("own", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int"))
-    spread = spread.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    keyed = cut(spread.select(F.col("v").alias("doc_id"), "label", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")))
-    met = frame.join(keyed, "doc_id").groupBy("label", "i", "j")
-    links = met.applyInArrow(_verify, "a long, b long")
-    labels = components(links)
+    sizes = sets.groupBy(F.col("doc_id").alias("v")).agg(F.max("n").alias("n"))
+    labels = components(_links(frame, components(kept), sizes, block_ngrams))
     labels = labels.unionByName(labels.select(F.col("label").alias("v"), "label").distinct())
     known = sets.where(F.col("n") > 0).join(labels, F.col("doc_id") == F.col("v")).groupBy("hi", "lo").agg(F.min("label").alias("label"))
     least = sets.where((F.col("n") > 0) & F.col("doc_id").isNotNull()).groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"))
