@@ -18,7 +18,8 @@ vec_id; fewer than k candidates give fewer rows; an empty table gives none. A
 vec_id that occurs on several rows is one candidate a row for others, and none
 of its rows is a candidate for itself; as a query it counts once, by its
 smallest vector. Vectors of different lengths don't meet: only those as long as
-the query are its candidates. Further columns are ignored.
+the query are its candidates. Scores are exact while they stay below 2^53.
+Further columns are ignored.
 """
 
 from __future__ import annotations
