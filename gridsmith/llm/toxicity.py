@@ -57,37 +57,42 @@ def unmasked(word: str) -> set[str]:
     return {REPEAT.sub(r"\1", re.sub(r"[\W_]", "", word.translate(table))) for table in LEET} - {word}
 
 
-def features(text: str, learned: frozenset[str]) -> list[float]:
+def features(text: str, *lexicons: frozenset[str]) -> list[float]:
+    """The features under each of the learned lexicons, one after the other; the text is taken apart once."""
     words = plain_words(text)
     n, size = max(1, len(words)), max(1, len(text))
     counts = Counter(words)
-    bad = [w for w in counts if w in _SEED or w in learned]
-    hits = sum(counts[w] for w in bad if w in _SEED)
-    own = sum(counts[w] for w in bad if w in learned)
     # The slower patterns run only on texts that can match them.
     code = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
     tripled = bool(((code[2:] == code[1:-1]) & (code[1:-1] == code[:-2])).any())
-    signs = SIGN.search(text) is not None
     odd = [w for w in counts if not w.isalpha() and len(w) > 2]
     long = [w for w in counts if w.isalpha() and REPEAT.search(w)] if tripled else []
-    masked = sum(counts[w] for w in [*odd, *long] if any(u in _SEED or u in learned for u in unmasked(w)))
+    reads = [(counts[w], unmasked(w)) for w in [*odd, *long]]
     single = sum(c for w, c in counts.items() if len(w) == 1) > 3 or any(len(w) > 6 and DOTTED.search(w) for w in odd)
-    spaced = SPACED.findall(text) if single else []
     # A word of one letter may stand before or after the letters of a spaced one.
-    apart = sum(1 for m in spaced if (u := re.sub(r"[\W_]", "", m).lower()) and any(v in _SEED or v in learned for v in (u, u[1:], u[:-1], u[1:-1])))
-    near = 0
-    if bad:
-        marks = [i for i, w in enumerate(words) if w in _SEED or w in learned]
-        second = np.array([i for i, w in enumerate(words) if w in _SECOND] or [-(10**9)])
-        at = np.searchsorted(second, marks)
-        after, before = second[np.minimum(at, len(second) - 1)], second[np.maximum(at - 1, 0)]
-        near = int(((np.abs(after - marks) <= 4) | (np.abs(before - marks) <= 4)).sum())
-    raw = text.split()
-    return [
-        hits / n, own / n, min(hits, 20.0), min(own, 20.0), min(len(bad), 20.0), near / n, min(near, 20.0),
-        sum(counts[w] for w in _SECOND if w in counts) / n, sum(1 for w in raw if len(w) > 2 and w.isupper()) / n,
-        text.count("!") / size, text.count("?") / size, text.count("*") / size, (len(MIXED.findall(text)) if signs else 0) / n, min(masked, 20.0), min(apart, 20.0), len(spaced) / n, float(np.log1p(n)),
+    spaced = [{u, u[1:], u[:-1], u[1:-1]} for m in (SPACED.findall(text) if single else []) if (u := re.sub(r"[\W_]", "", m).lower())]
+    hits = sum(counts[w] for w in _SEED if w in counts)
+    second = np.array([i for i, w in enumerate(words) if w in _SECOND] or [-(10**9)])
+    signs = SIGN.search(text) is not None
+    plain = [
+        sum(counts[w] for w in _SECOND if w in counts) / n, sum(1 for w in text.split() if len(w) > 2 and w.isupper()) / n,
+        text.count("!") / size, text.count("?") / size, text.count("*") / size, (len(MIXED.findall(text)) if signs else 0) / n,
     ]
+    out: list[float] = []
+    for learned in lexicons:
+        bad = _SEED | learned
+        kinds = [w for w in counts if w in bad]
+        own = sum(counts[w] for w in kinds if w in learned)
+        near = 0
+        if kinds:
+            marks = [i for i, w in enumerate(words) if w in bad]
+            at = np.searchsorted(second, marks)
+            after, before = second[np.minimum(at, len(second) - 1)], second[np.maximum(at - 1, 0)]
+            near = int(((np.abs(after - marks) <= 4) | (np.abs(before - marks) <= 4)).sum())
+        masked = sum(c for c, u in reads if not u.isdisjoint(bad))
+        apart = sum(1 for u in spaced if not u.isdisjoint(bad))
+        out += [hits / n, own / n, min(hits, 20.0), min(own, 20.0), min(len(kinds), 20.0), near / n, min(near, 20.0), *plain, min(masked, 20.0), min(apart, 20.0), len(spaced) / n, float(np.log1p(n))]
+    return out
 
 
 _SEED, _SECOND = frozenset(LEXICON), frozenset(SECOND)
@@ -119,30 +124,36 @@ class Boosted:
         return self
 
     def _grow(self, binned, g, h, cuts):
-        size = 2 ** (self.depth + 1) - 1
+        """A level at a time: one histogram over all of its nodes, features and bins."""
+        size, wide, many = 2 ** (self.depth + 1) - 1, self.bins + 1, len(cuts)
         feature, cut, leaf = np.full(size, -1), np.zeros(size), np.zeros(size)
-        node = np.zeros(len(g), int)
-        for at in range(size):
-            rows = np.flatnonzero(node == at)
-            if not len(rows):
-                continue
-            total_g, total_h = g[rows].sum(), h[rows].sum()
-            leaf[at] = -self.rate * total_g / (total_h + 1)
-            if 2 * at + 2 >= size:
+        node = np.zeros(len(g), np.int64)
+        columns = np.arange(many) * wide + binned
+        for level in range(self.depth + 1):
+            first, nodes = 2**level - 1, 2**level
+            here = np.flatnonzero((node >= first) & (node < first + nodes))
+            slot = node[here] - first
+            total_g, total_h = np.bincount(slot, g[here], nodes), np.bincount(slot, h[here], nodes)
+            leaf[first : first + nodes] = -self.rate * total_g / (total_h + 1)
+            if level == self.depth or not len(here):
                 continue
-            best = (1e-6, -1, 0)
+            index = (slot[:, None] * (many * wide) + columns[here]).ravel()
+            shape = (nodes, many, wide)
+            gl = np.bincount(index, np.repeat(g[here], many), nodes * many * wide).reshape(shape).cumsum(2)
+            hl = np.bincount(index, np.repeat(h[here], many), nodes * many * wide).reshape(shape).cumsum(2)
+            g_all, h_all = total_g[:, None, None], total_h[:, None, None]
+            gain = gl**2 / (hl + 1) + (g_all - gl) ** 2 / (h_all - hl + 1) - g_all**2 / (h_all + 1)
+            gain[(hl < self.least / 4) | (h_all - hl < self.least / 4)] = 0
             for j, c in enumerate(cuts):
-                if not len(c):
-                    continue
-                gl = np.cumsum(np.bincount(binned[rows, j], g[rows], len(c) + 1))[:-1]
-                hl = np.cumsum(np.bincount(binned[rows, j], h[rows], len(c) + 1))[:-1]
-                gain = gl**2 / (hl + 1) + (total_g - gl) ** 2 / (total_h - hl + 1) - total_g**2 / (total_h + 1)
-                gain[(hl < self.least / 4) | (total_h - hl < self.least / 4)] = 0
-                if gain.max() > best[0]:
-                    best = (float(gain.max()), j, int(gain.argmax()))
-            if best[1] >= 0:
-                feature[at], cut[at] = best[1], cuts[best[1]][best[2]]
-                node[rows] = np.where(binned[rows, best[1]] <= best[2], 2 * at + 1, 2 * at + 2)
+                gain[:, j, len(c) :] = 0
+            best = gain.reshape(nodes, -1).argmax(1)
+            j, k = best // wide, best % wide
+            split = gain.reshape(nodes, -1)[np.arange(nodes), best] > 1e-6
+            for n in np.flatnonzero(split):
+                feature[first + n], cut[first + n] = j[n], cuts[j[n]][k[n]]
+            rows = here[split[slot]]
+            at = node[rows] - first
+            node[rows] = np.where(binned[rows, j[at]] <= k[at], 2 * node[rows] + 1, 2 * node[rows] + 2)
         return feature, cut, leaf
 
     def _run(self, tree, x: np.ndarray) -> np.ndarray:
@@ -240,7 +251,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> ToxicMode
 
     def all_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = [[v for words in lexicons for v in features(t, words)] for t in batch.column("text").to_pylist()]
+            values = [features(t, *lexicons) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("doc_id", "fold", "toxic")] + [pa.array(values, pa.list_(pa.float64()))], ["doc_id", "fold", "toxic", "x"])
 
     got = sorted(rows.mapInArrow(all_features, "doc_id long, fold int, toxic int, x array<double>").toLocalIterator(), key=lambda r: (r["doc_id"], list(r["x"])))
