@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridsmith.llm.common import bucket_of, cut, id_and_text, shuffle_width
+from gridsmith.llm.common import bucket_of, cut, even_keys, id_and_text, shuffle_width
 
 CONTEXT_SHARE = 5e-4
 LAMBDA = 0.5
@@ -63,7 +63,7 @@ def _training(docs: DataFrame) -> DataFrame:
     return id_and_text(docs).withColumn("held_out", held)
 
 
-def contexts(docs: DataFrame, buckets: int) -> tuple[list[bytes], list[int], int, int]:
+def contexts(docs: DataFrame, keys: list[int]) -> tuple[list[bytes], list[int], int, int]:
     """The contexts and their counts, N and V, from exact counts of all training tokens."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -73,7 +73,7 @@ def contexts(docs: DataFrame, buckets: int) -> tuple[list[bytes], list[int], int
                 seen.update(tokens(text))
         by: dict[int, list[bytes]] = {}
         for word in sorted(seen):
-            by.setdefault(zlib.crc32(word) % buckets, []).append(word)
+            by.setdefault(keys[zlib.crc32(word) % len(keys)], []).append(word)
         rows = [(b, zlib.compress(b"\n".join(words), 1), _pack(np.array([seen[w] for w in words], "<i8"))) for b, words in by.items()]
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int32(), pa.binary(), pa.binary()))], ["bucket", "words", "counts"])
 
@@ -99,7 +99,7 @@ def contexts(docs: DataFrame, buckets: int) -> tuple[list[bytes], list[int], int
 class Part:
     """A part's documents as arrays: tokens by number, with the words in sorted order, and the arcs from contexts."""
 
-    def __init__(self, texts: list[str], held: list[bool], names: list[bytes], buckets: int):
+    def __init__(self, texts: list[str], held: list[bool], names: list[bytes], keys: list[int]):
         rows = [tokens(t) for t in texts]
         flat = [w for row in rows for w in row]
         self.words = sorted(set(flat))
@@ -115,7 +115,7 @@ class Part:
         at = np.flatnonzero(self.context >= 0)
         self.arcs, self.arc = np.unique(self.token[at] * max(1, len(names)) + self.context[at], return_inverse=True)
         self.arc_at, self.width = at, max(1, len(names))
-        self.bucket = np.fromiter((zlib.crc32(w) % buckets for w in self.words), np.int64, len(self.words))
+        self.bucket = np.array(keys, np.int64)[np.fromiter((zlib.crc32(w) % len(keys) for w in self.words), np.int64, len(self.words))]
         self.arc_bucket = self.bucket[self.arcs // self.width]
 
     def requests(self, part: int) -> list[tuple]:
@@ -183,12 +183,14 @@ REQUESTS = "bucket int, part int, words binary, counts binary, arc_word binary,
 
 def score_documents(docs: DataFrame) -> DataFrame:
     """The rows that op2 returns."""
-    width = 3 * max(shuffle_width(docs.sparkSession), docs.rdd.getNumPartitions())
-    names, c, n, v = contexts(docs, width)
+    # A part sends each bucket one row: the buckets are as many as the shuffle's partitions, the parts a few times that.
+    keys = even_keys(docs.sparkSession)
+    width = max(3 * shuffle_width(docs.sparkSession), docs.rdd.getNumPartitions())
+    names, c, n, v = contexts(docs, keys)
     parts = _training(docs).withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(width)).cast("int"))
 
     def ask(group: pa.Table) -> pa.Table:
-        rows = Part(group.column("text").to_pylist(), group.column("held_out").to_pylist(), names, width).requests(group.column("part")[0].as_py())
+        rows = Part(group.column("text").to_pylist(), group.column("held_out").to_pylist(), names, keys).requests(group.column("part")[0].as_py())
         kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 5]
         fields = ["bucket", "part", "words", "counts", "arc_word", "arc_context", "arc_counts"]
         return pa.table({f: pa.array([r[i] for r in rows], k) for i, (f, k) in enumerate(zip(fields, kinds, strict=True))})
@@ -199,7 +201,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
         return pa.table({f: pa.array([r[i] for r in rows], k) for i, (f, k) in enumerate(zip(["part", "bucket", "uni", "bi"], kinds, strict=True))})
 
     def score(texts: pa.Table, answers: pa.Table) -> pa.Table:
-        part = Part(texts.column("text").to_pylist(), texts.column("held_out").to_pylist(), names, width)
+        part = Part(texts.column("text").to_pylist(), texts.column("held_out").to_pylist(), names, keys)
         got = {r["bucket"]: (r["uni"], r["bi"]) for r in answers.to_pylist()}
         uni, bi = part.answers(got)
         model = Automaton(uni, c, n, v)
