@@ -162,16 +162,25 @@ def prefixes(frame: DataFrame, order: tuple[np.ndarray, np.ndarray], keys: list[
     common, rank = order
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, seen = _Hashes(), set()
+        hashes, number = _Hashes(), {}
+        # The smallest doc_id of each distinct set, by the set's number: copies come in any order.
+        least: list[int] = []
         parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for batch in batches:
-            ids = batch.column("doc_id").to_numpy()
+            ids = batch.column("doc_id").to_pylist()
             for start, texts in _chunks(batch.column("text").to_pylist()):
                 n, value = shingle_sets(texts, hashes)
                 ends = np.cumsum(n)
                 raw = value.astype("<u8").tobytes()
                 marks = [blake2b(raw[8 * (e - k) : 8 * e], digest_size=16).digest() for e, k in zip(ends.tolist(), n.tolist(), strict=True)]
-                new = np.array([m not in seen and not seen.add(m) for m in marks], bool) & (n > 0)
+                which = [number.setdefault(m, len(number)) for m in marks]
+                new = np.zeros(len(texts), bool)
+                for i, w in enumerate(which):
+                    if w == len(least):
+                        least.append(ids[start + i])
+                        new[i] = n[i] > 0
+                    else:
+                        least[w] = min(least[w], ids[start + i])
                 doc = np.repeat(np.arange(len(texts)), n)
                 use = new[doc]
                 doc, value = doc[use], value[use]
@@ -183,8 +192,9 @@ def prefixes(frame: DataFrame, order: tuple[np.ndarray, np.ndarray], keys: list[
                 place = np.arange(len(doc)) - np.repeat(np.cumsum(size) - size, size)
                 take = place < prefix_length(n)[doc]
                 doc, value = doc[take], value[take]
-                parts.append((value, ids[start : start + len(texts)][doc], n[doc].astype(np.int32)))
-        value, ids, size = (np.concatenate(x) if parts else np.zeros(0, t) for x, t in zip(zip(*parts, strict=True) if parts else ((), (), ()), (np.uint64, np.int64, np.int32), strict=True))
+                parts.append((value, np.array(which, np.int64)[doc], n[doc].astype(np.int32)))
+        value, which, size = (np.concatenate(x) if parts else np.zeros(0, t) for x, t in zip(zip(*parts, strict=True) if parts else ((), (), ()), (np.uint64, np.int64, np.int32), strict=True))
+        ids = np.array(least, np.int64)[which]
         bucket = np.array(keys, np.int64)[((value >> np.uint64(33)) % np.uint64(len(keys))).astype(np.int64)]
         by = np.lexsort((ids, bucket))
         value, ids, size, bucket = value[by], ids[by], size[by], bucket[by]

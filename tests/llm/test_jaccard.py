@@ -65,6 +65,16 @@ def test_groups_of_near_copies_chains_and_common_passages(spark, block, monkeypa
     assert got == plain(docs)
 
 
+def test_copies_in_descending_order_in_one_task_keep_their_near_copies(spark):
+    base = [f"w{i}" for i in range(60)]
+    near = [*base[:59], "other"]
+    docs = [(5, " ".join(base)), (7, " ".join(near)), (3, " ".join(base)), (6, " ".join(near)), (9, "something else"), (2, "something else")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard.jaccard_components(frame).collect()}
+    assert got == plain(docs) and got[6][1] == 3
+    assert {r.doc_id for r in jaccard.keep_one_of_each(frame).collect()} == {2, 3}
+
+
 def test_needed_is_a_lower_bound():
     rng = np.random.default_rng(1)
     for _ in range(400):
