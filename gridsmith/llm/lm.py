@@ -1,20 +1,21 @@
 """Language-model scores from a weighted backoff automaton.
 
-The model is a bigram model over words and one end token. Words that make up at
-least CONTEXT_SHARE of the training tokens are contexts, each a state of the
-automaton (at most 1 / CONTEXT_SHARE of them, however large the corpus); the
-root state holds the smoothed unigrams. A state has an arc for every word seen
-after it, with the smoothed weight log10(LAMBDA * c(h, w) / c(h) + (1 - LAMBDA)
-* p(w)), and a failure arc to the root that costs log10(1 - LAMBDA). One pass
-from left to right carries the state and adds the weights up; every state's
-probabilities sum to one.
+The model is a bigram model over words and one end token. Every word of the
+training tokens is a history and so a state of the automaton, however rare it
+is: the states grow with the corpus. The root state holds the smoothed
+unigrams. A state has an arc for every word seen after it, with the smoothed
+weight log10(LAMBDA * c(h, w) / c(h) + (1 - LAMBDA) * p(w)), and a failure arc
+to the root that costs log10(1 - LAMBDA). One pass from left to right carries
+the state and adds the weights up; every state's probabilities sum to one. A
+word that no training text holds leads to the root.
 
 Counts cover all training documents and are never cut off. Documents are dealt
-out in parts by a hash of their id. A part sends its distinct words and arcs,
-with their training counts, to buckets by word; a bucket adds up what all parts
-sent and answers each part in the order it asked. So no table of the
-vocabulary is ever broadcast or collected, and a frequent word costs one entry
-a part. Only the contexts, N and V come to the driver.
+out in parts by a hash of their id. A part sends its distinct words to buckets
+by word and its distinct arcs to buckets by both words, with their training
+counts; a bucket adds up what all parts sent and answers each part in the order
+it asked. So no table of the vocabulary or of the arcs is ever broadcast or
+collected, and a frequent word or pair costs one entry a part. Every part asks
+every bucket, and adds N and V up from the buckets' shares of them.
 
 Defined results: a null text counts as empty and scores its end token alone;
 repeated rows are counted and scored one by one; a null doc_id is a training
@@ -25,20 +26,22 @@ unknown. Further columns are ignored.
 from __future__ import annotations
 
 import zlib
-from collections import Counter
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridsmith.llm.common import bucket_of, cut, even_keys, id_and_text, shuffle_width
+from gridsmith.llm.common import bucket_of, even_keys, id_and_text, shuffle_width
 
-CONTEXT_SHARE = 5e-4
+#: The share of the training tokens that makes a word a state: every word that was seen is one.
+CONTEXT_SHARE = 0.0
 LAMBDA = 0.5
 #: No word is empty, so the empty string stands for the end token.
 END = b""
+_A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 def tokens(text: str) -> list[bytes]:
@@ -54,6 +57,15 @@ def _unpack(blob: bytes, kind: str) -> np.ndarray:
     return np.frombuffer(zlib.decompress(blob), kind)
 
 
+def _pack_places(values: np.ndarray) -> bytes:
+    """Small numbers as differences, byte by byte: the high bytes compress to next to nothing."""
+    return zlib.compress(np.diff(values, prepend=0).astype("<i4").view("u1").reshape(-1, 4).T.tobytes(), 1)
+
+
+def _unpack_places(blob: bytes) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(zlib.decompress(blob), "u1").reshape(4, -1).T).view("<i4").ravel(), dtype=np.int64)
+
+
 def _words(blob: bytes) -> list[bytes]:
     return zlib.decompress(blob).split(b"\n")
 
@@ -63,43 +75,10 @@ def _training(docs: DataFrame) -> DataFrame:
     return id_and_text(docs).withColumn("held_out", held)
 
 
-def contexts(docs: DataFrame, keys: list[int]) -> tuple[list[bytes], list[int], int, int]:
-    """The contexts and their counts, N and V, from exact counts of all training tokens."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
-        for batch in batches:
-            for text in batch.column("text").to_pylist():
-                seen.update(tokens(text))
-        by: dict[int, list[bytes]] = {}
-        for word in sorted(seen):
-            by.setdefault(keys[zlib.crc32(word) % len(keys)], []).append(word)
-        rows = [(b, zlib.compress(b"\n".join(words), 1), _pack(np.array([seen[w] for w in words], "<i8"))) for b, words in by.items()]
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int32(), pa.binary(), pa.binary()))], ["bucket", "words", "counts"])
-
-    def total(group: pa.Table) -> pa.Table:
-        seen: Counter = Counter()
-        for words, counts in zip(group.column("words").to_pylist(), group.column("counts").to_pylist(), strict=True):
-            for word, n in zip(_words(words), _unpack(counts, "<i8").tolist(), strict=True):
-                seen[word] += n
-        n = sum(seen.values())
-        # N is at least this bucket's n: no context is left out here.
-        often = [(w, c, 0, 0) for w, c in seen.items() if c >= CONTEXT_SHARE * n and w != END]
-        rows = [(None, None, n, len(seen)), *often]
-        return pa.table({name: pa.array([r[i] for r in rows], kind) for i, (name, kind) in enumerate((("word", pa.binary()), ("c", pa.int64()), ("n", pa.int64()), ("v", pa.int64())))})
-
-    known = _training(docs).where(~F.col("held_out")).select("text")
-    counted = known.mapInArrow(count, "bucket int, words binary, counts binary")
-    totals = cut(counted.groupBy("bucket").applyInArrow(total, "word binary, c long, n long, v long"))
-    n, v = totals.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
-    often = totals.where(F.col("word").isNotNull() & (F.col("c") >= CONTEXT_SHARE * n)).orderBy("word").collect()
-    return [bytes(r["word"]) for r in often], [r["c"] for r in often], n, v
-
-
 class Part:
-    """A part's documents as arrays: tokens by number, with the words in sorted order, and the arcs from contexts."""
+    """A part's documents as arrays: tokens by number, with the words in sorted order, and the arcs from contexts: all its words, or those in names."""
 
-    def __init__(self, texts: list[str], held: list[bool], names: list[bytes], keys: list[int]):
+    def __init__(self, texts: list[str], held: list[bool], names: list[bytes] | None, keys: list[int]):
         rows = [tokens(t) for t in texts]
         flat = [w for row in rows for w in row]
         self.words = sorted(set(flat))
@@ -108,58 +87,78 @@ class Part:
         self.size = np.array([len(row) for row in rows], np.int64)
         self.doc = np.repeat(np.arange(len(rows)), self.size)
         self.train = ~np.array(held, bool)[self.doc]
-        known = {w: i for i, w in enumerate(names)}
+        known = number if names is None else {w: i for i, w in enumerate(names)}
         state = np.fromiter((known.get(w, -1) for w in self.words), np.int64, len(self.words))
         self.context = np.concatenate([[-1], state[self.token[:-1]]]) if len(flat) else np.zeros(0, np.int64)
         self.context[np.cumsum(self.size)[:-1]] = -1  # a text starts in the root
         at = np.flatnonzero(self.context >= 0)
-        self.arcs, self.arc = np.unique(self.token[at] * max(1, len(names)) + self.context[at], return_inverse=True)
-        self.arc_at, self.width = at, max(1, len(names))
-        self.bucket = np.array(keys, np.int64)[np.fromiter((zlib.crc32(w) % len(keys) for w in self.words), np.int64, len(self.words))]
-        self.arc_bucket = self.bucket[self.arcs // self.width]
+        self.arc_at, self.width = at, max(1, len(known))
+        self.arcs, self.arc = np.unique(self.token[at] * self.width + self.context[at], return_inverse=True)
+        crc = np.fromiter(map(zlib.crc32, self.words), np.uint64, len(self.words))
+        to = np.array(keys, np.int64)
+        self.buckets = np.unique(to)
+        self.bucket = to[(crc % np.uint64(len(keys))).astype(np.int64)]
+        # By both words, so that a word with many neighbours is dealt to all buckets.
+        mixed = (crc[self.arcs // self.width] * _A) ^ (crc[self.arcs % self.width] * _B)
+        self.arc_bucket = to[((mixed >> np.uint64(33)) % np.uint64(len(keys))).astype(np.int64)]
+
+    def dealt(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Each bucket with its words and arcs, by number, in order; also those without any."""
+        order, arc_order = np.argsort(self.bucket, kind="stable"), np.argsort(self.arc_bucket, kind="stable")
+        word_cuts, arc_cuts = ([np.searchsorted(x, self.buckets, side) for side in ("left", "right")] for x in (self.bucket[order], self.arc_bucket[arc_order]))
+        for b, i, j, k, m in zip(self.buckets.tolist(), *word_cuts, *arc_cuts, strict=True):
+            yield b, order[i:j], arc_order[k:m]
 
     def requests(self, part: int) -> list[tuple]:
+        """A row for each bucket: the words it needs with the counts of those it is to add up (-1: only named by arcs), and arcs as places in these words."""
         uni = np.bincount(self.token[self.train], minlength=len(self.words))
         bi = np.bincount(self.arc[self.train[self.arc_at]], minlength=len(self.arcs))
         out = []
-        order, arc_order = np.argsort(self.bucket, kind="stable"), np.argsort(self.arc_bucket, kind="stable")
-        for b in np.unique(self.bucket):
-            own = order[slice(*np.searchsorted(self.bucket[order], [b, b + 1]))]
-            arcs = self.arcs[arc_order[slice(*(cuts := np.searchsorted(self.arc_bucket[arc_order], [b, b + 1])))]]
-            which = arc_order[slice(*cuts)]
-            rank = np.searchsorted(own, arcs // self.width)
-            out.append((int(b), part, zlib.compress(b"\n".join([self.words[i] for i in own]), 1), _pack(uni[own].astype("<i8")), _pack(rank.astype("<u4")), _pack((arcs % self.width).astype("<u2")), _pack(bi[which].astype("<i8"))))
+        words = np.empty(len(self.words), object)
+        words[:] = self.words
+        for b, own, which in self.dealt():
+            word, context = np.divmod(self.arcs[which], self.width)
+            named = np.unique(np.concatenate([own, word, context]))
+            counts = np.full(len(named), -1, np.int64)
+            counts[np.searchsorted(named, own)] = uni[own]
+            places = [_pack_places(np.searchsorted(named, x)) for x in (word, context)]
+            out.append((b, part, zlib.compress(b"\n".join(words[named]), 1), _pack(counts.astype("<i8")), *places, _pack(bi[which].astype("<u4"))))
         return out
 
     def answers(self, by_bucket: dict[int, tuple[bytes, bytes]]) -> tuple[np.ndarray, np.ndarray]:
         """Corpus counts of the part's words and arcs."""
         uni, bi = np.zeros(len(self.words), np.int64), np.zeros(len(self.arcs), np.int64)
-        order, arc_order = np.argsort(self.bucket, kind="stable"), np.argsort(self.arc_bucket, kind="stable")
-        for b, (words, arcs) in by_bucket.items():
-            uni[order[slice(*np.searchsorted(self.bucket[order], [b, b + 1]))]] = _unpack(words, "<i8")
-            bi[arc_order[slice(*np.searchsorted(self.arc_bucket[arc_order], [b, b + 1]))]] = _unpack(arcs, "<i8")
+        for b, own, which in self.dealt():
+            words, arcs = by_bucket[b]
+            uni[own], bi[which] = _unpack(words, "<i8"), _unpack(arcs, "<i8")
         return uni, bi
 
 
 def total_requests(rows: list[tuple]) -> list[tuple]:
-    """One bucket's requests of all parts, added up; an answer for each part in its own order."""
-    number: dict[bytes, int] = {}
-    ids = [np.array([number.setdefault(w, len(number)) for w in _words(row[2])], np.int64) for row in rows]
+    """One bucket's requests of all parts, added up: an answer for each part in its own order, with the bucket's share of N and V."""
+    number: defaultdict[bytes, int] = defaultdict()
+    number.default_factory = number.__len__
+    # A row that names no word still unpacks to one, the end token, which is then neither counted nor asked for.
+    ids = [np.array([number[w] for w in _words(row[2])], np.int64) for row in rows]
     uni = np.zeros(len(number), np.int64)
-    keys = []
+    keys, asked = [], []
     for mine, row in zip(ids, rows, strict=True):
-        uni[mine] += _unpack(row[3], "<i8")  # a part names each of its words once
-        keys.append((mine[_unpack(row[4], "<u4")] << 16) | _unpack(row[5], "<u2").astype(np.int64))
+        counts = _unpack(row[3], "<i8")
+        own = np.flatnonzero(counts >= 0)
+        asked.append(mine[own])
+        uni[mine[own]] += counts[own]  # a part names each of its words once
+        keys.append((mine[_unpack_places(row[4])] << 32) | mine[_unpack_places(row[5])])
     arcs, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-    bi = np.bincount(inverse, np.concatenate([_unpack(row[6], "<i8") for row in rows]), len(arcs)).astype(np.int64)
+    bi = np.bincount(inverse, np.concatenate([_unpack(row[6], "<u4") for row in rows]), len(arcs)).astype(np.int64)
     ends = np.cumsum([0, *map(len, keys)])
-    return [(row[1], row[0], _pack(uni[mine]), _pack(bi[inverse[ends[k] : ends[k + 1]]])) for k, (mine, row) in enumerate(zip(ids, rows, strict=True))]
+    n, v = int(uni.sum()), int((uni > 0).sum())
+    return [(row[1], row[0], _pack(uni[mine]), _pack(bi[inverse[ends[k] : ends[k + 1]]]), n, v) for k, (mine, row) in enumerate(zip(asked, rows, strict=True))]
 
 
 class Automaton:
-    """The model over one part's vocabulary. States: -1 is the root, others are contexts."""
+    """The model over one part's vocabulary. States: -1 is the root, others are contexts; c has their counts, and those of count 0 are the root too."""
 
-    def __init__(self, uni: np.ndarray, c: list[int], n: int, v: int):
+    def __init__(self, uni: np.ndarray, c: Sequence[int], n: int, v: int):
         self.c, self.root = np.array(c, float), np.log10((uni + 0.1) / (n + 0.1 * (v + 1)))
         self.fail = np.log10(1 - LAMBDA)
 
@@ -170,7 +169,7 @@ class Automaton:
     def walk(self, part: Part, bi: np.ndarray) -> np.ndarray:
         """Every token's weight: an arc of the state that the token before led to, or its failure arc and an arc of the root."""
         out = self.root[part.token].copy()
-        out[part.arc_at] += self.fail
+        out[part.arc_at[self.c[part.context[part.arc_at]] > 0]] += self.fail
         hit = np.flatnonzero(bi[part.arc] > 0)
         at = part.arc_at[hit]
         out[at] = self.arc(part.context[at], bi[part.arc[hit]], part.token[at])
@@ -186,25 +185,25 @@ def score_documents(docs: DataFrame) -> DataFrame:
     # A part sends each bucket one row: the buckets are as many as the shuffle's partitions, the parts a few times that.
     keys = even_keys(docs.sparkSession)
     width = max(3 * shuffle_width(docs.sparkSession), docs.rdd.getNumPartitions())
-    names, c, n, v = contexts(docs, keys)
     parts = _training(docs).withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(width)).cast("int"))
 
     def ask(group: pa.Table) -> pa.Table:
-        rows = Part(group.column("text").to_pylist(), group.column("held_out").to_pylist(), names, keys).requests(group.column("part")[0].as_py())
+        rows = Part(group.column("text").to_pylist(), group.column("held_out").to_pylist(), None, keys).requests(group.column("part")[0].as_py())
         kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 5]
         fields = ["bucket", "part", "words", "counts", "arc_word", "arc_context", "arc_counts"]
         return pa.table({f: pa.array([r[i] for r in rows], k) for i, (f, k) in enumerate(zip(fields, kinds, strict=True))})
 
     def answer(group: pa.Table) -> pa.Table:
         rows = total_requests([tuple(r.values()) for r in group.select(["bucket", "part", "words", "counts", "arc_word", "arc_context", "arc_counts"]).to_pylist()])
-        kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary()]
-        return pa.table({f: pa.array([r[i] for r in rows], k) for i, (f, k) in enumerate(zip(["part", "bucket", "uni", "bi"], kinds, strict=True))})
+        kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
+        return pa.table({f: pa.array([r[i] for r in rows], k) for i, (f, k) in enumerate(zip(["part", "bucket", "uni", "bi", "n", "v"], kinds, strict=True))})
 
     def score(texts: pa.Table, answers: pa.Table) -> pa.Table:
-        part = Part(texts.column("text").to_pylist(), texts.column("held_out").to_pylist(), names, keys)
+        part = Part(texts.column("text").to_pylist(), texts.column("held_out").to_pylist(), None, keys)
         got = {r["bucket"]: (r["uni"], r["bi"]) for r in answers.to_pylist()}
         uni, bi = part.answers(got)
-        model = Automaton(uni, c, n, v)
+        n, v = sum(answers.column("n").to_pylist()), sum(answers.column("v").to_pylist())
+        model = Automaton(uni, uni, n, v)
         many = len(part.size)
         total = lambda weights: pa.array(np.bincount(part.doc, weights, many))
         return pa.table(
@@ -220,5 +219,5 @@ def score_documents(docs: DataFrame) -> DataFrame:
         )
 
     asked = parts.groupBy("part").applyInArrow(ask, REQUESTS)
-    answered = asked.groupBy("bucket").applyInArrow(answer, "part int, bucket int, uni binary, bi binary")
+    answered = asked.groupBy("bucket").applyInArrow(answer, "part int, bucket int, uni binary, bi binary, n long, v long")
     return parts.groupBy("part").cogroup(answered.groupBy("part")).applyInArrow(score, SCORES)

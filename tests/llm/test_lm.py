@@ -62,3 +62,20 @@ def test_repeated_rows_count_each_and_empty_tables_give_none(spark, documents):
     got = lm.score_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert len(got) == 3 and {r.train_tokens for r in got} == {8}
     assert lm.score_documents(documents.limit(0)).count() == 0
+
+
+def test_words_of_any_rarity_are_states(spark):
+    filler = [(1000 + i, " ".join(f"f{i}x{j}" for j in range(200))) for i in range(60)]
+    rows = [*filler, *((i, "zeta omega") for i in range(20)), (500, "zeta unseen omega")]
+    words = [(i, [*t.split(), ""]) for i, t in rows]
+    train = [w for i, w in words if zlib.crc32(str(i).encode()) % 10]
+    c, pairs = Counter(x for w in train for x in w), Counter(p for w in train for p in zip(w, w[1:], strict=False))
+    n, v = sum(c.values()), len(c)
+    assert 2 < c["zeta"] < n / 400
+    p = lambda w: (c[w] + 0.1) / (n + 0.1 * (v + 1))
+    step = lambda h, w: math.log10(0.5 * pairs[h, w] / c[h] + 0.5 * p(w)) if c[h] else math.log10(p(w))
+    got = {r.doc_id: r.score for r in lm.score_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    for i, w in words:
+        assert math.isclose(got[i], math.log10(p(w[0])) + sum(step(*x) for x in zip(w, w[1:], strict=False)), rel_tol=1e-9), i
+    common = math.log10(p("zeta")) + math.log10(p("omega")) + math.log10(p(""))
+    assert got[0] > common + 1
