@@ -2,16 +2,18 @@
 
 The template postings map each license word to its places in the templates. A
 first pass counts, over all documents, how many hold each template word; these
-document frequencies give the words' IDF. In a second pass each file looks up
-its highest-IDF license words, turns every posting into (template, file
-position - template position) and intersects them: an alignment that enough
-rare words agree on is a candidate. A candidate counts once its template's
-mandatory key phrase stands at that alignment (give or take SLACK words), and
-its score is the share of template words found at their relative positions.
+document frequencies give the words' IDF. In a second pass each file's license
+words are indexed by position. For every template the postings of its mandatory
+key phrase are intersected by relative position, the highest-IDF word first, so
+a file without that word is done at once. Around each place of the key phrase
+(give or take SLACK words) an alignment that at least `agree` different words of
+the template agree on is found; all the template's words vote, and its score is
+the share of template words at their relative positions. So templates do not
+compete: what else a file holds never hides one.
 
 The base phrases (mit license, apache license, general public license) are
-templates of their own, with themselves as key phrase; for them every posting
-is intersected, so each place is found.
+templates of their own, with themselves as key phrase, and each place of them
+is found.
 
 Defined results: a null text counts as empty; a text without words has n_words
 0, no labels, null first_word and last_word and score 0. Repeated rows give a
@@ -64,6 +66,7 @@ TEMPLATES = [
     _template("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, you can obtain one", "terms of the mozilla public license"),
     _template("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted", "permission to use copy modify and or distribute this software"),
     _template("unlicense", "This is free and unencumbered software released into the public domain", "free and unencumbered software"),
+    *(_template("cc", f"CC BY-{x}", f"CC BY-{x}") for x in ("SA", "NC", "ND")),
     _template("cc", "This work is licensed under a Creative Commons Attribution License. To view a copy of this license, visit", "creative commons attribution"),
     _template("epl", "This program and the accompanying materials are made available under the terms of the Eclipse Public License", "terms of the eclipse public license"),
 ]
@@ -92,15 +95,16 @@ def document_frequencies(docs: DataFrame) -> tuple[int, dict[bytes, int]]:
 
 
 class Scanner:
-    """Finds templates in one file's words; idf tells which of its license words are the rare ones."""
+    """Finds templates in one file's words; idf tells which words of a key phrase are looked up first."""
 
-    def __init__(self, n_docs: int, frequencies: dict[bytes, int], rare: int = 12, agree: int = 3):
+    def __init__(self, n_docs: int, frequencies: dict[bytes, int], agree: int = 3):
         self.idf = {w: math.log((n_docs + 1) / (frequencies.get(w, 0) + 1)) for w in VOCABULARY}
-        self.rare, self.agree = rare, agree
+        self.agree = agree
+        self.order = {t.key: sorted(range(len(t.key)), key=lambda i, t=t: (-self.idf[t.key[i]], i)) for t in TEMPLATES}
 
     def places(self, at: dict[bytes, list[int]], phrase: tuple[bytes, ...]) -> list[int]:
-        """Where the phrase's words stand consecutively: the words' postings intersected by relative position, the rarest first."""
-        order = sorted(range(len(phrase)), key=lambda i: len(at.get(phrase[i], ())))
+        """Where the key phrase's words stand consecutively: the words' postings intersected by relative position, the rarest first."""
+        order = self.order[phrase]
         starts = {p - order[0] for p in at.get(phrase[order[0]], ())}
         for i in order[1:]:
             if not starts:
@@ -120,21 +124,15 @@ class Scanner:
         base = sorted((p, t.label) for t in BASE for p in self.places(at, t.key))
         best = 1.0 if base else 0.0
         labels = {label for _, label in base}
-        votes: Counter = Counter()
-        for w in sorted(at, key=lambda x: (-self.idf[x], x))[: self.rare]:
-            for k, q in POSTINGS[w]:
-                if not TEMPLATES[k].base:
-                    votes.update({(k, p - q) for p in at[w]})
-        for (k, shift), n in votes.items():
-            if n < self.agree:
+        for t in TEMPLATES:
+            if t.base:
                 continue
-            t = TEMPLATES[k]
-            near = shift + self._key_at(t)
-            if not any(abs(p - near) <= SLACK for p in self.places(at, t.key)):
-                continue
-            hit = sum(1 for q, w in enumerate(t.words) if 0 <= shift + q < len(words) and words[shift + q] == w)
-            labels.add(t.label)
-            best = max(best, hit / len(t.words))
+            key_at = self._key_at(t)
+            for shift in {p - key_at + d for p in self.places(at, t.key) for d in range(-SLACK, SLACK + 1)}:
+                hits = [w for q, w in enumerate(t.words) if 0 <= shift + q < len(words) and words[shift + q] == w]
+                if len(set(hits)) >= self.agree:
+                    labels.add(t.label)
+                    best = max(best, len(hits) / len(t.words))
         return base, sorted(labels), best
 
     @staticmethod

@@ -39,3 +39,16 @@ def test_the_mandatory_phrase_is_needed():
     scanner = licenses.Scanner(10, {})
     words = licenses.words_of(LONG["bsd"].replace("binary forms", "other forms"))
     assert scanner.scan(words)[1] == []
+
+
+def test_a_file_of_many_licenses_keeps_them_all():
+    for frequencies in ({}, {w: 1 + i % 50 for i, w in enumerate(licenses.VOCABULARY)}):
+        scanner = licenses.Scanner(100, frequencies)
+        for names in (["mit", "isc", "bsd", "mpl"], ["mit", "mpl", "epl", "cc"], list(LONG)):
+            _, labels, score = scanner.scan(licenses.words_of(" and also ".join(LONG[x] for x in names)))
+            assert set(names) <= set(labels) and score == 1.0
+
+
+def test_short_creative_commons_notices():
+    scanner = licenses.Scanner(10, {})
+    assert [scanner.scan(licenses.words_of(f"text under {x} 4.0"))[1] for x in ("CC BY-NC", "CC-BY-SA", "cc by-nc-nd", "CC mail by NC")] == [["cc"], ["cc"], ["cc"], []]
