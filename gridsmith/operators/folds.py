@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ITERATIONS = 100
-ON_DRIVER = 200_000
 
 
 def seeds(points: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
@@ -31,7 +30,7 @@ def _renumber(centres: np.ndarray) -> np.ndarray:
 
 
 def kmeans(points: np.ndarray, k: int, seed: int) -> np.ndarray:
-    """Labels, numbered by their centres' x and y. The lowest centre wins ties and an empty cluster keeps its centre."""
+    """Plain k-means of an array. Labels, numbered by their centres' x and y. The lowest centre wins ties and an empty cluster keeps its centre."""
     if len(points) < k:
         raise ValueError(f"{len(points)} points can't be dealt to {k} folds")
     centres = seeds(points, k, np.random.default_rng(seed))
@@ -52,31 +51,47 @@ def nearest_centre(x: Column, y: Column, centres: Sequence[Sequence[float]]) ->
     return F.array_min(each)["i"]
 
 
+def _drawn(weighted: DataFrame, weight: Column, seed: int, step: int) -> tuple[float, float] | None:
+    """A point drawn with a probability in proportion to its weight, None where all are 0: the least of exponential variates of these rates, made of hashes, so neither order nor partitions matter."""
+    uniform = (F.shiftrightunsigned(F.xxhash64("x", "y", F.lit(seed), F.lit(step)), 11).cast("double") + 0.5) / float(2**53)
+    positive = weighted.select("x", "y", uniform.alias("u"), weight.alias("w")).where("w > 0")
+    least = positive.agg(F.min(F.struct((-F.log("u") / F.col("w")).alias("key"), "x", "y")).alias("p")).first()["p"]
+    return None if least is None else (least["x"], least["y"])
+
+
 def distributed_kmeans(points: DataFrame, k: int, seed: int) -> list[tuple[float, float]]:
-    """Centres over a table of (x, y) of any size: seeded on a sample of ON_DRIVER rows by hash, then Lloyd's steps as aggregates of k rows each."""
-    drawn = points.orderBy(F.xxhash64("x", "y")).limit(ON_DRIVER).toPandas()[["x", "y"]].drop_duplicates().to_numpy(float)
-    if len(drawn) < k:
-        raise ValueError(f"{len(drawn)} points can't be dealt to {k} folds")
-    centres = seeds(drawn[np.lexsort((drawn[:, 1], drawn[:, 0]))], k, np.random.default_rng(seed))
-    for _ in range(ITERATIONS):
-        label = nearest_centre(F.col("x"), F.col("y"), centres)
-        moved = centres.copy()
-        for r in points.groupBy(label.alias("i")).agg(F.avg("x").alias("x"), F.avg("y").alias("y")).collect():
-            moved[r["i"]] = r["x"], r["y"]
-        if np.allclose(moved, centres, rtol=1e-12):
-            break
-        centres = moved
+    """Centres over all rows of a table of (x, y), by x and y: one way at every size.
+
+    Equal points become one row with their number as its weight. Weighted
+    k-means++ draws the centres from all of them, then Lloyd's steps run as
+    aggregates of k rows each. Points without x or y are left out.
+    """
+    weighted = points.where("x IS NOT NULL AND y IS NOT NULL").groupBy(F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).agg(F.count("*").alias("n")).persist()
+    try:
+        rows = weighted.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        if rows < k:
+            raise ValueError(f"{rows} points can't be dealt to {k} folds")
+        n = F.col("n").cast("double")
+        chosen = [_drawn(weighted, n, seed, 0)]
+        for step in range(1, k):
+            near = F.array_min(F.array(*[(F.col("x") - float(cx)) ** 2 + (F.col("y") - float(cy)) ** 2 for cx, cy in chosen]))
+            chosen.append(_drawn(weighted, n * near, seed, step) or _drawn(weighted, n, seed, step))
+        centres = np.array(chosen, float)
+        for _ in range(ITERATIONS):
+            label = nearest_centre(F.col("x"), F.col("y"), centres)
+            moved = centres.copy()
+            for r in weighted.groupBy(label.alias("i")).agg((F.sum(F.col("x") * n) / F.sum(n)).alias("x"), (F.sum(F.col("y") * n) / F.sum(n)).alias("y")).collect():
+                moved[r["i"]] = r["x"], r["y"]
+            if np.allclose(moved, centres, rtol=1e-12):
+                break
+            centres = moved
+    finally:
+        weighted.unpersist()
     return [tuple(c) for c in centres[np.lexsort((centres[:, 1], centres[:, 0]))]]
 
 
 def assign_folds(patches: DataFrame, k: int, seed: int, key: str = "patch_id", order: Sequence[str] = ("row", "col")) -> DataFrame:
-    """patches (key, order, x, y) with a fold. Up to ON_DRIVER patches are clustered exactly on the driver, in the given order; more of them by aggregates."""
-    few = patches.select(key, *order, "x", "y").limit(ON_DRIVER + 1)
-    if few.count() <= ON_DRIVER:
-        rows = patches.select(key, *order, "x", "y").orderBy(*order, key).toPandas()
-        labels = kmeans(rows[["x", "y"]].to_numpy(float), k, seed)
-        dealt = patches.sparkSession.createDataFrame(list(zip(rows[key].tolist(), labels.tolist(), strict=True)), f"{key} {dict(patches.dtypes)[key]}, fold int")
-        return patches.drop("fold").join(F.broadcast(dealt), key)
+    """patches (key, order, x, y) with a fold, by the same k-means at every size; the result depends on neither key nor order."""
     return patches.drop("fold").withColumn("fold", nearest_centre(F.col("x"), F.col("y"), distributed_kmeans(patches.select("x", "y"), k, seed)))
 
 

@@ -210,6 +210,18 @@ def test_folds(spark):
     assert centres[0][0] < 2000 < 80000 < centres[1][0]
 
 
+def test_folds_of_large_tables_with_a_hot_point_are_those_of_all_points(spark):
+    points = [(float(512 * i), float(512 * (i % 3))) for i in range(12)]
+    frame = spark.createDataFrame([(i, i, 0, *p) for i, p in enumerate(points)], "patch_id long, row int, col int, x double, y double")
+    hot = frame.orderBy(F.xxhash64("x", "y")).limit(1)
+    more = frame.unionByName(hot.crossJoin(spark.range(200_001)).drop("id"))
+    dealt = folds.assign_folds(more, 4, 42)
+    by_point = {(r.x, r.y): r.fold for r in dealt.select("x", "y", "fold").distinct().collect()}
+    assert len(by_point) == 12 and set(by_point.values()) == {0, 1, 2, 3} and dealt.count() == 200_013
+    again = folds.assign_folds(more.repartition(7), 4, 42).select("x", "y", "fold").distinct().collect()
+    assert {(r.x, r.y): r.fold for r in again} == by_point
+
+
 def test_band_statistics(spark):
     rows = spark.createDataFrame([(1.0, None), (3.0, None), (NAN, None), (INF, None)], "p double, q double")
     got = {r.band: r for r in stats.band_stats(rows, ["p", "q"]).collect()}
