@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -29,10 +29,12 @@ def id_and_text(docs: DataFrame) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> None:
-    """The cluster names the shared folder in spark.checkpoint.dir; one of our own only where that is unset, as in tests."""
+    """The cluster names the shared folder in spark.checkpoint.dir; one of our own only on a single machine that names none, as in tests."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
         context.setCheckpointDir(named or f"file:///tmp/checkpoints/{os.getuid()}")
 
 
@@ -51,8 +53,26 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def even_keys(spark: SparkSession) -> list[int]:
-    """As many numbers as there are shuffle partitions, each of which a shuffle by its int value deals to another one: as keys of equal work they fill every partition once."""
+def even_keys(spark: SparkSession, rounds: int = 1) -> list[int]:
+    """So many times as many numbers as there are shuffle partitions: a shuffle by their int value deals every partition the same number of them."""
     width = shuffle_width(spark)
-    dealt = spark.range(width * 24 + 64).select(F.col("id"), F.pmod(F.hash(F.col("id").cast("int")), F.lit(width)).alias("to"))
-    return [r["key"] for r in dealt.groupBy("to").agg(F.min("id").alias("key")).orderBy("to").collect()]
+    dealt = spark.range(width * (24 + 4 * rounds) + 64).select(F.col("id"), F.pmod(F.hash(F.col("id").cast("int")), F.lit(width)).alias("to"))
+    ranked = dealt.withColumn("nth", F.row_number().over(Window.partitionBy("to").orderBy("id"))).where(F.col("nth") <= rounds)
+    return [r["id"] for r in ranked.orderBy("nth", "to").collect()]
+
+
+#: Bytes of text that one part, and one bucket's share, may stand for: a task holds a part's texts, or what all parts ask of a bucket.
+PART_BYTES = 24 << 20
+
+
+def buckets_and_parts(frame: DataFrame, part_bytes: int = PART_BYTES) -> tuple[list[int], int]:
+    """Keys of the buckets and the number of parts, for texts of the measured size."""
+    spark = frame.sparkSession
+    size = frame.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    width = shuffle_width(spark)
+    return even_keys(spark, max(1, -(-size // (part_bytes * width)))), max(3 * width, -(-size // part_bytes))
+
+
+def part_of(width: int) -> Column:
+    """The part of a row (doc_id, text): rows of one doc_id are in one part, those without are dealt by their text."""
+    return F.pmod(F.xxhash64(F.coalesce("doc_id", F.xxhash64("text"))), F.lit(width)).cast("int")

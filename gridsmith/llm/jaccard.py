@@ -1,36 +1,37 @@
 """N-gram Jaccard join by a blocked sparse product of documents and n-grams.
 
-1. One pass gives each document its set's size and 128-bit digest, and counts
-   n-grams that a task sees repeatedly, to order n-grams from rare to common. Any
-   order gives exact results; this one keeps lists short.
-2. The incidence matrix is cut into blocks: rows by task, columns by the
-   n-gram's hash. From each distinct set a task sends the first
-   n - ceil(3n/4) + slack(n) n-grams, rare ones first. Sizes alone bound how
-   many of these two sets that link have in common (see `needed`). A column
-   block lays equal n-grams side by side and accumulates overlap counts of
-   pairs; pairs that stay below their bound are discarded. An n-gram that many
-   sets hold ties them to one hub instead of making pairs, so its rows grow as
-   the list does.
-3. The components of what is left are exact supersets of the result's. Their
-   documents meet in blocks of bounded size (see `_links`), and a sparse product
-   of full rows, in BFS order against documents not yet reached, gives the exact
-   overlaps. Links found become components.
+1. Documents are dealt to parts by a hash of their id. A part asks buckets of
+   n-grams how many distinct sets hold each of its n-grams, all parts together;
+   the answers order every n-gram of the corpus from rare to common.
+2. Sizes alone say that two sets that link share one of the first
+   n - ceil(3n/4) + 1 n-grams of each in that order (see `prefix_length`). Those
+   that no other set holds tie nothing and stay where they are. Column blocks
+   lay equal n-grams side by side and tie their sets together, by size: along a
+   list sets are tied to the next larger while their sizes allow a link. So a
+   list gives rows as it is long, whatever its length, and a part sends a list
+   that many of its sets are in once for each range of sizes.
+3. The components of these ties are supersets of the result's. Their documents
+   meet in row blocks of bounded size (see `_links`). There a sparse product of
+   full rows, in BFS order against documents not yet reached, accumulates whole
+   overlap counts; pairs below the bound that their sizes give are discarded
+   where they are made, and only a forest of the links leaves the task.
 
 Sets with equal digests are one vertex, wherever they lie, so exact copies cost
-one row a task.
+one row a part.
 
 Defined results: a null text, or one without words, has an empty set, links
 with nothing, and is its own component; a text of fewer than five words is one
-shingle, of all of them. Equal rows are linked like other copies and give a row
-each; rows of one doc_id with different texts count as one document wherever
-they have links. A row without doc_id links to nothing and gets a null
-component. Further columns are ignored; an empty table gives no rows.
+shingle, of all of them. Texts of any length go through in pieces (see
+`words`); a set is held by one task. Equal rows are linked like other copies
+and give a row each; rows of one doc_id with different texts are one document
+with the links of all of them. A row without doc_id links to nothing and gets a
+null component. Further columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 from hashlib import blake2b
 
 import numpy as np
@@ -39,74 +40,54 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridsmith.llm.common import cut, even_keys, id_and_text
+from gridsmith.llm.common import buckets_and_parts, cut, id_and_text, part_of
 from gridsmith.llm.graph import components, forest
+from gridsmith.llm.words import planes, steps, stir, unplanes, unsteps, word_numbers
 
 N = 5
 #: Links: 100 * intersection >= PERCENT * union.
 PERCENT = 75
-#: Lists up to this long make pairs, longer ones a star around a hub.
-PAIRS = 32
-ORDERED = 1_000_000
 #: N-grams of a block: small ones where few sets are left to compare, so that no task holds much of a large group, and at most the larger number.
 BLOCK_NGRAMS = 20_000, 1_000_000
 #: Ids up to this many (of some 40 bytes) are broadcast to the texts; more of them are joined by a shuffle.
 BROADCAST_ROWS = 100_000
 #: Characters of text whose words are held at once.
 _CHUNK = 2_000_000
-#: N-grams whose counts a task gathers before it reports them.
-_HELD = 6_000_000
-_A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-
-
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= 250_000:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
-def slack(n: np.ndarray) -> np.ndarray:
-    return 1 + n // 20
+_U = np.uint64
+_MIX = _U(0x9E3779B97F4A7C15)
 
 
 def prefix_length(n: np.ndarray) -> np.ndarray:
-    return np.minimum(n, n - -(-PERCENT * n // 100) + slack(n))
+    """How many of a set's n-grams, in the common order, hold one of every set that links with it.
 
-
-def needed(n: np.ndarray, m: np.ndarray) -> np.ndarray:
-    """How many n-grams of both prefixes two sets of these sizes share at least if they link.
-
-    They share all told at least PERCENT / (100 + PERCENT) of n + m. Of the set
-    whose prefix ends first in the common order, every shared n-gram in the
-    prefix is in the other's too; the others are among the rest of that set.
+    Sets that link share at least ceil(3n/4) of these n; leave out all but the
+    first n - ceil(3n/4) + 1 of either set, and the first shared one is in both.
     """
-    overlap = -(-PERCENT * (n + m) // (100 + PERCENT))
-    return np.maximum(1, overlap - np.maximum(n - prefix_length(n), m - prefix_length(m)))
+    return n - -(-PERCENT * n // 100) + 1
 
 
-def shingle_sets(texts: list[str], hashes: _Hashes) -> tuple[np.ndarray, np.ndarray]:
+def shingle_sets(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Each text's size, and all their shingles' hashes, sorted and distinct within a text."""
-    words = [t.encode("utf-8", "surrogatepass").lower().split() for t in texts]
-    many = np.array([len(w) for w in words], np.int64)
-    flat = np.fromiter((hashes[w] for row in words for w in row), np.uint64, int(many.sum()))
-    ends = np.cumsum(many)
-    starts = ends - many
-    windows = np.where(many >= N, many - N + 1, (many > 0).astype(np.int64))
-    doc = np.repeat(np.arange(len(texts)), windows)
-    at = np.arange(int(windows.sum())) - np.repeat(np.cumsum(windows) - windows, windows) + starts[doc]
-    length = np.minimum(many[doc], N)
-    value = length.astype(np.uint64) * _B
-    for i in range(N):
-        here = np.minimum(at + i, len(flat) - 1) if len(flat) else at
-        value = np.where(i < length, (value ^ flat[here]) * _A, value) if len(flat) else value
-        value ^= value >> np.uint64(31)
-    order = np.lexsort((value, doc))
-    value, doc = value[order], doc[order]
-    keep = np.ones(len(value), bool)
-    keep[1:] = (value[1:] != value[:-1]) | (doc[1:] != doc[:-1])
-    return np.bincount(doc[keep], minlength=len(texts)), value[keep]
+    many, word = word_numbers(texts)
+    rows = max(0, len(word) - N + 1)
+    # The windows of the whole run of words; those that cross texts are not taken.
+    window = word[:rows].copy()
+    for i in range(1, N):
+        window ^= window >> _U(31)
+        window *= _MIX
+        window += word[i : i + rows]
+    window = stir(window)
+    out = []
+    for end, k in zip(np.cumsum(many).tolist(), many.tolist(), strict=True):
+        if k >= N:
+            own = np.sort(window[end - k : end - N + 1])
+            fresh = own[1:] != own[:-1]
+            out.append(own if fresh.all() else own[np.concatenate([[True], fresh])])
+        elif k:
+            out.append(np.array([xxhash.xxh3_64_intdigest(word[end - k : end].tobytes(), seed=k)], _U))
+        else:
+            out.append(np.zeros(0, _U))
+    return np.array([len(x) for x in out], np.int64), np.concatenate(out) if out else np.zeros(0, _U)
 
 
 def _chunks(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
@@ -119,123 +100,154 @@ def _chunks(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
             start, total = i + 1, 0
 
 
-def _often(held: list[np.ndarray]) -> pa.RecordBatch:
-    """The n-grams that occur more than once, with their counts."""
-    grams = np.sort(np.concatenate(held)) if held else np.zeros(0, np.uint64)
-    starts = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]])) if len(grams) else np.zeros(0, int)
-    count = np.diff(np.append(starts, len(grams)))
-    starts, count = starts[count > 1], count[count > 1]
-    none = pa.nulls(len(count), pa.int64())
-    return pa.RecordBatch.from_arrays([none, none, pa.array(grams[starts].view(np.int64)), none, pa.array(count.astype(np.int64))], _DIGEST)
-
+@dataclass
+class PartSets:
+    """A part's documents and its distinct sets: which set a document has (-1: none that links), each set's smallest doc_id, digest, size and n-grams in turn."""
 
-_DIGEST = ["doc_id", "n", "hi", "lo", "many"]
+    ids: list[int | None]
+    n: np.ndarray
+    which: np.ndarray
+    least: np.ndarray
+    marks: np.ndarray
+    size: np.ndarray
+    gram: np.ndarray
 
-
-def digests(frame: DataFrame) -> DataFrame:
-    """A row (doc_id, n, hi, lo, null) for each document, and rows (n-gram hash in hi, count in many) for n-grams that several distinct sets of a task hold."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, seen, held, size = _Hashes(), set(), [], 0
-        for batch in batches:
-            ids = batch.column("doc_id").to_pylist()
-            for start, texts in _chunks(batch.column("text").to_pylist()):
-                n, value = shingle_sets(texts, hashes)
-                ends = np.cumsum(n)
-                raw = value.astype("<u8").tobytes()
-                marks = [blake2b(raw[8 * (e - k) : 8 * e], digest_size=16).digest() for e, k in zip(ends.tolist(), n.tolist(), strict=True)]
-                new = np.array([m not in seen and not seen.add(m) for m in marks], bool)
-                both = np.frombuffer(b"".join(marks), "<i8").reshape(-1, 2)
-                held.append(value[np.repeat(new, n)])
-                size += len(held[-1])
-                if size > _HELD:
-                    yield _often(held)
-                    held, size = [], 0
-                yield pa.RecordBatch.from_arrays([pa.array(ids[start : start + len(texts)], pa.int64()), pa.array(n, pa.int64()), pa.array(both[:, 0]), pa.array(both[:, 1]), pa.nulls(len(texts), pa.int64())], _DIGEST)
-        yield _often(held)
-
-    return frame.mapInArrow(run, "doc_id long, n long, hi long, lo long, many long")
-
-
-def prefixes(frame: DataFrame, order: tuple[np.ndarray, np.ndarray], keys: list[int]) -> DataFrame:
-    """A task's block of rows, cut by column: (bucket, n-gram hashes, the rest packed: doc_ids and sizes)."""
-    common, rank = order
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, number = _Hashes(), {}
-        # The smallest doc_id of each distinct set, by the set's number: copies come in any order.
+    @classmethod
+    def of(cls, texts: pa.Table) -> PartSets:
+        ids = texts.column("doc_id").to_pylist()
+        number: dict[bytes, int] = {}
         least: list[int] = []
-        parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        for batch in batches:
-            ids = batch.column("doc_id").to_pylist()
-            for start, texts in _chunks(batch.column("text").to_pylist()):
-                n, value = shingle_sets(texts, hashes)
-                ends = np.cumsum(n)
-                raw = value.astype("<u8").tobytes()
-                marks = [blake2b(raw[8 * (e - k) : 8 * e], digest_size=16).digest() for e, k in zip(ends.tolist(), n.tolist(), strict=True)]
-                which = [number.setdefault(m, len(number)) for m in marks]
-                new = np.zeros(len(texts), bool)
-                for i, w in enumerate(which):
-                    if w == len(least):
-                        least.append(ids[start + i])
-                        new[i] = n[i] > 0
-                    else:
-                        least[w] = min(least[w], ids[start + i])
-                doc = np.repeat(np.arange(len(texts)), n)
-                use = new[doc]
-                doc, value = doc[use], value[use]
-                at = np.minimum(np.searchsorted(common, value), max(0, len(common) - 1))
-                weight = np.where(common[at] == value, rank[at], 0) if len(common) else np.zeros(len(value), np.int64)
-                by = np.lexsort((value, weight, doc))
-                doc, value = doc[by], value[by]
-                size = np.where(new, n, 0)
-                place = np.arange(len(doc)) - np.repeat(np.cumsum(size) - size, size)
-                take = place < prefix_length(n)[doc]
-                doc, value = doc[take], value[take]
-                parts.append((value, np.array(which, np.int64)[doc], n[doc].astype(np.int32)))
-        value, which, size = (np.concatenate(x) if parts else np.zeros(0, t) for x, t in zip(zip(*parts, strict=True) if parts else ((), (), ()), (np.uint64, np.int64, np.int32), strict=True))
-        ids = np.array(least, np.int64)[which]
-        bucket = np.array(keys, np.int64)[((value >> np.uint64(33)) % np.uint64(len(keys))).astype(np.int64)]
-        by = np.lexsort((ids, bucket))
-        value, ids, size, bucket = value[by], ids[by], size[by], bucket[by]
-        cuts = np.flatnonzero(np.diff(bucket, prepend=-1)) if len(bucket) else np.zeros(0, int)
-        rows = []
-        for a, b in zip(cuts, np.append(cuts[1:], len(bucket))[: len(cuts)], strict=True):
-            rows.append((int(bucket[a]), value[a:b].tobytes(), zlib.compress(np.diff(ids[a:b], prepend=0).astype("<i8").tobytes(), 1), zlib.compress(size[a:b].astype("<i4").tobytes(), 1)))
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.binary(), pa.binary(), pa.binary()))], ["bucket", "grams", "ids", "sizes"])
-
-    return frame.where(F.col("doc_id").isNotNull()).mapInArrow(run, "bucket int, grams binary, ids binary, sizes binary")
-
-
-def block_pairs(group: pa.Table) -> pa.Table:
-    """One column block: pairs with how many n-grams they share here and how many they need, and stars (need 0)."""
-    gram = np.concatenate([np.frombuffer(x, np.uint64) for x in group.column("grams").to_pylist()])
-    ids = np.concatenate([np.cumsum(np.frombuffer(zlib.decompress(x), "<i8")) for x in group.column("ids").to_pylist()])
-    size = np.concatenate([np.frombuffer(zlib.decompress(x), "<i4") for x in group.column("sizes").to_pylist()]).astype(np.int64)
-    order = np.lexsort((ids, gram))
-    gram, ids, size = gram[order], ids[order], size[order]
-    starts = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]])) if len(gram) else np.zeros(0, int)
-    many = np.diff(np.append(starts, len(gram)))
-    pairs: list[np.ndarray] = []
-    for length in np.unique(many[(many > 1) & (many <= PAIRS)]).tolist():
-        first = starts[many == length]
-        i, j = np.triu_indices(length, 1)
-        for part in np.array_split(first, 1 + len(first) * len(i) // 2_000_000):
-            x, y = (part[:, None] + i).ravel(), (part[:, None] + j).ravel()
-            fit = 100 * np.minimum(size[x], size[y]) >= PERCENT * np.maximum(size[x], size[y])
-            x, y = x[fit], y[fit]
-            found = np.stack([ids[x], ids[y], needed(size[x], size[y])], 1)
-            key, n = np.unique(found, axis=0, return_counts=True) if len(found) else (found, np.zeros(0, np.int64))
-            pairs.append(np.concatenate([key, n[:, None]], 1))
-    all_pairs = np.concatenate(pairs) if pairs else np.zeros((0, 4), np.int64)
-    key, inverse = np.unique(all_pairs[:, :3], axis=0, return_inverse=True) if len(all_pairs) else (all_pairs[:, :3], np.zeros(0, int))
-    shared = np.bincount(inverse.ravel(), all_pairs[:, 3], len(key)).astype(np.int64)
-    long = many > PAIRS
-    hub = np.repeat(ids[starts[long]], many[long])
-    member = ids[np.repeat(long, many)]
-    x, y = forest(hub, member) if len(hub) else (hub, member)
-    star = np.zeros(len(x), np.int64)
-    return pa.table({"a": pa.array(np.concatenate([key[:, 0], y])), "b": pa.array(np.concatenate([key[:, 1], x])), "need": pa.array(np.concatenate([key[:, 2], star])), "shared": pa.array(np.concatenate([shared, star]))})
+        n_all, which, sizes, grams = [], [], [], []
+        for start, some in _chunks(texts.column("text").to_pylist()):
+            n, value = shingle_sets(some)
+            n_all.append(n)
+            for i, (k, end) in enumerate(zip(n.tolist(), np.cumsum(n).tolist(), strict=True), start):
+                if not k or ids[i] is None:
+                    which.append(-1)
+                    continue
+                own = value[end - k : end]
+                at = number.setdefault(blake2b(own.tobytes(), digest_size=16).digest(), len(number))
+                if at == len(least):
+                    least.append(ids[i])
+                    sizes.append(k)
+                    grams.append(own)
+                least[at] = min(least[at], ids[i])
+                which.append(at)
+        marks = np.frombuffer(b"".join(number), "<i8").reshape(-1, 2)
+        whole = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
+        return cls(ids, whole(n_all, np.int64), np.array(which, np.int64), np.array(least, np.int64), marks, np.array(sizes, np.int64), whole(grams, _U))
+
+
+def _ranges(gram: np.ndarray, many: int) -> Iterator[tuple[int, slice]]:
+    """The range of sorted hashes that each of so many buckets gets."""
+    cuts = np.searchsorted(gram, np.arange(1, many, dtype=_U) * _U((2**64 - 1) // many))
+    for b, (i, j) in enumerate(zip([0, *cuts.tolist()], [*cuts.tolist(), len(gram)], strict=True)):
+        if j > i:
+            yield b, slice(i, j)
+
+
+def _arrow(rows: list[tuple], fields: list[tuple[str, pa.DataType]]) -> pa.Table:
+    return pa.table({name: pa.array([r[i] for r in rows], kind) for i, (name, kind) in enumerate(fields)})
+
+
+_INT, _LONG, _BIN = pa.int32(), pa.int64(), pa.binary()
+
+
+def _ask(keys: list[int]):
+    """A part's distinct n-grams, by bucket, with how many of its sets hold them."""
+
+    def run(texts: pa.Table) -> pa.Table:
+        part = texts.column("part")[0].as_py()
+        gram, many = np.unique(PartSets.of(texts).gram, return_counts=True)
+        rows = [(keys[b], part, steps(gram[s]), planes(many[s])) for b, s in _ranges(gram, len(keys))]
+        return _arrow(rows, [("bucket", _INT), ("part", _INT), ("grams", _BIN), ("many", _BIN)])
+
+    return run
+
+
+def _answer(group: pa.Table) -> pa.Table:
+    """For every part that asked, its n-grams' ranks from rare to common: 0 for those of one set, else an eighth of a power of two apart."""
+    rows = group.select(["bucket", "part", "grams", "many"]).to_pylist()
+    grams = [unsteps(r["grams"]) for r in rows]
+    _, inverse = np.unique(np.concatenate(grams), return_inverse=True)
+    total = np.bincount(inverse, np.concatenate([unplanes(r["many"]) for r in rows]))
+    rank = np.minimum(255, 8 * np.log2(total)).astype("u1")[inverse]
+    ends = np.cumsum([len(g) for g in grams])
+    out = [(r["part"], r["bucket"], rank[e - len(g) : e].tobytes()) for r, g, e in zip(rows, grams, ends.tolist(), strict=True)]
+    return _arrow(out, [("part", _INT), ("bucket", _INT), ("ranks", _BIN)])
+
+
+TIED = [("doc_id", _LONG), ("n", _LONG), ("own", _LONG), ("hi", _LONG), ("lo", _LONG), ("a", _LONG), ("b", _LONG), ("bucket", _INT), ("grams", _BIN), ("ids", _BIN), ("low", _BIN), ("high", _BIN)]
+TIED_SCHEMA = "doc_id long, n long, own long, hi long, lo long, a long, b long, bucket int, grams binary, ids binary, low binary, high binary"
+
+
+def _tie(keys: list[int]):
+    """A part again, with the answers. Rows with n are documents (hi and lo with the first of each set), rows with a are ties within the part, rows with a bucket are lists for the column blocks."""
+    place = {k: b for b, k in enumerate(keys)}
+
+    def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        if not texts.num_rows:
+            return _arrow([], TIED)
+        sets = PartSets.of(texts)
+        rows: list[tuple] = []
+        told = [False] * len(sets.least)
+        for i, n, w in zip(sets.ids, sets.n.tolist(), sets.which.tolist(), strict=True):
+            new = w >= 0 and i == sets.least[w] and not told[w]
+            rows.append((i, n, int(sets.least[w]) if w >= 0 else i, *(sets.marks[w].tolist() if new else (None, None)), *[None] * 7))
+            if new:
+                told[w] = True
+        distinct, inverse = np.unique(sets.gram, return_inverse=True)
+        blobs = sorted((place[r["bucket"]], r["ranks"]) for r in answers.to_pylist())
+        rank = np.frombuffer(b"".join(x for _, x in blobs), "u1")[inverse] if len(distinct) else np.zeros(0, "u1")
+        owner = np.repeat(np.arange(len(sets.size)), sets.size)
+        use = np.flatnonzero(rank > 0)
+        alone = np.bincount(owner, rank == 0, len(sets.size)).astype(np.int64)
+        use = use[np.lexsort((sets.gram[use], rank[use], owner[use]))]
+        own = owner[use]
+        kept = np.bincount(own, minlength=len(sets.size))
+        position = alone[own] + np.arange(len(own)) - (np.cumsum(kept) - kept)[own]
+        early = position < prefix_length(sets.size)[own]
+        own, gram = own[early], sets.gram[use[early]]
+        size = sets.size[own]
+        by = np.lexsort((size, gram))
+        own, gram, size = own[by], gram[by], size[by]
+        first = _breaks(gram, size, size)
+        at = np.flatnonzero(first)
+        seg = np.cumsum(first) - 1
+        ids = sets.least[own]
+        a, b = forest(ids, ids[at][seg]) if len(ids) else (ids, ids)
+        rows += [(None,) * 5 + (x, y) + (None,) * 5 for x, y in zip(a.tolist(), b.tolist(), strict=True)]
+        last = np.append(at[1:], len(own))[: len(at)] - 1
+        gram, low, high, ids = gram[at], size[at], size[last], ids[at]
+        for bucket, s in _ranges(gram, len(keys)):
+            rows.append((None,) * 7 + (keys[bucket], steps(gram[s]), ids[s].astype("<i8").tobytes(), planes(low[s]), planes(high[s])))
+        return _arrow(rows, TIED)
+
+    return run
+
+
+def _breaks(gram: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Where a new run starts in lists sorted by n-gram and low: another n-gram, or a size that no earlier set of the list can link with."""
+    first = np.ones(len(gram), bool)
+    if len(gram) > 1:
+        same = gram[1:] == gram[:-1]
+        which = np.concatenate([[0], np.cumsum(~same)])
+        most = np.maximum.accumulate(which * 2**32 + high) % 2**32
+        first[1:] = ~same | (100 * most[:-1] < PERCENT * low[1:])
+    return first
+
+
+def _column_block(group: pa.Table) -> pa.Table:
+    """One column block: a forest of the ties that its lists make."""
+    rows = group.select(["grams", "ids", "low", "high"]).to_pylist()
+    gram = np.concatenate([unsteps(r["grams"]) for r in rows])
+    ids = np.concatenate([np.frombuffer(r["ids"], "<i8") for r in rows])
+    low, high = (np.concatenate([unplanes(r[c]) for r in rows]).astype(np.int64) for c in ("low", "high"))
+    by = np.lexsort((low, gram))
+    gram, ids, low, high = gram[by], ids[by], low[by], high[by]
+    first = _breaks(gram, low, high)
+    a, b = forest(ids, ids[np.flatnonzero(first)][np.cumsum(first) - 1])
+    return pa.table({"a": pa.array(a), "b": pa.array(b)})
 
 
 def exact_links(ids: np.ndarray, n: np.ndarray, gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -288,8 +300,7 @@ def _verify(group: pa.Table) -> pa.Table:
         else:
             texts[t] = i
             ids.append(i)
-    hashes = _Hashes()
-    sets = [shingle_sets(chunk, hashes) for _, chunk in _chunks(list(texts))]
+    sets = [shingle_sets(chunk) for _, chunk in _chunks(list(texts))]
     n, gram = (np.concatenate(x) for x in zip(*sets, strict=True))
     a, b = exact_links(np.array(ids, np.int64), n, gram)
     return pa.table({"a": pa.array(np.concatenate([a, np.array(same_a, np.int64)])), "b": pa.array(np.concatenate([b, np.array(same_b, np.int64)]))})
@@ -309,17 +320,15 @@ def _all_blocks(blocks: str) -> Column:
     return F.sequence(F.lit(0), F.col(blocks) - 1)
 
 
-def _links(frame: DataFrame, rough: DataFrame, sizes: DataFrame, block: tuple[int, int]) -> DataFrame:
-    """Exact links that connect each component of the rough graph as all links would.
+def _links(frame: DataFrame, sized: DataFrame, block: tuple[int, int]) -> DataFrame:
+    """Exact links that connect each component of the rough graph (doc_id, label, n) as all links would.
 
     First every component is dealt to small blocks, its smallest document (the
     hub) to all of them. Of a group of near copies most are then linked by way of
     the hub. Documents that are not meet all others of their component, again in
     blocks, which are larger the more there are of them.
     """
-    member = rough.unionByName(rough.select(F.col("label").alias("v"), "label").distinct())
-    sized = member.join(sizes, "v").select(F.col("v").alias("doc_id"), "label", "n")
-    total = sized.groupBy("label").agg(F.sum("n").alias("total")).withColumn("blocks", F.ceil(F.col("total") / block[0]).cast("int"))
+    total = sized.groupBy("label").agg(F.sum("n").alias("total"), F.count("*").alias("rows")).where("rows > 1").drop("rows").withColumn("blocks", F.ceil(F.col("total") / block[0]).cast("int"))
     dealt = cut(sized.join(total, "label"))
     own = F.array(_spread("doc_id", "blocks", 1))
     first = dealt.select("doc_id", "label", F.explode(F.when(F.col("doc_id") == F.col("label"), _all_blocks("blocks")).otherwise(own)).alias("i"))
@@ -340,35 +349,41 @@ def _links(frame: DataFrame, rough: DataFrame, sizes: DataFrame, block: tuple[in
 
 def jaccard_components(docs: DataFrame, block_ngrams: tuple[int, int] = BLOCK_NGRAMS) -> DataFrame:
     """doc_id, n_shingles and component_id, one row a document: the rows that op8 returns."""
-    spark = docs.sparkSession
     frame = id_and_text(docs)
-    first = cut(digests(frame))
-    sets = first.where(F.col("many").isNull())
-    counted = first.where(F.col("many").isNotNull()).groupBy("hi").agg(F.sum("many").alias("many")).where(F.col("many") >= 4)
-    # At most ORDERED n-grams: they only steer the order.
-    common = counted.orderBy(F.desc("many"), "hi").limit(ORDERED).toArrow()
-    gram = common.column("hi").to_numpy().view(np.uint64)
-    by = np.argsort(gram)
-    order = gram[by], common.column("many").to_numpy()[by]
-    pairs = prefixes(frame, order, even_keys(spark)).groupBy("bucket").applyInArrow(block_pairs, "a long, b long, need long, shared long")
-    kept = pairs.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.min("need").alias("need")).where((F.col("shared") >= F.col("need")) & (F.col("a") != F.col("b")))
-    sizes = sets.groupBy(F.col("doc_id").alias("v")).agg(F.max("n").alias("n"))
-    labels = components(_links(frame, components(kept), sizes, block_ngrams))
-    labels = labels.unionByName(labels.select(F.col("label").alias("v"), "label").distinct())
-    known = sets.where(F.col("n") > 0).join(labels, F.col("doc_id") == F.col("v")).groupBy("hi", "lo").agg(F.min("label").alias("label"))
-    least = sets.where((F.col("n") > 0) & F.col("doc_id").isNotNull()).groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"))
-    by_set = least.join(known, ["hi", "lo"], "left").select("hi", "lo", F.least("rep", "label").alias("component"))
-    out = sets.join(by_set, ["hi", "lo"], "left")
-    own = F.when(F.col("doc_id").isNull(), F.lit(None)).when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), own.cast("long").alias("component_id"))
+    keys, width = buckets_and_parts(frame)
+    parts = frame.withColumn("part", part_of(width))
+    asked = parts.groupBy("part").applyInArrow(_ask(keys), "bucket int, part int, grams binary, many binary")
+    answered = asked.groupBy("bucket").applyInArrow(_answer, "part int, bucket int, ranks binary")
+    tied = cut(parts.groupBy("part").cogroup(answered.groupBy("part")).applyInArrow(_tie(keys), TIED_SCHEMA))
+    across = tied.where("bucket IS NOT NULL").groupBy("bucket").applyInArrow(_column_block, "a long, b long")
+    rough = components(tied.where("a IS NOT NULL").select("a", "b").unionByName(across))
+    # Copies in different parts: the smallest stands for all, which are one row a part.
+    held = tied.where("hi IS NOT NULL").select("doc_id", "n", "hi", "lo")
+    least = held.groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"))
+    copies = held.join(least.select("hi", "lo", "rep"), ["hi", "lo"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    member = rough.unionByName(rough.select(F.col("label").alias("v"), "label").distinct())
+    sized = member.join(least.groupBy(F.col("rep").alias("v")).agg(F.sum("n").alias("n")), "v").select(F.col("v").alias("doc_id"), "label", "n")
+    documents = tied.where("n IS NOT NULL").select("doc_id", "n", "own")
+    same = documents.select(F.col("doc_id").alias("a"), F.col("own").alias("b")).unionByName(copies).where("a <> b").distinct()
+    labels = cut(components(_links(frame, cut(sized), block_ngrams).unionByName(same)))
+    out = documents.join(labels, documents["doc_id"] == labels["v"], "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("label", "doc_id").alias("component_id"))
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
     """Of every component the document with the smallest doc_id, with all its columns, once; rows without doc_id stay.
 
-    The join and the removal of repeated rows share one shuffle by doc_id.
+    Of rows with that doc_id and different texts the longest text stays, of
+    equally long ones the first in order. The join and the removal of repeated
+    rows share one shuffle by doc_id.
     """
     found = jaccard_components(docs)
-    kept = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id")
-    one = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
-    return one.unionByName(docs.where(F.col("doc_id").isNull()))
+    kept = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    plain = docs.toDF(*names)
+    doc_id, text = (F.col(names[docs.columns.index(c)]) for c in ("doc_id", "text"))
+    mine = plain.join(kept, doc_id == kept["doc_id"], "left_semi")
+    # A key that sorts the longest text first; ties are equal texts, whose other columns are taken as one row.
+    best = mine.groupBy(doc_id.alias("id")).agg(F.max(F.struct(F.coalesce(F.length(text), F.lit(-1)).alias("size"), text.alias("text"), F.struct(*names).alias("row"))).alias("best"))
+    one = best.select(*[F.col(f"best.row.{n}").alias(n) for n in names])
+    return one.unionByName(plain.where(doc_id.isNull())).toDF(*docs.columns)
