@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 
 from gridsmith.llm.common import buckets_and_parts, cut, id_and_text, part_of
 from gridsmith.llm.graph import components, forest
-from gridsmith.llm.words import planes, steps, stir, unplanes, unsteps, word_numbers
+from gridsmith.llm.words import planes, ranges, steps, stir, unplanes, unsteps, word_numbers
 
 N = 5
 #: Links: 100 * intersection >= PERCENT * union.
@@ -138,14 +138,6 @@ class PartSets:
         return cls(ids, whole(n_all, np.int64), np.array(which, np.int64), np.array(least, np.int64), marks, np.array(sizes, np.int64), whole(grams, _U))
 
 
-def _ranges(gram: np.ndarray, many: int) -> Iterator[tuple[int, slice]]:
-    """The range of sorted hashes that each of so many buckets gets."""
-    cuts = np.searchsorted(gram, np.arange(1, many, dtype=_U) * _U((2**64 - 1) // many))
-    for b, (i, j) in enumerate(zip([0, *cuts.tolist()], [*cuts.tolist(), len(gram)], strict=True)):
-        if j > i:
-            yield b, slice(i, j)
-
-
 def _arrow(rows: list[tuple], fields: list[tuple[str, pa.DataType]]) -> pa.Table:
     return pa.table({name: pa.array([r[i] for r in rows], kind) for i, (name, kind) in enumerate(fields)})
 
@@ -159,7 +151,7 @@ def _ask(keys: list[int]):
     def run(texts: pa.Table) -> pa.Table:
         part = texts.column("part")[0].as_py()
         gram, many = np.unique(PartSets.of(texts).gram, return_counts=True)
-        rows = [(keys[b], part, steps(gram[s]), planes(many[s])) for b, s in _ranges(gram, len(keys))]
+        rows = [(keys[b], part, steps(gram[s]), planes(many[s])) for b, s in enumerate(ranges(gram, len(keys))) if s.stop > s.start]
         return _arrow(rows, [("bucket", _INT), ("part", _INT), ("grams", _BIN), ("many", _BIN)])
 
     return run
@@ -219,8 +211,9 @@ def _tie(keys: list[int]):
         rows += [(None,) * 5 + (x, y) + (None,) * 5 for x, y in zip(a.tolist(), b.tolist(), strict=True)]
         last = np.append(at[1:], len(own))[: len(at)] - 1
         gram, low, high, ids = gram[at], size[at], size[last], ids[at]
-        for bucket, s in _ranges(gram, len(keys)):
-            rows.append((None,) * 7 + (keys[bucket], steps(gram[s]), ids[s].astype("<i8").tobytes(), planes(low[s]), planes(high[s])))
+        for key, s in zip(keys, ranges(gram, len(keys)), strict=True):
+            if s.stop > s.start:
+                rows.append((None,) * 7 + (key, steps(gram[s]), ids[s].astype("<i8").tobytes(), planes(low[s]), planes(high[s])))
         return _arrow(rows, TIED)
 
     return run

@@ -1,223 +1,193 @@
 """Language-model scores from a weighted backoff automaton.
 
-The model is a bigram model over words and one end token. Every word of the
-training tokens is a history and so a state of the automaton, however rare it
-is: the states grow with the corpus. The root state holds the smoothed
-unigrams. A state has an arc for every word seen after it, with the smoothed
-weight log10(LAMBDA * c(h, w) / c(h) + (1 - LAMBDA) * p(w)), and a failure arc
-to the root that costs log10(1 - LAMBDA). One pass from left to right carries
-the state and adds the weights up; every state's probabilities sum to one. A
-word that no training text holds leads to the root.
+The model is a smoothed n-gram model of ORDER words over words and one end
+token. Every history of up to ORDER - 1 words that the training tokens hold is
+a state of the automaton, however rare it is, so the states grow with the
+corpus; the root state stands for the empty history. A state h has an arc for
+every word w seen after it, of weight log10(LAMBDA * c(h, w) / c(h) +
+(1 - LAMBDA) * p(w | h')), where h' is h without its first word, and a failure
+arc to h' that costs log10(1 - LAMBDA). The root's arcs are the smoothed
+unigrams, and every state's probabilities sum to one.
+
+A text is traversed once from left to right. The state after a word is the
+longest history that ends there and was seen; from there the traversal follows
+failure arcs, longest history first, until a state has an arc for the next word,
+adding the weights up. Words and histories are numbers of 64 bits.
 
 Counts cover all training documents and are never cut off. Documents are dealt
-out in parts by a hash of their id. A part sends its distinct words to buckets
-by word and its distinct arcs to buckets by both words, with their training
-counts; a bucket adds up what all parts sent and answers each part in the order
-it asked. So no table of the vocabulary or of the arcs is ever broadcast or
-collected, and a frequent word or pair costs one entry a part. Every part asks
-every bucket, and adds N and V up from the buckets' shares of them.
+out in parts by a hash of their id. A part sends its distinct n-grams to buckets
+by ranges of these numbers, with their training counts; a bucket adds up what
+all parts sent and answers each part in the order it asked. So no table of words
+or n-grams is ever broadcast or collected, and a frequent one costs one entry a
+part. Every part asks every bucket, and adds N and V up from the buckets' shares
+of them. Parts and buckets are as many as the measured size of the texts asks
+for. The words of a part are taken once to ask and once more to score: that
+costs less than keeping them between the two shuffles.
 
 Defined results: a null text counts as empty and scores its end token alone;
-repeated rows are counted and scored one by one; a null doc_id is a training
-row; an empty table gives no rows. Without training tokens all tokens are
-unknown. Further columns are ignored.
+texts of any length are scored whole (see `words`); repeated rows are counted
+and scored one by one; a null doc_id is a training row; an empty table gives no
+rows. Without training tokens all tokens are unknown. Further columns are
+ignored.
 """
 
 from __future__ import annotations
 
-import zlib
-from collections import defaultdict
-from collections.abc import Iterator, Sequence
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridsmith.llm.common import bucket_of, even_keys, id_and_text, shuffle_width
+from gridsmith.llm.common import bucket_of, buckets_and_parts, id_and_text, part_of
+from gridsmith.llm.words import planes, ranges, steps, stir, unplanes, unsteps, word_numbers
 
-#: The share of the training tokens that makes a word a state: every word that was seen is one.
-CONTEXT_SHARE = 0.0
+ORDER = 3
 LAMBDA = 0.5
-#: No word is empty, so the empty string stands for the end token.
-END = b""
+FAIL = float(np.log10(1 - LAMBDA))
+#: The end token's number; words have hashes.
+END = np.uint64(0)
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
-def tokens(text: str) -> list[bytes]:
-    """Words between ASCII white space, A-Z in lower case, then the end token."""
-    return [*text.encode("utf-8", "surrogatepass").lower().split(), END]
-
-
-def _pack(values: np.ndarray) -> bytes:
-    return zlib.compress(np.ascontiguousarray(values).tobytes(), 1)
-
-
-def _unpack(blob: bytes, kind: str) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(blob), kind)
-
-
-def _pack_places(values: np.ndarray) -> bytes:
-    """Small numbers as differences, byte by byte: the high bytes compress to next to nothing."""
-    return zlib.compress(np.diff(values, prepend=0).astype("<i4").view("u1").reshape(-1, 4).T.tobytes(), 1)
-
-
-def _unpack_places(blob: bytes) -> np.ndarray:
-    return np.cumsum(np.ascontiguousarray(np.frombuffer(zlib.decompress(blob), "u1").reshape(4, -1).T).view("<i4").ravel(), dtype=np.int64)
-
-
-def _words(blob: bytes) -> list[bytes]:
-    return zlib.decompress(blob).split(b"\n")
-
-
-def _training(docs: DataFrame) -> DataFrame:
-    held = F.coalesce(bucket_of(F.col("doc_id"), 10) == 0, F.lit(False))
-    return id_and_text(docs).withColumn("held_out", held)
-
-
 class Part:
-    """A part's documents as arrays: tokens by number, with the words in sorted order, and the arcs from contexts: all its words, or those in names."""
-
-    def __init__(self, texts: list[str], held: list[bool], names: list[bytes] | None, keys: list[int]):
-        rows = [tokens(t) for t in texts]
-        flat = [w for row in rows for w in row]
-        self.words = sorted(set(flat))
-        number = {w: i for i, w in enumerate(self.words)}
-        self.token = np.fromiter(map(number.__getitem__, flat), np.int64, len(flat))
-        self.size = np.array([len(row) for row in rows], np.int64)
-        self.doc = np.repeat(np.arange(len(rows)), self.size)
+    """A part's tokens in turn, and its distinct n-grams: index[k] tells which of table[k] ends at a token, for those with k tokens before them (at[k])."""
+
+    def __init__(self, texts: list[str], held: list[bool]):
+        many, word = word_numbers(texts)
+        self.size = many + 1
+        ends = np.cumsum(self.size)
+        token = np.full(int(self.size.sum()), END)
+        inner = np.ones(len(token), bool)
+        inner[ends - 1] = False
+        token[inner] = word
+        self.doc = np.repeat(np.arange(len(texts)), self.size)
         self.train = ~np.array(held, bool)[self.doc]
-        known = number if names is None else {w: i for i, w in enumerate(names)}
-        state = np.fromiter((known.get(w, -1) for w in self.words), np.int64, len(self.words))
-        self.context = np.concatenate([[-1], state[self.token[:-1]]]) if len(flat) else np.zeros(0, np.int64)
-        self.context[np.cumsum(self.size)[:-1]] = -1  # a text starts in the root
-        at = np.flatnonzero(self.context >= 0)
-        self.arc_at, self.width = at, max(1, len(known))
-        self.arcs, self.arc = np.unique(self.token[at] * self.width + self.context[at], return_inverse=True)
-        crc = np.fromiter(map(zlib.crc32, self.words), np.uint64, len(self.words))
-        to = np.array(keys, np.int64)
-        self.buckets = np.unique(to)
-        self.bucket = to[(crc % np.uint64(len(keys))).astype(np.int64)]
-        # By both words, so that a word with many neighbours is dealt to all buckets.
-        mixed = (crc[self.arcs // self.width] * _A) ^ (crc[self.arcs % self.width] * _B)
-        self.arc_bucket = to[((mixed >> np.uint64(33)) % np.uint64(len(keys))).astype(np.int64)]
-
-    def dealt(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """Each bucket with its words and arcs, by number, in order; also those without any."""
-        order, arc_order = np.argsort(self.bucket, kind="stable"), np.argsort(self.arc_bucket, kind="stable")
-        word_cuts, arc_cuts = ([np.searchsorted(x, self.buckets, side) for side in ("left", "right")] for x in (self.bucket[order], self.arc_bucket[arc_order]))
-        for b, i, j, k, m in zip(self.buckets.tolist(), *word_cuts, *arc_cuts, strict=True):
-            yield b, order[i:j], arc_order[k:m]
-
-    def requests(self, part: int) -> list[tuple]:
-        """A row for each bucket: the words it needs with the counts of those it is to add up (-1: only named by arcs), and arcs as places in these words."""
-        uni = np.bincount(self.token[self.train], minlength=len(self.words))
-        bi = np.bincount(self.arc[self.train[self.arc_at]], minlength=len(self.arcs))
-        out = []
-        words = np.empty(len(self.words), object)
-        words[:] = self.words
-        for b, own, which in self.dealt():
-            word, context = np.divmod(self.arcs[which], self.width)
-            named = np.unique(np.concatenate([own, word, context]))
-            counts = np.full(len(named), -1, np.int64)
-            counts[np.searchsorted(named, own)] = uni[own]
-            places = [_pack_places(np.searchsorted(named, x)) for x in (word, context)]
-            out.append((b, part, zlib.compress(b"\n".join(words[named]), 1), _pack(counts.astype("<i8")), *places, _pack(bi[which].astype("<u4"))))
-        return out
-
-    def answers(self, by_bucket: dict[int, tuple[bytes, bytes]]) -> tuple[np.ndarray, np.ndarray]:
-        """Corpus counts of the part's words and arcs."""
-        uni, bi = np.zeros(len(self.words), np.int64), np.zeros(len(self.arcs), np.int64)
-        for b, own, which in self.dealt():
-            words, arcs = by_bucket[b]
-            uni[own], bi[which] = _unpack(words, "<i8"), _unpack(arcs, "<i8")
-        return uni, bi
+        place = np.arange(len(token)) - np.repeat(ends - self.size, self.size)
+        self.at, self.table, self.index = [], [], []
+        number = stir(token.copy())
+        for k in range(ORDER):
+            if k:
+                longer = np.zeros(len(token), np.uint64)
+                longer[1:] = stir(number[:-1] * _A + token[1:] * _B + np.uint64(k))
+                number = longer
+            at = np.flatnonzero(place >= k)
+            table, index = np.unique(number[at], return_inverse=True)
+            self.at.append(at)
+            self.table.append(table)
+            self.index.append(index)
+
+    def counts(self) -> list[np.ndarray]:
+        """The part's own training counts of each table."""
+        return [np.bincount(index[self.train[at]], minlength=len(table)) for at, table, index in zip(self.at, self.table, self.index, strict=True)]
+
+    def requests(self, part: int, keys: list[int]) -> list[tuple]:
+        """A row for each bucket: a list of distinct n-grams and their training counts for each order."""
+        rows: list[list] = [[key, part] for key in keys]
+        for table, count in zip(self.table, self.counts(), strict=True):
+            for row, s in zip(rows, ranges(table, len(keys)), strict=True):
+                row += [steps(table[s]), planes(count[s])]
+        return [tuple(row) for row in rows]
 
 
 def total_requests(rows: list[tuple]) -> list[tuple]:
     """One bucket's requests of all parts, added up: an answer for each part in its own order, with the bucket's share of N and V."""
-    number: defaultdict[bytes, int] = defaultdict()
-    number.default_factory = number.__len__
-    # A row that names no word still unpacks to one, the end token, which is then neither counted nor asked for.
-    ids = [np.array([number[w] for w in _words(row[2])], np.int64) for row in rows]
-    uni = np.zeros(len(number), np.int64)
-    keys, asked = [], []
-    for mine, row in zip(ids, rows, strict=True):
-        counts = _unpack(row[3], "<i8")
-        own = np.flatnonzero(counts >= 0)
-        asked.append(mine[own])
-        uni[mine[own]] += counts[own]  # a part names each of its words once
-        keys.append((mine[_unpack_places(row[4])] << 32) | mine[_unpack_places(row[5])])
-    arcs, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-    bi = np.bincount(inverse, np.concatenate([_unpack(row[6], "<u4") for row in rows]), len(arcs)).astype(np.int64)
-    ends = np.cumsum([0, *map(len, keys)])
-    n, v = int(uni.sum()), int((uni > 0).sum())
-    return [(row[1], row[0], _pack(uni[mine]), _pack(bi[inverse[ends[k] : ends[k + 1]]]), n, v) for k, (mine, row) in enumerate(zip(asked, rows, strict=True))]
+    answers: list[list] = [[row[1], row[0]] for row in rows]
+    n = v = 0
+    for k in range(ORDER):
+        grams = [unsteps(row[2 + 2 * k]) for row in rows]
+        distinct, inverse = np.unique(np.concatenate(grams), return_inverse=True)
+        total = np.bincount(inverse, np.concatenate([unplanes(row[3 + 2 * k]) for row in rows]), len(distinct)).astype(np.int64)
+        if k == 0:
+            n, v = int(total.sum()), int((total > 0).sum())
+        for answer, some, end in zip(answers, grams, np.cumsum([len(g) for g in grams]).tolist(), strict=True):
+            answer.append(planes(total[inverse[end - len(some) : end]]))
+    return [(*answer, n, v) for answer in answers]
 
 
 class Automaton:
-    """The model over one part's vocabulary. States: -1 is the root, others are contexts; c has their counts, and those of count 0 are the root too."""
+    """The model as far as a part's tokens reach: count[k] is the corpus count of the n-gram of k + 1 tokens that ends at a token, 0 where the text is too short for it."""
+
+    def __init__(self, part: Part, counts: list[np.ndarray], n: int, v: int):
+        self.count = np.zeros((ORDER, len(part.doc)), np.int64)
+        for k, (at, index) in enumerate(zip(part.at, part.index, strict=True)):
+            self.count[k, at] = counts[k][index]
+        self.root = np.log10((self.count[0] + 0.1) / (n + 0.1 * (v + 1)))
+        # The state that a token is read in: how many tokens of history it holds, and how often each was seen.
+        self.seen = np.zeros((ORDER, len(part.doc)), np.int64)
+        for k in range(1, ORDER):
+            inside = part.at[k]
+            self.seen[k, inside] = self.count[k - 1, inside - 1]
+        self.state = (self.seen > 0).sum(0)
+
+    def walk(self) -> np.ndarray:
+        """Every token's weight: failure arcs from its state down to one that has an arc for it, and that arc."""
+        lower = 10.0**self.root
+        arcs = [self.root]
+        for k in range(1, ORDER):
+            # p(w | h) for histories of k tokens; where h was not seen it is that of the next shorter one.
+            share = self.count[k] / np.maximum(self.seen[k], 1)
+            lower = np.where(self.seen[k] > 0, LAMBDA * share + (1 - LAMBDA) * lower, lower)
+            arcs.append(np.log10(lower))
+        weight = np.zeros(len(self.root))
+        left = np.ones(len(self.root), bool)
+        for k in range(ORDER - 1, 0, -1):
+            here = left & (self.state >= k)
+            arc = here & (self.count[k] > 0)
+            weight[arc] += arcs[k][arc]
+            weight[here & ~arc] += FAIL
+            left &= ~arc
+        weight[left] += self.root[left]
+        return weight
 
-    def __init__(self, uni: np.ndarray, c: Sequence[int], n: int, v: int):
-        self.c, self.root = np.array(c, float), np.log10((uni + 0.1) / (n + 0.1 * (v + 1)))
-        self.fail = np.log10(1 - LAMBDA)
 
-    def arc(self, context: np.ndarray, count: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """Weights of arcs that exist."""
-        return np.log10(LAMBDA * count / self.c[context] + (1 - LAMBDA) * 10.0 ** self.root[word])
+SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+_ASKED = [("bucket", pa.int32()), ("part", pa.int32())] + [(f"{x}{k}", pa.binary()) for k in range(ORDER) for x in ("grams", "many")]
+_ANSWERED = [("part", pa.int32()), ("bucket", pa.int32())] + [(f"many{k}", pa.binary()) for k in range(ORDER)] + [("n", pa.int64()), ("v", pa.int64())]
 
-    def walk(self, part: Part, bi: np.ndarray) -> np.ndarray:
-        """Every token's weight: an arc of the state that the token before led to, or its failure arc and an arc of the root."""
-        out = self.root[part.token].copy()
-        out[part.arc_at[self.c[part.context[part.arc_at]] > 0]] += self.fail
-        hit = np.flatnonzero(bi[part.arc] > 0)
-        at = part.arc_at[hit]
-        out[at] = self.arc(part.context[at], bi[part.arc[hit]], part.token[at])
-        return out
 
+def _schema(fields: list[tuple[str, pa.DataType]]) -> str:
+    names = {pa.int32(): "int", pa.int64(): "long", pa.binary(): "binary"}
+    return ", ".join(f"{name} {names[kind]}" for name, kind in fields)
 
-SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-REQUESTS = "bucket int, part int, words binary, counts binary, arc_word binary, arc_context binary, arc_counts binary"
+
+def _table(rows: list[tuple], fields: list[tuple[str, pa.DataType]]) -> pa.Table:
+    return pa.table({name: pa.array([r[i] for r in rows], kind) for i, (name, kind) in enumerate(fields)})
 
 
 def score_documents(docs: DataFrame) -> DataFrame:
     """The rows that op2 returns."""
-    # A part sends each bucket one row: the buckets are as many as the shuffle's partitions, the parts a few times that.
-    keys = even_keys(docs.sparkSession)
-    width = max(3 * shuffle_width(docs.sparkSession), docs.rdd.getNumPartitions())
-    parts = _training(docs).withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(width)).cast("int"))
+    frame = id_and_text(docs)
+    keys, width = buckets_and_parts(frame)
+    held = F.coalesce(bucket_of(F.col("doc_id"), 10) == 0, F.lit(False))
+    parts = frame.withColumn("held_out", held).withColumn("part", part_of(width))
+    place = {key: b for b, key in enumerate(keys)}
 
     def ask(group: pa.Table) -> pa.Table:
-        rows = Part(group.column("text").to_pylist(), group.column("held_out").to_pylist(), None, keys).requests(group.column("part")[0].as_py())
-        kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 5]
-        fields = ["bucket", "part", "words", "counts", "arc_word", "arc_context", "arc_counts"]
-        return pa.table({f: pa.array([r[i] for r in rows], k) for i, (f, k) in enumerate(zip(fields, kinds, strict=True))})
+        part = Part(group.column("text").to_pylist(), group.column("held_out").to_pylist())
+        return _table(part.requests(group.column("part")[0].as_py(), keys), _ASKED)
 
     def answer(group: pa.Table) -> pa.Table:
-        rows = total_requests([tuple(r.values()) for r in group.select(["bucket", "part", "words", "counts", "arc_word", "arc_context", "arc_counts"]).to_pylist()])
-        kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
-        return pa.table({f: pa.array([r[i] for r in rows], k) for i, (f, k) in enumerate(zip(["part", "bucket", "uni", "bi", "n", "v"], kinds, strict=True))})
+        rows = group.select([name for name, _ in _ASKED]).to_pylist()
+        return _table(total_requests([tuple(r.values()) for r in rows]), _ANSWERED)
 
     def score(texts: pa.Table, answers: pa.Table) -> pa.Table:
-        part = Part(texts.column("text").to_pylist(), texts.column("held_out").to_pylist(), None, keys)
-        got = {r["bucket"]: (r["uni"], r["bi"]) for r in answers.to_pylist()}
-        uni, bi = part.answers(got)
-        n, v = sum(answers.column("n").to_pylist()), sum(answers.column("v").to_pylist())
-        model = Automaton(uni, uni, n, v)
+        part = Part(texts.column("text").to_pylist(), texts.column("held_out").to_pylist())
+        got = sorted(answers.to_pylist(), key=lambda r: place[r["bucket"]])
+        counts = [np.concatenate([unplanes(r[f"many{k}"]) for r in got]).astype(np.int64) for k in range(ORDER)]
+        n, v = sum(r["n"] for r in got), sum(r["v"] for r in got)
+        model = Automaton(part, counts, n, v)
         many = len(part.size)
-        total = lambda weights: pa.array(np.bincount(part.doc, weights, many))
-        return pa.table(
-            {
-                "doc_id": texts.column("doc_id"),
-                "held_out": texts.column("held_out"),
-                "n_tokens": pa.array(part.size),
-                "n_known": pa.array(np.bincount(part.doc, uni[part.token] > 0, many).astype(np.int64)),
-                "train_tokens": pa.array(np.full(many, n, np.int64)),
-                "base_score": total(model.root[part.token]),
-                "score": total(model.walk(part, bi)),
-            }
-        )
-
-    asked = parts.groupBy("part").applyInArrow(ask, REQUESTS)
-    answered = asked.groupBy("bucket").applyInArrow(answer, "part int, bucket int, uni binary, bi binary, n long, v long")
+        columns = [
+            texts.column("doc_id"),
+            texts.column("held_out"),
+            pa.array(part.size),
+            pa.array(np.bincount(part.doc, model.count[0] > 0, many).astype(np.int64)),
+            pa.array(np.full(many, n, np.int64)),
+            pa.array(np.bincount(part.doc, model.root, many)),
+            pa.array(np.bincount(part.doc, model.walk(), many)),
+        ]
+        return pa.table(columns, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+    asked = parts.groupBy("part").applyInArrow(ask, _schema(_ASKED))
+    answered = asked.groupBy("bucket").applyInArrow(answer, _schema(_ANSWERED))
     return parts.groupBy("part").cogroup(answered.groupBy("part")).applyInArrow(score, SCORES)

@@ -134,3 +134,9 @@ def steps(ascending: np.ndarray) -> bytes:
 
 def unsteps(blob: bytes) -> np.ndarray:
     return np.cumsum(unplanes(blob), dtype=_U)
+
+
+def ranges(numbers: np.ndarray, many: int) -> list[slice]:
+    """The range of sorted hashes that each of so many buckets gets; some may be empty."""
+    cuts = np.searchsorted(numbers, np.arange(1, many, dtype=_U) * _U((2**64 - 1) // many)).tolist()
+    return [slice(i, j) for i, j in zip([0, *cuts], [*cuts, len(numbers)], strict=True)]
