@@ -1,18 +1,22 @@
-"""Secret scans over a trigram index (native: Column expressions only).
+"""Secret scans over a trigram inverted index (native: Column expressions and joins only).
 
 Every rule's regular expression is parsed, and a Boolean query over the
 trigrams that any match must hold is derived from it: an AND of clauses, each
-an OR of trigram sets. Postings say which of the rules' trigrams a document
-holds. Intersecting them leaves candidates, and only these meet the regular
-expression. A rule without mandatory trigrams scans every text.
+an OR of trigram sets. One pass over each text writes the index, a row
+(trigram, document key) for each of the rules' trigrams that the text holds.
+Queries are run on the index alone: posting lists meet by document key, an
+option holds where all of its trigrams' lists do, a clause where one of its
+options does, a rule where all of its clauses do. Only these candidates meet the
+rule's regular expression; a rule without mandatory trigrams scans every text.
 
-The postings stand beside the document they belong to, so the intersection
-needs no shuffle and no join back to the text. `trigram_postings` gives the
-same index as a table, for repeated scans of one corpus.
+A document's key is a hash of its id and text, so rows that share a key by
+chance only make more candidates. Candidates whose number is measured and small
+are broadcast to the texts; more of them are joined by a shuffle.
 
 Defined results: a null text counts as empty; an empty text, or an empty
-table, gives no spans (base_sha256 is then that of the empty string). Repeated
-rows give a row each. Further columns are ignored.
+table, gives no spans (base_sha256 is then that of the empty string). Texts of
+any length are scanned whole. Repeated rows give a row each, and a null doc_id
+is kept. Further columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,10 +25,10 @@ import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridsmith.llm.common import id_and_text
+from gridsmith.llm.common import cut, id_and_text
 from gridsmith.llm.spans import count_kind, find_spans, joined
 
 Clause = frozenset[frozenset[str]]
@@ -55,6 +59,8 @@ RULES = [
 ]
 BASE = 3
 _MOST = 64
+#: Up to so many candidate keys (of 16 bytes) are broadcast; more are joined by a shuffle.
+BROADCAST_KEYS = 100_000
 
 
 def trigram_query(pattern: str) -> list[Clause]:
@@ -117,36 +123,65 @@ def _grams(rules: list[Rule]) -> list[str]:
     return sorted({g for r in rules for clause in trigram_query(r.pattern) for option in clause for g in option})
 
 
-def posting_column(text: Column, rules: list[Rule]) -> Column:
-    """Those of the rules' trigrams that the text holds."""
-    return F.filter(F.array(*[F.lit(g) for g in _grams(rules)]), lambda g: F.contains(text, g))
+def gram_pattern(rules: list[Rule]) -> str:
+    """A pattern that stands, without using characters up, before each of the rules' trigrams; they are group 1. A tree by characters, so most places fail at the first."""
+    tree: dict[str, dict[str, list[str]]] = {}
+    for a, b, c in _grams(rules):
+        tree.setdefault(a, {}).setdefault(b, []).append(c)
+    one = re.escape
+    thirds = lambda b, cs: one(b) + (one(cs[0]) if len(cs) == 1 else f"(?:{'|'.join(map(one, cs))})")
+    seconds = [f"{one(a)}(?:{'|'.join(thirds(b, cs) for b, cs in bs.items())})" for a, bs in tree.items()]
+    return f"(?=[{''.join(map(one, tree))}])(?=({'|'.join(seconds)}))"
+
+
+def _key() -> Column:
+    return F.xxhash64("doc_id", "text")
 
 
 def trigram_postings(docs: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
-    """The index as a table of its own: (trigram, doc_id)."""
-    lowered = id_and_text(docs).withColumn("lowered", F.lower("text"))
-    return lowered.select(F.explode(posting_column(F.col("lowered"), rules)).alias("trigram"), "doc_id")
-
-
-def candidate(postings: Column, rule: Rule) -> Column:
-    """Whether the postings satisfy the rule's trigram query; true for a rule without one."""
-    out = F.lit(True)
-    for clause in trigram_query(rule.pattern):
-        options = F.lit(False)
-        for option in sorted(clause, key=sorted):
-            every = F.lit(True)
-            for gram in sorted(option):
-                every = every & F.array_contains(postings, gram)
-            options = options | every
-        out = out & options
-    return out
-
-
-def scan_secrets(docs: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
+    """The index: (trigram, key), one row for each of the rules' trigrams that a text holds."""
+    held = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(gram_pattern(rules)), F.lit(1)))
+    return id_and_text(docs).select(_key().alias("key"), F.explode(held).alias("trigram"))
+
+
+def query_table(spark: SparkSession, rules: list[Rule]) -> DataFrame:
+    """The rules' Boolean queries as rows: how many trigrams an option has, how many clauses a rule."""
+    rows = []
+    for k, rule in enumerate(rules, 1):
+        clauses = trigram_query(rule.pattern)
+        for c, clause in enumerate(clauses):
+            for o, option in enumerate(sorted(clause, key=sorted)):
+                rows += [F.struct(*map(F.lit, (g, k, c, o, len(option), len(clauses)))) for g in sorted(option)]
+    kind = "array<struct<trigram:string,rule:int,clause:int,option:int,grams:int,clauses:int>>"
+    return spark.range(1).select(F.inline(F.array(*rows).cast(kind)))
+
+
+def candidates(postings: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
+    """key and the rules (an array) whose trigram queries the key's postings satisfy.
+
+    The queries' rows are fixed by the rules and broadcast; a posting list is
+    dealt by document, so a trigram that most texts hold is no hot key.
+    """
+    asked = F.broadcast(query_table(postings.sparkSession, rules))
+    lists = postings.distinct().repartition("key").join(asked, "trigram")
+    options = lists.groupBy("key", "rule", "clauses", "clause", "option", "grams").agg(F.count("*").alias("n")).where(F.col("n") == F.col("grams"))
+    clauses = options.groupBy("key", "rule", "clauses").agg(F.countDistinct("clause").alias("n")).where(F.col("n") == F.col("clauses"))
+    return clauses.groupBy("key").agg(F.collect_set("rule").alias("rules"))
+
+
+def scan_secrets(docs: DataFrame, rules: list[Rule] = RULES, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
     """doc_id and found: the spans (start, kind, stop, hit) of all rules; kinds are numbered from 1 in the rules' order."""
-    indexed = id_and_text(docs).withColumn("lowered", F.lower("text")).withColumn("postings", posting_column(F.col("lowered"), rules))
-    each = [find_spans(F.col("text"), r.pattern, k, r.keep, candidate(F.col("postings"), r)) for k, r in enumerate(rules, 1)]
-    return indexed.select("doc_id", F.concat(*each).alias("found"))
+    chosen = cut(candidates(trigram_postings(docs, rules), rules))
+    few = chosen.limit(broadcast_keys + 1).count() <= broadcast_keys
+    frame = id_and_text(docs).withColumn("key", _key())
+    met = frame.join(F.broadcast(chosen) if few else chosen, "key", "left")
+    each = []
+    for k, r in enumerate(rules, 1):
+        free = not trigram_query(r.pattern)
+        # A full scan first looks whether there is any match: most texts hold none.
+        when = F.col("text").rlike(r.pattern) if free else F.coalesce(F.array_contains("rules", k), F.lit(False))
+        each.append(find_spans(F.col("text"), r.pattern, k, r.keep, when))
+    return met.select("doc_id", F.concat(*each).alias("found"))
 
 
 def secrets_report(docs: DataFrame, rules: list[Rule] = RULES) -> DataFrame:

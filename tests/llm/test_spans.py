@@ -3,6 +3,7 @@ import re
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from gridsmith.llm import pii, queries, secrets
 
@@ -63,9 +64,26 @@ def test_trigram_queries():
     assert secrets.trigram_query("a|bcd") == [] and secrets.trigram_query("(ab)?cdef+") != []
 
 
-def test_postings_table(frame):
-    rows = {(r.trigram, r.doc_id) for r in secrets.trigram_postings(frame).collect()}
-    assert ("kia", 5) in rows and ("tok", 4) in rows and not any(i == 7 for _, i in rows)
+def test_postings_are_the_trigrams_that_texts_hold(spark, frame):
+    grams = secrets._grams(secrets.RULES)
+    key = frame.select("doc_id", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("key"))
+    rows = {(r.trigram, r.doc_id) for r in secrets.trigram_postings(frame).join(key, "key").collect()}
+    assert rows == {(g, i) for i, t in ROWS for g in grams if g in (t or "").lower()}
+    every = spark.createDataFrame([(1, " ".join(grams)), (2, "".join(grams))], "doc_id long, text string")
+    assert {r.n for r in secrets.trigram_postings(every).groupBy("key").agg(F.countDistinct("trigram").alias("n")).collect()} == {len(grams)}
+
+
+def test_candidates_are_those_of_the_boolean_queries(frame):
+    key = frame.select("doc_id", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("key"))
+    got = {(r.doc_id, k) for r in secrets.candidates(secrets.trigram_postings(frame)).join(key, "key").collect() for k in r.rules}
+    holds = lambda t, q: all(any(all(g in t for g in option) for option in clause) for clause in q)
+    queries_of = [(k, q) for k, r in enumerate(secrets.RULES, 1) if (q := secrets.trigram_query(r.pattern))]
+    assert got == {(i, k) for i, t in ROWS for k, q in queries_of if holds((t or "").lower(), q)} and got
+
+
+def test_candidates_joined_by_a_shuffle_give_the_same_spans(frame):
+    one, two = (sorted(map(str, secrets.scan_secrets(frame, broadcast_keys=n).collect())) for n in (100_000, 0))
+    assert one == two
 
 
 def test_pii_holds_the_base_and_more(frame):
