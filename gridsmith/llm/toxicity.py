@@ -5,12 +5,15 @@ the training rows (plainly written and with obfuscation undone), how often a
 second person stands near a lexicon word, capitals, punctuation and digits,
 obfuscation rates, and size. Trees are fitted on the logistic loss over
 quantile bins; folds out of sight of the trees calibrate their sum by isotonic
-regression.
+regression. A training row's features always come from a lexicon learned
+without its fold, as a new document's do, so the trees, the calibration and the
+scores see features of one kind.
 
 The fit uses at most SAMPLE labelled rows, drawn by a hash of the id (a
 documented bound for the classifier alone); every document is scored.
 
 Defined results: a null text counts as empty and gets a score like any other;
+so do very long texts, which are taken whole;
 rows with a null label are not learned from; labels repeated for one id count
 once (toxic if any says so). Without labelled rows of both classes the score is
 the share of toxic training rows (0 if there are none). Repeated document rows
@@ -32,8 +35,9 @@ from pyspark.sql import functions as F
 from gridsmith.llm.common import bucket_of, cut, id_and_text, small_batches
 
 SAMPLE = 12_000
-LEARNED = 200
 FOLDS = 3
+#: So many rows of mean toxicity weigh against the labelled rows in the calibration.
+DRAWN = 2.0
 THRESHOLD = 0.3
 
 #: The seed lexicon, and second persons in the corpus's languages.
@@ -57,8 +61,8 @@ def unmasked(word: str) -> set[str]:
     return {REPEAT.sub(r"\1", re.sub(r"[\W_]", "", word.translate(table))) for table in LEET} - {word}
 
 
-def features(text: str, *lexicons: frozenset[str]) -> list[float]:
-    """The features under each of the learned lexicons, one after the other; the text is taken apart once."""
+def features(text: str, learned: frozenset[str]) -> list[float]:
+    """The features of a text, with a learned lexicon beside the seed."""
     words = plain_words(text)
     n, size = max(1, len(words)), max(1, len(text))
     counts = Counter(words)
@@ -78,21 +82,19 @@ def features(text: str, *lexicons: frozenset[str]) -> list[float]:
         sum(counts[w] for w in _SECOND if w in counts) / n, sum(1 for w in text.split() if len(w) > 2 and w.isupper()) / n,
         text.count("!") / size, text.count("?") / size, text.count("*") / size, (len(MIXED.findall(text)) if signs else 0) / n,
     ]
-    out: list[float] = []
-    for learned in lexicons:
-        bad = _SEED | learned
-        kinds = [w for w in counts if w in bad]
-        own = sum(counts[w] for w in kinds if w in learned)
-        near = 0
-        if kinds:
-            marks = [i for i, w in enumerate(words) if w in bad]
-            at = np.searchsorted(second, marks)
-            after, before = second[np.minimum(at, len(second) - 1)], second[np.maximum(at - 1, 0)]
-            near = int(((np.abs(after - marks) <= 4) | (np.abs(before - marks) <= 4)).sum())
-        masked = sum(c for c, u in reads if not u.isdisjoint(bad))
-        apart = sum(1 for u in spaced if not u.isdisjoint(bad))
-        out += [hits / n, own / n, min(hits, 20.0), min(own, 20.0), min(len(kinds), 20.0), near / n, min(near, 20.0), *plain, min(masked, 20.0), min(apart, 20.0), len(spaced) / n, float(np.log1p(n))]
-    return out
+    bad = _SEED | learned
+    kinds = [w for w in counts if w in bad]
+    own = sum(counts[w] for w in kinds if w in learned)
+    near = 0
+    if kinds:
+        marks = [i for i, w in enumerate(words) if w in bad]
+        at = np.searchsorted(second, marks)
+        after, before = second[np.minimum(at, len(second) - 1)], second[np.maximum(at - 1, 0)]
+        near = int(((np.abs(after - marks) <= 4) | (np.abs(before - marks) <= 4)).sum())
+    masked = sum(c for c, u in reads if not u.isdisjoint(bad))
+    apart = sum(1 for u in spaced if not u.isdisjoint(bad))
+    lexical = [hits / n, own / n, min(hits, 20.0), min(own, 20.0), min(len(kinds), 20.0), near / n, min(near, 20.0)]
+    return [*lexical, *plain, min(masked, 20.0), min(apart, 20.0), len(spaced) / n, float(np.log1p(n))]
 
 
 _SEED, _SECOND = frozenset(LEXICON), frozenset(SECOND)
@@ -171,7 +173,7 @@ class Boosted:
 
 
 def isotonic(score: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pool-adjacent-violators: steps (score, probability), both rising. Each pool is drawn a little to the mean."""
+    """Pool-adjacent-violators: steps (score, probability), both rising. All are drawn to the mean by one share, which keeps their order."""
     order = np.argsort(score, kind="stable")
     blocks: list[list[float]] = []
     for s, v in zip(score[order], y[order], strict=True):
@@ -180,8 +182,8 @@ def isotonic(score: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             last = blocks.pop()
             blocks[-1][1] += last[1]
             blocks[-1][2] += last[2]
-    mean = float(y.mean())
-    return np.array([b[0] for b in blocks]), np.array([(b[1] + mean) / (b[2] + 1) for b in blocks])
+    share = DRAWN / (len(y) + DRAWN)
+    return np.array([b[0] for b in blocks]), np.array([(1 - share) * b[1] / b[2] + share * float(y.mean()) for b in blocks])
 
 
 @dataclass
@@ -195,33 +197,36 @@ class ToxicModel:
         if self.trees is None or not texts:
             return np.full(len(texts), self.share)
         z = self.trees.decide(np.array([features(t, self.learned) for t in texts]))
+        return self.calibrated(z)
+
+    def calibrated(self, z: np.ndarray) -> np.ndarray:
+        """The pool's probability; within a pool the trees' sum still orders, by a small amount. Both rise with z, so their sum does."""
         at, p = self.steps
-        # Within a pool the trees' sum still orders, by an amount too small to cross pools.
-        return np.clip(p[np.clip(np.searchsorted(at, z, side="right") - 1, 0, None)] + 1e-6 / (1 + np.exp(-z)), 0, 1)
+        return (p[np.clip(np.searchsorted(at, z, side="right") - 1, 0, None)] + 1e-6 / (1 + np.exp(-z))) / (1 + 1e-6)
 
 
 def lexicon(counts: list[tuple[str, list[int], list[int]]], n_toxic: list[int], n_clean: list[int], without: int | None = None) -> frozenset[str]:
-    """The words that toxic rows hold far more often than others do, by smoothed log-odds; one fold's rows may be left out."""
+    """All words that toxic rows hold far more often than others do, by smoothed log-odds; one fold's rows may be left out."""
     keep = [k for k in range(len(n_toxic)) if k != without]
     n1, n0 = sum(n_toxic[k] for k in keep), sum(n_clean[k] for k in keep)
-    odds = {}
+    found = set()
     for word, toxic, clean in counts:
         c1, c0 = sum(toxic[k] for k in keep), sum(clean[k] for k in keep)
-        if c1 >= max(3, 0.005 * n1):
-            odds[word] = np.log((c1 + 0.5) / (n1 + 1)) - np.log((c0 + 0.5) / (n0 + 1))
-    return frozenset(w for w, o in sorted(odds.items(), key=lambda x: (-x[1], x[0]))[:LEARNED] if o > 1.5)
+        if c1 >= max(3, 0.005 * n1) and np.log((c1 + 0.5) / (n1 + 1)) - np.log((c0 + 0.5) / (n0 + 1)) > 1.5:
+            found.add(word)
+    return frozenset(found)
 
 
 def fit(x: np.ndarray, y: np.ndarray, fold: np.ndarray, words: frozenset[str]) -> ToxicModel:
-    """x[k] holds the features under the lexicon without fold k, the last those under the whole lexicon."""
+    """x holds each row's features under the lexicon without its fold; words is the whole lexicon."""
     share = float(y.mean()) if len(y) else 0.0
     if len(y) < 2 * FOLDS or y.min() == y.max():
         return ToxicModel(frozenset(), None, None, share)
     held = np.zeros(len(y))
     for k in range(FOLDS):
         rest = fold != k
-        held[~rest] = Boosted().fit(x[k][rest], y[rest]).decide(x[k][~rest]) if rest.any() else 0.0
-    return ToxicModel(words, Boosted().fit(x[FOLDS], y), isotonic(held, y), share)
+        held[~rest] = Boosted().fit(x[rest], y[rest]).decide(x[~rest]) if rest.any() else 0.0
+    return ToxicModel(words, Boosted().fit(x, y), isotonic(held, y), share)
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> ToxicModel:
@@ -242,22 +247,21 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> ToxicMode
             yield pa.RecordBatch.from_arrays([pa.array([k[i] for k in seen], t) for i, t in enumerate((pa.string(), pa.int32(), pa.int32()))] + [pa.array(list(seen.values()), pa.int64())], ["word", "fold", "toxic", "n"])
 
     of = lambda f, t: F.sum(F.when((F.col("fold") == f) & (F.col("toxic") == t), F.col("n")).otherwise(0))
-    counted = rows.select("text", "fold", "toxic").mapInArrow(words, "word string, fold int, toxic int, n long").groupBy("word").agg(F.array(*[of(f, 1) for f in range(FOLDS)]).alias("t"), F.array(*[of(f, 0) for f in range(FOLDS)]).alias("c"), F.sum(F.col("n") * F.col("toxic")).alias("all_t"), F.sum("n").alias("n"))
-    # Words too rare among toxic rows for any fold's lexicon stay behind; of the others the most telling 20 * LEARNED come.
-    best = counted.where((F.col("word") == "") | (F.col("all_t") >= 3)).orderBy(F.when(F.col("word") == "", 2.0).otherwise((F.col("all_t") - 2) / (F.col("n") + 1)).desc(), "word").limit(20 * LEARNED).collect()
-    found = [(r["word"], list(r["t"]), list(r["c"])) for r in best]
+    counted = rows.select("text", "fold", "toxic").mapInArrow(words, "word string, fold int, toxic int, n long").groupBy("word").agg(F.array(*[of(f, 1) for f in range(FOLDS)]).alias("t"), F.array(*[of(f, 0) for f in range(FOLDS)]).alias("c"), F.sum(F.col("n") * F.col("toxic")).alias("all_t"))
+    # Words too rare among toxic rows for any fold's lexicon stay behind; those that come are bounded by the sample.
+    found = [(r["word"], list(r["t"]), list(r["c"])) for r in counted.where((F.col("word") == "") | (F.col("all_t") >= 3)).collect()]
     (_, n_toxic, n_clean), counts = next((x for x in found if x[0] == ""), ("", [0] * FOLDS, [0] * FOLDS)), [x for x in found if x[0] != ""]
     lexicons = [lexicon(counts, n_toxic, n_clean, k) for k in [*range(FOLDS), None]]
 
     def all_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = [features(t, *lexicons) for t in batch.column("text").to_pylist()]
+            values = [features(t, lexicons[f]) for t, f in zip(batch.column("text").to_pylist(), batch.column("fold").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("doc_id", "fold", "toxic")] + [pa.array(values, pa.list_(pa.float64()))], ["doc_id", "fold", "toxic", "x"])
 
     got = sorted(rows.mapInArrow(all_features, "doc_id long, fold int, toxic int, x array<double>").toLocalIterator(), key=lambda r: (r["doc_id"], list(r["x"])))
     if not got:
         return ToxicModel(frozenset(), None, None, 0.0)
-    x = np.array([r["x"] for r in got], float).reshape(len(got), FOLDS + 1, -1).swapaxes(0, 1)
+    x = np.array([r["x"] for r in got], float)
     return fit(x, np.array([r["toxic"] for r in got], float), np.array([r["fold"] for r in got], int), lexicons[-1])
 
 

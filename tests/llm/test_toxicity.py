@@ -51,12 +51,56 @@ def test_edge_rows(spark, documents):
     assert toxicity.score_toxicity(documents.limit(0), labels).count() == 0
 
 
-def test_isotonic_is_monotone_and_pools():
+def plain_isotonic(y):
+    """Least squares under a rising order, by the min-max formula."""
+    sums = np.concatenate([[0.0], np.cumsum(y)])
+    mean = lambda a, b: (sums[b] - sums[a]) / (b - a)
+    n = len(y)
+    return np.array([max(min(mean(a, b) for b in range(i + 1, n + 1)) for a in range(i + 1)) for i in range(n)])
+
+
+def test_isotonic_is_monotone_and_least_squares():
     rng = np.random.default_rng(1)
-    s = rng.normal(size=400)
-    y = (rng.random(400) < 1 / (1 + np.exp(-2 * s))).astype(float)
-    at, p = toxicity.isotonic(s, y)
-    assert (np.diff(at) > 0).all() and (np.diff(p) >= -0.05).all() and len(at) < 60
+    for n in (12, 40, 90):
+        s = rng.permutation(n).astype(float)
+        y = (rng.random(n) < 1 / (1 + np.exp(3 - 6 * s / n))).astype(float)
+        at, p = toxicity.isotonic(s, y)
+        assert (np.diff(at) > 0).all() and (np.diff(p) > 0).all()
+        order = np.argsort(s)
+        steps = p[np.searchsorted(at, s[order], side="right") - 1]
+        share = toxicity.DRAWN / (n + toxicity.DRAWN)
+        assert np.allclose(steps, (1 - share) * plain_isotonic(y[order]) + share * y.mean())
+
+
+def test_scores_never_fall_as_the_trees_sum_rises():
+    rng = np.random.default_rng(2)
+    for n in (50, 3000):
+        s = rng.normal(size=n)
+        model = toxicity.ToxicModel(frozenset(), None, toxicity.isotonic(s, (rng.random(n) < 0.2).astype(float)), 0.2)
+        p = model.calibrated(np.sort(np.concatenate([s, rng.normal(scale=4, size=500)])))
+        assert (np.diff(p) >= 0).all() and p.min() >= 0 and p.max() <= 1
+
+
+def test_trees_split_where_a_plain_search_does():
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 9, (120, 3)).astype(float)
+    y = ((x[:, 1] > 4) ^ (rng.random(120) < 0.1)).astype(float)
+    tree = toxicity.Boosted(depth=1, rounds=1).fit(x, y)
+    feature, cut, leaf = tree.trees[0]
+    p = y.mean()
+    g, h = p - y, np.full(120, p * (1 - p))
+    gain = lambda m: g[m].sum() ** 2 / (h[m].sum() + 1) + g[~m].sum() ** 2 / (h[~m].sum() + 1)
+    best = max((gain(x[:, j] <= c), j, c) for j in range(3) for c in range(8))
+    assert (feature[0], np.sum(x[:, feature[0]] <= cut[0])) == (best[1], np.sum(x[:, best[1]] <= best[2]))
+    left = x[:, best[1]] <= best[2]
+    assert np.allclose(leaf[1:3], [-0.15 * g[m].sum() / (h[m].sum() + 1) for m in (left, ~left)])
+
+
+def test_a_very_long_text_is_taken_whole(spark):
+    docs = spark.createDataFrame([(i, "fine words here " * (40_000 if i == 1 else 2) + ("you idiot" if i % 2 else "")) for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    got = {r.doc_id: r.score for r in toxicity.score_toxicity(docs, labels).collect()}
+    assert len(got) == 40 and all(0 <= s <= 1 for s in got.values()) and min(got[i] for i in range(3, 40, 2)) > max(got[i] for i in range(0, 40, 2))
 
 
 def test_obfuscations_are_read():
