@@ -113,7 +113,8 @@ def runs(data: bytes, sizes: np.ndarray) -> tuple[np.ndarray, ...]:
     at = anchor[first]
     mark = stir(span + (many.astype(_U) * _MIX[1]) + ((at - first).astype(_U) * _MIX[3]))
     text = np.searchsorted(ends, first, "right")
-    return gram[at], mark, text, first - starts[text], many, at - first
+    # An anchor has the least hash of its window: mixed once more, so that ranges of it are even.
+    return stir(gram[at]), mark, text, first - starts[text], many, at - first
 
 
 
@@ -314,7 +315,7 @@ class Part:
         runs_left, windows_left = family.close(), single.close()
         every = _matrix(runs_left.text)
         grams = np.lib.stride_tricks.sliding_window_view(every, GRAM, 1)[np.arange(len(runs_left)), runs_left.offset]
-        by_gram = gram_hashes(grams.tobytes())[::GRAM]
+        by_gram = stir(gram_hashes(grams.tobytes())[::GRAM].copy())
         whole = windows_left.text.tobytes()
         by_window = window_marks(whole, np.arange(len(windows_left)) * REACH) if len(windows_left) else np.zeros(0, _U)
         return Suffixes.joined([runs_left, windows_left]), np.concatenate([by_gram, by_window]), Suffixes.joined([family.removed(), single.removed()])
