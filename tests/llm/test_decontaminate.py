@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import numpy as np
 
@@ -37,22 +38,39 @@ def test_reordered_passages_are_found_and_others_left(spark):
     assert got == {(1, 7): (40, 2), (5, 7): (40, 1), (6, 9): (1, 1)}
     assert d.contaminated(docs, bench).count() == 4
     assert sorted(x.doc_id for x in d.drop_contaminated(docs, bench).collect()) == [2, 3, 4]
-    small = {(x.doc_id, x.item_id) for x in d.contaminated(docs, bench, block_bytes=60).collect()}
-    assert small == set(got)
+    joined = {(x.doc_id, x.item_id): (x.tiled_words, x.tiles) for x in d.contaminated(docs, bench, block_bytes=0).collect()}
+    assert joined == got and d.contaminated(docs, bench, block_bytes=0).count() == 4
+    assert sorted(x.doc_id for x in d.drop_contaminated(docs, bench, block_bytes=0).collect()) == [2, 3, 4]
     assert d.contaminated(docs.limit(0), bench).count() == d.contaminated(docs, bench.limit(0)).count() == 0
 
 
-def test_tiling_is_that_of_the_definition():
+def test_tiling_is_that_of_the_definition(monkeypatch):
+    monkeypatch.setattr(d, "PAIRS", 7)
     r = random.Random(5)
-    for _ in range(60):
+    for _ in range(80):
         doc, item = ([r.choice("abc") for _ in range(r.randrange(5, 40))] for _ in range(2))
         index = d.Benchmark([(1, " ".join(item))], match=3)
         found = index.covers(" ".join(doc), 0.0)
-        mine = found[0][2] if found else 0
-        # Among equally long runs the choice is free, and with it a little of the total.
-        assert abs(mine - plain_tiles(doc, item, 3)) <= 6
-        if plain_tiles(doc, item, 3) == 0:
-            assert mine == 0
+        assert (found[0][2] if found else 0) == plain_tiles(doc, item, 3)
+
+
+def test_texts_that_repeat_themselves_cost_no_product():
+    item, doc = "la " * 2_000, "la " * 20_000
+    tracemalloc.start()
+    found = d.Benchmark([(1, item)]).covers(doc + "end", 0.5)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == [(1, 2000, 2000, 1)] and peak < 200 << 20
+
+
+def test_clashing_columns_and_repeated_items(spark):
+    text = " ".join(f"w{i}" for i in range(30))
+    docs = spark.createDataFrame([(1, text, 5, "x"), (2, "other words here", 6, "y"), (None, text, 7, "z")], "doc_id long, text string, item_id int, key string")
+    bench = spark.createDataFrame([(4, text), (4, text), (9, None)], "item_id long, text string")
+    for block in (d.BLOCK_BYTES, 0):
+        assert sorted((x.doc_id or 0, x.item_id) for x in d.contaminated(docs, bench, block_bytes=block).collect()) == [(0, 4), (0, 4), (1, 4), (1, 4)]
+        kept = d.drop_contaminated(docs, bench, block_bytes=block)
+        assert kept.columns == docs.columns and [tuple(x) for x in kept.collect()] == [(2, "other words here", 6, "y")]
 
 
 def test_marked_words_are_not_used_twice():
