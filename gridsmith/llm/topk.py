@@ -1,12 +1,16 @@
 """Exact top-k by inner product: ball-tree branch and bound in every shard.
 
-Vectors are quantised to integers and dealt to shards by a hash of their id;
-queries are dealt in blocks. First each query meets one shard alone (its home),
-whose k-th score is a lower bound of its final k-th score. That bound is shared:
-it goes with the query to all other shards, where whole subtrees whose
-inner-product upper bound (q.c + |q| r) stays below it are never opened. In a
-shard nodes are opened in the order of that bound, and the k-th score found so
-far tightens it further. A last aggregation keeps the k best of all shards.
+Vectors are quantised to integers and dealt to shards by a hash of their id. A
+shard's tree is built once and written; queries travel to the trees in three
+rounds: each first meets one shard alone (its home), then an eighth of the
+others, then the rest. Between rounds the k best of all shards so far are put
+together, and a query's k-th score, a lower bound of its final one, goes with it
+to all shards of the next round. There whole subtrees whose inner-product upper
+bound (q.c + |q| r) stays below it are never opened. In a shard nodes are opened
+in the order of that bound, and the k-th score found so far tightens it further.
+A task reads its shard's tree and then the queries as a stream, so it holds one
+tree and one batch of queries, however many there are; the vectors are moved
+once to build the trees, and the trees once a round.
 
 Equal vectors share one entry of the tree with their smallest ids (at most
 k + 1: no more can be in one query's result), so a vector that a third of all
@@ -18,12 +22,14 @@ vec_id; fewer than k candidates give fewer rows; an empty table gives none. A
 vec_id that occurs on several rows is one candidate a row for others, and none
 of its rows is a candidate for itself; as a query it counts once, by its
 smallest vector. Vectors of different lengths don't meet: only those as long as
-the query are its candidates. Scores are exact while they stay below 2^53.
-Further columns are ignored.
+the query are its candidates; vectors of any length are taken whole. Scores are
+exact while they and their parts stay below 2^53; components of more than
+2^45 are beyond that. Further columns are ignored.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -32,11 +38,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridsmith.llm.common import cut
+from gridsmith.llm.common import cut, shuffle_width
 
 K = 5
-SHARD_ROWS = 8_192
-BLOCK_ROWS = 1_024
+#: Vectors of a shard: its tree (8 bytes a component) is what a task holds.
+SHARD_ROWS = 65_536
 LEAF = 128
 
 
@@ -131,55 +137,78 @@ class Shard:
         return best
 
 
-FOUND = "query_id long, bound double, found array<struct<score:bigint,minus_id:bigint>>"
+FOUND = "query_id long, score long, minus_id long"
+_NAMES = ["size", "shard", "tree", "query_id", "bound", "v"]
 
 
-def _matrix(column: pa.ChunkedArray) -> np.ndarray:
-    flat = column.combine_chunks()
+def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     rows = len(flat)
     return flat.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(rows, -1) if rows else np.zeros((0, 0))
 
 
+def _build(k: int):
+    def run(vectors: pa.Table) -> pa.Table:
+        shard = Shard(vectors.column("vec_id").to_numpy(), _matrix(vectors.column("v")), k + 1)
+        place = [vectors.column(c)[0].as_py() for c in ("size", "shard")]
+        return pa.table({"size": pa.array(place[:1], pa.int32()), "shard": pa.array(place[1:], pa.int32()), "tree": pa.array([pickle.dumps(shard, 5)], pa.binary())})
+
+    return run
+
+
 def _search(k: int):
-    def run(queries: pa.Table, vectors: pa.Table) -> pa.Table:
-        out: list[tuple[int, float, list]] = []
-        if queries.num_rows and vectors.num_rows:
-            shard = Shard(vectors.column("vec_id").to_numpy(), _matrix(vectors.column("v")), k + 1)
-            ids, bounds = queries.column("query_id").to_numpy(), queries.column("bound").to_numpy()
-            for q, found, old in zip(ids, shard.search(_matrix(queries.column("v")), ids, bounds, k), bounds, strict=True):
-                out.append((int(q), float(found[-1][0]) if len(found) == k else float(old), [{"score": s, "minus_id": i} for s, i in found]))
-        kind = pa.list_(pa.struct([("score", pa.int64()), ("minus_id", pa.int64())]))
-        return pa.table({"query_id": pa.array([r[0] for r in out], pa.int64()), "bound": pa.array([r[1] for r in out], pa.float64()), "found": pa.array([r[2] for r in out], kind)})
+    """A stream of trees, each followed by the queries that meet it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, at = None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            size, number = batch.column("size").to_numpy(), batch.column("shard").to_numpy()
+            trees = batch.column("tree")
+            begins = trees.is_valid().to_numpy(zero_copy_only=False)
+            edges = np.flatnonzero(np.concatenate([[True], (size[1:] != size[:-1]) | (number[1:] != number[:-1]) | begins[1:] | begins[:-1]]))
+            rows: list[tuple[int, int, int]] = []
+            for a, b in zip(edges.tolist(), [*edges[1:].tolist(), batch.num_rows], strict=True):
+                if begins[a]:
+                    shard, at = pickle.loads(trees[a].as_py()), (size[a], number[a])
+                elif at == (size[a], number[a]):
+                    some = batch.slice(a, b - a)
+                    ids = some.column("query_id").to_numpy()
+                    found = shard.search(_matrix(some.column("v")), ids, some.column("bound").to_numpy(), k)
+                    rows += [(q, s, i) for q, best in zip(ids.tolist(), found, strict=True) for s, i in best]
+            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], pa.int64()) for c in range(3)], ["query_id", "score", "minus_id"])
 
     return run
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, shard_rows: int = SHARD_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """query_id, rank, vec_id and score: the k best of vectors (vec_id, embedding) for every row of queries (the same columns).
-
-    A query never meets rows of its own id. Every shard and block is of bounded
-    size; blocks and shards meet in pairs, each query in each shard once.
-    """
-    rows = cut(quantised(vectors).withColumn("size", F.size("v")))
-    many = rows.count()
-    asked = quantised(queries).groupBy(F.col("vec_id").alias("query_id")).agg(F.min("v").alias("v")).withColumn("size", F.size("v"))
-    asked = cut(asked)
-    shards = max(1, -(-many // shard_rows))
-    blocks = max(1, -(-asked.count() // block_rows))
-    rows = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"))
-    asked = asked.withColumn("block", F.pmod(F.xxhash64("query_id", F.lit(3)), F.lit(blocks)).cast("int"))
-    asked = asked.withColumn("home", F.pmod(F.xxhash64("query_id", F.lit(5)), F.lit(shards)).cast("int")).withColumn("bound", F.lit(float("-inf")))
-    key = ["size", "shard", "block"]
-    spread = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    at_home = asked.withColumn("shard", F.col("home")).groupBy(*key).cogroup(spread.groupBy(*key)).applyInArrow(_search(k), FOUND)
-    first = cut(at_home)
-    bounded = asked.drop("bound").join(first.select("query_id", "bound"), "query_id", "left").withColumn("bound", F.coalesce("bound", F.lit(float("-inf"))))
-    abroad = bounded.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).where(F.col("shard") != F.col("home"))
-    rest = abroad.groupBy(*key).cogroup(spread.groupBy(*key)).applyInArrow(_search(k), FOUND)
-    # Each shard gives a query at most k rows.
-    one = first.unionByName(rest).select("query_id", F.explode("found").alias("f"))
-    ranked = one.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("f.score").desc(), F.col("f.minus_id").desc())))
-    return ranked.where(F.col("rank") <= k).select("query_id", "rank", (-F.col("f.minus_id")).alias("vec_id"), F.col("f.score").alias("score"))
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """query_id, rank, vec_id and score: the k best of vectors (vec_id, embedding) for every row of queries (the same columns). A query never meets rows of its own id."""
+    spark = vectors.sparkSession
+    rows = quantised(vectors).withColumn("size", F.size("v"))
+    # Enough shards to keep the cluster busy, and as many as their size asks for.
+    shards = max(shuffle_width(spark), -(-rows.count() // shard_rows))
+    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"))
+    trees = cut(dealt.groupBy("size", "shard").applyInArrow(_build(k), "size int, shard int, tree binary"))
+    asked = quantised(queries).groupBy(F.col("vec_id").alias("query_id")).agg(F.min("v").alias("v"))
+    asked = cut(asked.withColumns({"size": F.size("v"), "home": F.pmod(F.xxhash64("query_id", F.lit(5)), F.lit(shards)).cast("int")}))
+    empty = {c: F.lit(None).cast(t) for c, t in (("tree", "binary"), ("query_id", "long"), ("bound", "double"), ("v", "array<double>"))}
+    few = 1 + (shards - 1) // 8
+    best = None
+    for first, last in ((0, 1), (1, few), (few, shards)):
+        if first == last:
+            continue
+        bounds = None if best is None else best.groupBy("query_id").agg(F.when(F.count("*") == k, F.min("score")).alias("bound"))
+        bounded = asked.withColumn("bound", F.lit(None).cast("double")) if bounds is None else asked.join(bounds, "query_id", "left")
+        sent = bounded.withColumn("step", F.explode(F.sequence(F.lit(first), F.lit(last - 1)))).withColumn("shard", F.pmod(F.col("home") + F.col("step"), F.lit(shards)).cast("int"))
+        sent = sent.withColumns({"tree": empty["tree"], "bound": F.coalesce(F.col("bound").cast("double"), F.lit(float("-inf")))}).select(*_NAMES)
+        stream = trees.withColumns({c: empty[c] for c in ("query_id", "bound", "v")}).select(*_NAMES).unionByName(sent)
+        ordered = stream.repartition(shards, "size", "shard").sortWithinPartitions("size", "shard", F.col("tree").isNull())
+        found = ordered.mapInArrow(_search(k), FOUND)
+        every = found if best is None else best.select("query_id", "score", "minus_id").unionByName(found)
+        ranked = every.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("minus_id").desc())))
+        best = cut(ranked.where(F.col("rank") <= k))
+    return best.select("query_id", "rank", (-F.col("minus_id")).alias("vec_id"), "score")
 
 
 def top_k_sql(k: int = K, every: int = 50) -> str:

@@ -21,13 +21,32 @@ def test_equal_vectors_ties_and_unsound_rows(spark):
     frame = spark.createDataFrame([(i, v, 1, 2) for i, v in rows], "vec_id long, embedding array<float>, label int, rank int")
     asked = lambda i: i % 10 == 0
     want = plain([(i, None if v is None else [None if c is None else float(np.float32(c)) for c in v]) for i, v in rows], asked, 5)
-    for shard, block in ((8192, 1024), (30, 4), (7, 100)):
-        got = topk.top_k(frame, frame.where("vec_id % 10 = 0"), 5, shard, block).collect()
+    for shard in (65_536, 30, 7):
+        got = topk.top_k(frame, frame.where("vec_id % 10 = 0"), 5, shard).collect()
         assert sorted(tuple(r) for r in got) == want
     assert topk.top_k(frame.limit(0), frame.limit(0)).count() == 0
     assert topk.top_k(frame.where("vec_id in (0, 1, 2)"), frame.where("vec_id = 0")).count() == 2
 
 
+def test_repeated_ids(spark):
+    rows = [(1, [1.0, 0.0]), (1, [0.5, 2.0]), (2, [3.0, 1.0]), (2, [3.0, 1.0]), (3, [0.0, 1.0]), (4, [-1.0, -1.0])]
+    got = sorted(tuple(r) for r in topk.top_k(*[spark.createDataFrame(rows, "vec_id long, embedding array<double>")] * 2, 2).collect())
+    one = lambda q: sorted(((-int(a * x + b * y), i) for i, (x, y) in [(i, (256 * x, 256 * y)) for i, (x, y) in rows] if i != q for a, b in [min(v for j, v in [(j, [256 * x, 256 * y]) for j, (x, y) in rows] if j == q)]))[:2]
+    assert got == sorted((q, r + 1, i, -s) for q in (1, 2, 3, 4) for r, (s, i) in enumerate(one(q)))
+
+
+def test_vectors_move_once_whatever_the_number_of_queries(spark, sf_dir):
+    table = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    sizes = []
+    real = topk.cut
+    try:
+        topk.cut = lambda frame: sizes.append(frame.columns) or real(frame)
+        topk.top_k(table, table, 3, 100).count()
+    finally:
+        topk.cut = real
+    assert sizes.count(["size", "shard", "tree"]) == 1 and len(sizes) <= 5
+
+
 def test_op5_gives_its_sql_rows(spark, sf_dir):
     duck = duckdb.connect()
     duck.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{sf_dir}/embeddings.parquet'")
