@@ -56,13 +56,18 @@ def focal_loss(logit: Column, target: Column) -> Column:
     return F.avg(weight * F.pow(1 - right, F.lit(GAMMA)) * -F.log(right))
 
 
+#: Numbers that one step of a distance map holds.
+SLICE = 2_000_000
+
+
 def _parabolas(f: np.ndarray) -> np.ndarray:
-    """Lower envelope along the last axis of (x - y)^2 + f(y), for a small number of columns in one step."""
+    """The least of (x - y)^2 + f(y) over y along the last axis, for as many rows at once as SLICE allows."""
     n = f.shape[-1]
     d = (np.arange(n)[:, None] - np.arange(n)[None, :]) ** 2
     out = np.empty_like(f)
-    for i in range(0, len(f), 256):
-        out[i : i + 256] = (f[i : i + 256, None, :] + d[None]).min(-1)
+    step = max(1, SLICE // (n * n))
+    for i in range(0, len(f), step):
+        out[i : i + step] = (f[i : i + step, None, :] + d[None]).min(-1)
     return out
 
 
@@ -79,17 +84,18 @@ def signed_distance(mask: np.ndarray) -> np.ndarray:
     return np.where(mask, -to(~mask), to(mask))
 
 
-def distance_maps(pixels: DataFrame, key: str, mask: str = "m") -> DataFrame:
-    """key, row, col, mask and distance; a patch is one group, bounded by the patch size."""
+def distance_maps(pixels: DataFrame, key: str, mask: str = "m", carried: Sequence[str] = ()) -> DataFrame:
+    """key, row, col, mask, distance and carried columns; a patch is one group, bounded by the patch size."""
+    columns = [key, "row", "col", mask, *carried]
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         r, c = group["row"].to_numpy(), group["col"].to_numpy()
         grid = np.zeros((r.max() + 1, c.max() + 1), bool)
         grid[r, c] = group[mask].to_numpy(bool)
-        return group.assign(distance=signed_distance(grid)[r, c])[[key, "row", "col", mask, "distance"]]
+        return group.assign(distance=signed_distance(grid)[r, c])[[*columns, "distance"]]
 
     kind = dict(pixels.dtypes)
-    return pixels.select(key, "row", "col", mask).groupBy(key).applyInPandas(run, f"{key} {kind[key]}, row {kind['row']}, col {kind['col']}, {mask} {kind[mask]}, distance double")
+    return pixels.select(*columns).groupBy(key).applyInPandas(run, ", ".join(f"{c} {kind[c]}" for c in columns) + ", distance double")
 
 
 def boundary_loss(logit: Column, distance: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridsmith.functions.scalar import bounds_text, patch_bounds, patch_id
@@ -55,6 +55,15 @@ def top_patches(rows: DataFrame, n: int = 3, ratio: str = "coffee_ratio", key: s
     return rows.orderBy(F.col(ratio).desc(), key).limit(n)
 
 
+def row_major(rows: DataFrame) -> DataFrame:
+    """Patches in the order of their rows and columns: one range shuffle, a number from 0 for each."""
+    place = F.row_number().over(Window.partitionBy("row").orderBy("col")) - 1
+    before = rows.groupBy("row").agg(F.count("*").alias("__n"))
+    started = before.withColumn("__start", F.sum("__n").over(Window.orderBy("row").rowsBetween(Window.unboundedPreceding, -1)))
+    numbered = rows.withColumn("__place", place).join(started.select("row", "__start"), "row")
+    return numbered.withColumn("place", (F.coalesce("__start", F.lit(0)) + F.col("__place")).cast("long")).drop("__place", "__start")
+
+
 def hashed_sample(rows: DataFrame, n: int, key: str) -> DataFrame:
     """n rows by the md5 of their key: the same rows on every run and in every engine."""
     return rows.orderBy(F.md5(F.col(key).cast("string").cast("binary")), key).limit(n)

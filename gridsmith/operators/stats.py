@@ -90,6 +90,16 @@ def histogram(pixels: DataFrame, x: Column, bins: int, low: Column, high: Column
     return pixels.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin")).join(counted, "bin", "left").select("bin", F.coalesce("n", F.lit(0)).alias("n"))
 
 
+def band_histograms(pixels: DataFrame, bands: Sequence[str], bins: int = 32) -> DataFrame:
+    """band, bin and n between each band's least and greatest finite value, empty bins included: one scan for the ends and one for the counts, whatever the number of bands."""
+    ends = value_ranges(pixels, bands).select("band", "min_value", "max_value")
+    long = pixels.select(F.inline(F.array(*[F.struct(F.lit(b).alias("band"), F.col(b).cast("double").alias("x")) for b in bands])))
+    met = long.join(F.broadcast(ends), "band")  # a row a band
+    counted = met.groupBy("band", bin_of(F.col("x"), F.col("min_value"), F.col("max_value"), bins).alias("bin")).agg(F.count("*").alias("n"))
+    every = ends.select("band", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
+    return every.join(counted, ["band", "bin"], "left").select("band", "bin", F.coalesce("n", F.lit(0)).alias("n"))
+
+
 def stretched(pixels: DataFrame, band: str, low: float, high: float) -> DataFrame:
     return pixels.withColumn(band, stretch(F.col(band).cast("double"), F.lit(float(low)), F.lit(float(high))))
 

@@ -2,20 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridsmith.functions import scalar as S
 from gridsmith.operators import agreement, evaluate, folds, grid, masks, patches, stats, vector
+from gridsmith.plans.registry import QUERIES, SQL, query, rounded
 from gridsmith.plans.views import PATCHES_SQL, PER_ROW, PX_SQL, SIDE, px, table
 from gridsmith.plans.views import patches as patch_view
 from gridsmith.schemas import BANDS, Settings
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
 SETTINGS = Settings()
 THRESHOLDS = (0.02, 0.03, 0.04, 0.05, 0.06, 0.08, 0.1)
 AFFINE = {"a": 10.0, "b": 0.0, "c": 300000.0, "d": 0.0, "e": -10.0, "f": 7780000.0}
@@ -23,21 +19,6 @@ CENTRES = ((2560.0, 1024.0), (5120.0, 4096.0), (8192.0, 2048.0), (11264.0, 5120.
 LI = {"b2": "l_quantity", "b3": "l_extendedprice", "b4": "l_discount", "b8": "l_tax"}
 
 
-def query(sql: str | None = None):
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            SQL[f.__name__] = sql
-        return f
-
-    return register
-
-
-def rounded(frame: DataFrame, digits: int = 6) -> DataFrame:
-    """Sums of doubles depend on their order in the last digits; +0.0 makes -0.0 plain."""
-    return frame.select(*[(F.round(c, digits) + F.lit(0.0)).alias(c) if t == "double" else F.col(c) for c, t in frame.dtypes])
-
-
 def _metrics_sql() -> str:
     b, f, o, z = (f'CAST("{c}" AS DOUBLE)' for c in agreement.CELLS)
     total = f"({b} + {f} + {o} + {z})"
@@ -144,9 +125,11 @@ def grid_snap(spark, d):
     return bounds.select("feature", low.cast("double").alias("low"), high.cast("double").alias("high"), ((high - low) / SETTINGS.scale_m).cast("long").alias("cells"))
 
 
-@query("SELECT format('composite_310044_2018_r{:04d}_c{:04d}', vec_id // 32, vec_id % 32) AS patch_id FROM embeddings WHERE vec_id // 32 < 13 AND vec_id % 32 < 30")
+@query("SELECT format('composite_310044_2018_r{:04d}_c{:04d}', vec_id // 32, vec_id % 32) AS patch_id FROM embeddings")
 def patch_grid_ids(spark, d):
-    rows, cols = S.grid_dims(13 * 512 + 100, 30 * 512 + 511, 512)
+    """A raster as high as the table asks for, with a partial patch beyond its last row and column, which gives no id."""
+    last = patch_view(spark, d).agg(F.max("row")).first()[0] or 0
+    rows, cols = S.grid_dims((last + 1) * 512 + 100, PER_ROW * 512 + 511, 512)
     inside = patch_view(spark, d).where((F.col("row") < rows) & (F.col("col") < cols))
     return inside.select(S.patch_id(F.lit(S.composite_name(SETTINGS.region, 2018)), F.col("row"), F.col("col")).alias("patch_id"))
 
@@ -163,11 +146,14 @@ def patch_ratio_filter(spark, d):
     return patch_view(spark, d).where(F.col("coffee_ratio") >= 0.5).select("vec_id", "coffee_ratio")
 
 
-@query(f"WITH {PX_SQL}, w AS (SELECT CAST((vec_id // 32 * 4 + row) // 8 AS INTEGER) AS row, CAST((vec_id % 32 * 4 + col) // 8 AS INTEGER) AS col, b2 FROM px) SELECT row, col, round(avg(CASE WHEN b2 > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) + 0.0 AS coffee_ratio FROM w WHERE row < 7 GROUP BY 1, 2 HAVING avg(CASE WHEN b2 > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) >= 0.4")
+@query(
+    f"WITH {PX_SQL}, w AS (SELECT CAST((vec_id // 32 * 4 + row) // 8 AS INTEGER) AS row, CAST((vec_id % 32 * 4 + col) // 8 AS INTEGER) AS col, b2 FROM px), h AS (SELECT ((max(vec_id) // 32 + 1) * 4 - 1) // 8 AS h FROM embeddings) "
+    "SELECT row, col, round(avg(CASE WHEN b2 > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) + 0.0 AS coffee_ratio FROM w, h WHERE row < h GROUP BY 1, 2 HAVING avg(CASE WHEN b2 > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) >= 0.4"
+)
 def patch_manifest_ratios(spark, d):
-    """All patches as one raster, tiled anew in 8 x 8 pixels."""
-    whole = px(spark, d).select((F.floor(F.col("vec_id") / PER_ROW) * SIDE + F.col("row")).cast("int").alias("row"), ((F.col("vec_id") % PER_ROW) * SIDE + F.col("col")).cast("int").alias("col"), F.col("b2").alias("m"))
-    return rounded(patches.patch_ratios(whole, 8, 63, PER_ROW * SIDE, 0.4))
+    """All patches as one raster, tiled anew in 8 x 8 pixels; its height is one short of the table's, so that a partial edge of tiles is dropped."""
+    whole, height = raster(spark, d)
+    return rounded(patches.patch_ratios(whole.withColumn("m", F.col("b2")), 8, height - 1, PER_ROW * SIDE, 0.4))
 
 
 @query(f"WITH {PX_SQL} SELECT row, col, round(sum(b2), 6) + 0.0 AS b2, round(sum(b3), 6) + 0.0 AS b3, round(sum(b4), 6) + 0.0 AS b4, round(sum(b8), 6) + 0.0 AS b8, count(*) AS n FROM px GROUP BY 1, 2")
@@ -226,6 +212,14 @@ def manifest_summary(spark, d):
     return rounded(patches.manifest_summary(patch_view(spark, d), sets=["fold"]).withColumn("fold_values", F.array_join(F.col("fold_values").cast("array<string>"), ",")))
 
 
+def raster(spark, d) -> tuple[DataFrame, int]:
+    """All patches as one raster (vec_id, row, col and bands), and its height."""
+    last = table(spark, d, "embeddings").agg(F.max("vec_id")).first()[0] or 0
+    row = (F.floor(F.col("vec_id") / PER_ROW) * SIDE + F.col("row")).cast("int")
+    col = ((F.col("vec_id") % PER_ROW) * SIDE + F.col("col")).cast("int")
+    return px(spark, d).withColumns({"row": row, "col": col}), (last // PER_ROW + 1) * SIDE
+
+
 def _placed(spark, d) -> DataFrame:
     return patch_view(spark, d).withColumns({"x": (F.col("col") * 512 + 256).cast("double"), "y": (F.col("row") * 512 + 256).cast("double")})
 
@@ -406,10 +400,8 @@ def signed_distance(spark, d):
     "s AS (SELECT b2, CASE WHEN m THEN -coalesce(d, 0.0::DOUBLE) ELSE coalesce(d, 0.0::DOUBLE) END AS s FROM m) SELECT round(coalesce(sum(s * (1 / (1 + exp(-b2 * 10)))) / nullif(sum(abs(s)), 0), 0.0), 6) + 0.0 AS loss FROM s"
 )
 def boundary_loss(spark, d):
-    pixels = px(spark, d)
-    maps = evaluate.distance_maps(pixels.withColumn("m", F.col("b3") > 0), "vec_id")
-    met = maps.join(pixels.select("vec_id", "row", "col", "b2"), ["vec_id", "row", "col"])
-    return rounded(met.agg(evaluate.boundary_loss(_logit(), F.col("distance")).alias("loss")))
+    maps = evaluate.distance_maps(px(spark, d).withColumn("m", F.col("b3") > 0), "vec_id", carried=["b2"])
+    return rounded(maps.agg(evaluate.boundary_loss(_logit(), F.col("distance")).alias("loss")))
 
 
 @query()
@@ -422,3 +414,6 @@ def kmeans_folds(spark, d):
 def patch_paths(spark, d):
     rows = table(spark, d, "embeddings").select(F.format_string("images/p%05d.npy", "vec_id").alias("image_path"), F.format_string("masks/p%05d.npy", "vec_id").alias("mask_path"))
     return patches.local_paths(rows)
+
+
+from gridsmith.plans import reports  # noqa: E402, F401  (registers further queries)

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import json
+from dataclasses import dataclass, field, fields
 
 PIXELS = "raster_id string, tile_r int, tile_c int, row int, col int, b2 float, b3 float, b4 float, b8 float"
 MASK_PIXELS = "source string, year int, row int, col int, m boolean"
@@ -24,6 +25,7 @@ class Source:
     value: float | None
     year: int | None
     enabled: bool = True
+    native_resolution_m: int = 10
 
 
 @dataclass(frozen=True)
@@ -45,6 +47,20 @@ class Settings:
     chosen: str = "emater"
     sources: tuple[Source, ...] = field(default_factory=lambda: (Source("mapbiomas", "class", 46, 2025), Source("alphaearth", "threshold", 0.28, 2024), Source("emater", "vector", None, 2018)))
 
+    @classmethod
+    def load(cls, text: str, required: tuple[str, ...] = ("region", "sources")) -> Settings:
+        """Settings from a JSON object; an error that names the required keys it lacks, or keys that are no settings."""
+        given = json.loads(text)
+        if not isinstance(given, dict):
+            raise ValueError("the settings are not an object")
+        missing, unknown = sorted(set(required) - set(given)), sorted(set(given) - {f.name for f in fields(cls)})
+        if missing or unknown:
+            raise ValueError(f"incomplete or unknown settings: missing {missing}, unknown {unknown}")
+        given["sources"] = tuple(Source(**s) for s in given.get("sources", ()))
+        if "loss_weights" in given:
+            given["loss_weights"] = tuple(given["loss_weights"])
+        return cls(**given)
+
     def __post_init__(self) -> None:
         if self.patch_size < 1 or self.folds < 1 or self.scale_m <= 0:
             raise ValueError("patch_size and folds must be at least 1, scale_m above 0")

@@ -8,6 +8,7 @@ reads will do.
 from __future__ import annotations
 
 import json
+import os
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +16,16 @@ from pyspark.sql import DataFrame, SparkSession
 from gridsmith.functions.scalar import fingerprint
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A folder that all machines see: the one of spark.checkpoint.dir, one of our own only on a single machine that names none."""
+    context = spark.sparkContext
+    set_dir = context._jsc.sc().getCheckpointDir()
+    named = set_dir.get() if set_dir.isDefined() else context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not context.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
+    return f"{(named or f'file:///tmp/checkpoints/{os.getuid()}').rstrip('/')}/gridsmith"
+
+
 class Store:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -31,16 +42,17 @@ class Store:
         return self._fs(path).exists(self._path(path))
 
     def put(self, path: str, text: str) -> None:
-        """Written under another name and renamed: readers see the old text or the new."""
-        fs = self._fs(path)
+        """Written under another name and renamed over the old one in one step: readers see the old text or the new, also after a crash."""
         new = f"{path}.new"
-        out = fs.create(self._path(new), True)
+        out = self._fs(path).create(self._path(new), True)
         try:
             out.write(bytearray(text.encode()))
         finally:
             out.close()
-        fs.delete(self._path(path), False)
-        fs.rename(self._path(new), self._path(path))
+        context = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._path(path).toUri(), self._conf)
+        options = self.spark.sparkContext._gateway.new_array(self._jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        options[0] = self._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+        context.rename(self._path(new), self._path(path), options)
 
     def get(self, path: str) -> str | None:
         if not self.exists(path):
