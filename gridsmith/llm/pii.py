@@ -13,8 +13,10 @@
    that it scores at 0.5 or more, and that overlap no base span, are added.
 
 Defined results: a null text counts as empty; an empty text or table gives no
-spans; repeated rows give a row each; further columns are ignored. Without any
-candidate the classifier is undefined and adds nothing.
+spans; texts of any length are scanned whole; repeated rows give a row each;
+further columns are ignored, and kept by `redact` whatever their names. Without
+any candidate the classifier is undefined and adds nothing. Of spans that start
+together the kind listed first comes first.
 """
 
 from __future__ import annotations
@@ -220,21 +222,22 @@ def redact(docs: DataFrame) -> DataFrame:
     """
     found = cut(candidates(docs).where(F.size("found") > 0))
     model = fit(found)
-    text = F.coalesce(F.col("text"), F.lit(""))
-    columns = docs.columns
-    named = docs.withColumn("__text", text)
-    scanned = named.withColumn("__found", _found(F.col("__text")))
-    voted = scanned.withColumn("__voted", _voted("__text", "__found"))
-    spans = voted.withColumn("__spans", F.array_sort(accepted(F.col("__voted"), model)))
-    names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
-    body = F.col("__text")
+    # The table's own columns go by number meanwhile, so that none clashes with a name of ours.
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    place = {c: n for c, n in zip(docs.columns, names, strict=True)}
+    body = F.col("body")
+    scanned = docs.toDF(*names).withColumn("body", F.coalesce(F.col(place["text"]), F.lit(""))).withColumn("found", _found(body))
+    spans = scanned.withColumn("voted", _voted("body", "found")).withColumn("spans", F.array_sort(accepted(F.col("voted"), model)))
+    kinds = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
     piece = lambda a, b: body.substr((a + 1).cast("int"), (b - a).cast("int"))
     start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
-    step = lambda acc, s: F.when(s["start"] >= acc["at"], F.struct(s["stop"].alias("at"), F.concat(acc["out"], piece(acc["at"], s["start"]), F.element_at(names, s["kind"])).alias("out"))).otherwise(
+    step = lambda acc, s: F.when(s["start"] >= acc["at"], F.struct(s["stop"].alias("at"), F.concat(acc["out"], piece(acc["at"], s["start"]), F.element_at(kinds, s["kind"])).alias("out"))).otherwise(
         F.struct(F.greatest(acc["at"], s["stop"]).alias("at"), acc["out"].alias("out"))
     )
-    whole = F.aggregate(F.col("__spans"), start, step, lambda acc: F.concat(acc["out"], piece(acc["at"], F.length(body).cast("bigint"))))
-    cleaned = spans.withColumn("text", F.when(F.size("__spans") > 0, whole).otherwise(F.col("text")))
-    if "n_chars" in columns:
-        cleaned = cleaned.withColumn("n_chars", F.when(F.size("__spans") > 0, F.length("text")).otherwise(F.col("n_chars")).cast("bigint"))
-    return cleaned.select(*columns)
+    whole = F.aggregate(F.col("spans"), start, step, lambda acc: F.concat(acc["out"], piece(acc["at"], F.length(body).cast("bigint"))))
+    text = F.when(F.size("spans") > 0, whole).otherwise(F.col(place["text"]))
+    out = spans.withColumn("cleaned", text)
+    new = {c: F.col(n) for c, n in place.items()} | {"text": F.col("cleaned")}
+    if "n_chars" in place:
+        new["n_chars"] = F.when(F.size("spans") > 0, F.length("cleaned")).otherwise(F.col(place["n_chars"])).cast("bigint")
+    return out.select(*[new[c].alias(c) for c in docs.columns])

@@ -1,7 +1,9 @@
 import hashlib
 import re
+from collections import Counter
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -109,6 +111,45 @@ def test_redaction(spark):
     assert got == {1: ("to [EMAIL], [PHONE]!", 20), 2: (None, None), 3: ("", 0), 4: ("plain", 5)}
 
 
+def test_redaction_keeps_columns_of_any_name(spark):
+    rows = spark.createDataFrame([("a@b.co", "one", [1], "x", "y", 1)], "text string, found string, spans array<int>, __text string, body string, doc_id long")
+    out = pii.redact(rows)
+    assert out.dtypes == rows.dtypes and tuple(out.first()) == ("[EMAIL]", "one", [1], "x", "y", 1)
+
+
+def plain_em(rows, rounds):
+    """Two-class EM with independent labelers, a document-free version on repeated patterns."""
+    votes = np.array([v for _, v, _, _ in rows]) + 1
+    kind, n = np.array([k for k, *_ in rows]), np.array([c for *_, c in rows], float)
+    post = np.clip(0.5 + 0.2 * (votes - 1).sum(1), 0.05, 0.95)
+    for _ in range(rounds):
+        both = np.stack([1 - post, post])
+        theta = np.ones((pii.VOTERS, 2, 3))
+        prior = np.ones((len(pii.KINDS) + 1, 2))
+        for c in (0, 1):
+            np.add.at(prior[:, c], kind, n * both[c])
+            for v in range(pii.VOTERS):
+                np.add.at(theta[v, c], votes[:, v], n * both[c])
+        theta /= theta.sum(2, keepdims=True)
+        joint = np.log(prior[kind]) + sum(np.log(theta[v][:, votes[:, v]]).T for v in range(pii.VOTERS))
+        post = 1 / (1 + np.exp(joint[:, 0] - joint[:, 1]))
+    return theta
+
+
+def test_reliabilities_are_those_of_a_plain_em_and_added_spans_those_of_the_classifier(frame):
+    found = pii.candidates(frame)
+    held = [(r.doc_id, s) for r in found.collect() for s in r.found]
+    counts = Counter((s.kind, tuple(s.votes), s.length_class) for _, s in held)
+    model = pii.fit(found)
+    assert np.allclose(model.reliability, plain_em(sorted((*k, n) for k, n in counts.items()), 40))
+    score = lambda s: model.kind[s.kind - 1] + model.length[s.length_class] + sum(model.vote[v][s.votes[v] + 1] for v in range(pii.VOTERS))
+    base = [(i, s) for i, s in held if s.kind <= pii.BASE]
+    clear = [(i, s) for i, s in held if s.kind > pii.BASE and score(s) >= 0 and not any(i == j and b.start < s.stop and s.start < b.stop for j, b in base)]
+    want = sorted((i, s.start, s.kind, s.stop) for i, s in base + clear)
+    got = found.select("doc_id", F.explode(pii.accepted(F.col("found"), model)).alias("s")).collect()
+    assert clear and sorted((r.doc_id, r.s.start, r.s.kind, r.s.stop) for r in got) == want
+
+
 def test_empty_tables(frame):
     assert secrets.secrets_report(frame.limit(0)).count() == pii.pii_report(frame.limit(0)).count() == pii.redact(frame.limit(0)).count() == 0
 
