@@ -321,7 +321,8 @@ def _links(frame: DataFrame, sized: DataFrame, block: tuple[int, int]) -> DataFr
     the hub. Documents that are not meet all others of their component, again in
     blocks, which are larger the more there are of them.
     """
-    total = sized.groupBy("label").agg(F.sum("n").alias("total"), F.count("*").alias("rows")).where("rows > 1").drop("rows").withColumn("blocks", F.ceil(F.col("total") / block[0]).cast("int"))
+    # Written first, so that the join below is between plain shuffles and AQE splits a large component.
+    total = cut(sized.groupBy("label").agg(F.sum("n").alias("total"), F.count("*").alias("rows")).where("rows > 1").drop("rows").withColumn("blocks", F.ceil(F.col("total") / block[0]).cast("int")))
     dealt = cut(sized.join(total, "label"))
     own = F.array(_spread("doc_id", "blocks", 1))
     first = dealt.select("doc_id", "label", F.explode(F.when(F.col("doc_id") == F.col("label"), _all_blocks("blocks")).otherwise(own)).alias("i"))
