@@ -11,40 +11,6 @@ from pyspark.sql import functions as F
 ITERATIONS = 100
 
 
-def seeds(points: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
-    """k-means++: the first centre uniformly, others by squared distance to the nearest one; uniformly again where all are 0."""
-    chosen = [int(rng.integers(len(points)))]
-    near = ((points - points[chosen[0]]) ** 2).sum(1)
-    for _ in range(k - 1):
-        total = near.sum()
-        chosen.append(int(rng.choice(len(points), p=near / total if total > 0 else None)))
-        near = np.minimum(near, ((points - points[chosen[-1]]) ** 2).sum(1))
-    return points[chosen].astype(float)
-
-
-def _renumber(centres: np.ndarray) -> np.ndarray:
-    """New numbers of the centres: by x, then y."""
-    out = np.empty(len(centres), int)
-    out[np.lexsort((centres[:, 1], centres[:, 0]))] = np.arange(len(centres))
-    return out
-
-
-def kmeans(points: np.ndarray, k: int, seed: int) -> np.ndarray:
-    """Plain k-means of an array. Labels, numbered by their centres' x and y. The lowest centre wins ties and an empty cluster keeps its centre."""
-    if len(points) < k:
-        raise ValueError(f"{len(points)} points can't be dealt to {k} folds")
-    centres = seeds(points, k, np.random.default_rng(seed))
-    labels = None
-    for _ in range(ITERATIONS):
-        new = ((points[:, None] - centres[None]) ** 2).sum(2).argmin(1)
-        moved = np.array([points[new == j].mean(0) if (new == j).any() else centres[j] for j in range(k)])
-        settled = labels is not None and (new == labels).all() and np.allclose(moved, centres)
-        centres, labels = moved, new
-        if settled:
-            break
-    return _renumber(centres)[labels]
-
-
 def nearest_centre(x: Column, y: Column, centres: Sequence[Sequence[float]]) -> Column:
     """The number of the nearest of a few fixed centres, the lowest of equals: plain arithmetic, no join."""
     each = F.array(*[F.struct(((x - float(cx)) ** 2 + (y - float(cy)) ** 2).alias("d"), F.lit(i).alias("i")) for i, (cx, cy) in enumerate(centres)])
@@ -52,8 +18,13 @@ def nearest_centre(x: Column, y: Column, centres: Sequence[Sequence[float]]) ->
 
 
 def _drawn(weighted: DataFrame, weight: Column, seed: int, step: int) -> tuple[float, float] | None:
-    """A point drawn with a probability in proportion to its weight, None where all are 0: the least of exponential variates of these rates, made of hashes, so neither order nor partitions matter."""
-    uniform = (F.shiftrightunsigned(F.xxhash64("x", "y", F.lit(seed), F.lit(step)), 11).cast("double") + 0.5) / float(2**53)
+    """A point drawn with a probability in proportion to its weight, None where all are 0: the least of exponential variates of these rates.
+
+    They are made of md5 digests, so neither order nor partitions matter, and any
+    engine draws the same.
+    """
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit(str(step)), F.col("x").cast("string"), F.col("y").cast("string")).cast("binary"))
+    uniform = (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / float(2**52)
     positive = weighted.select("x", "y", uniform.alias("u"), weight.alias("w")).where("w > 0")
     least = positive.agg(F.min(F.struct((-F.log("u") / F.col("w")).alias("key"), "x", "y")).alias("p")).first()["p"]
     return None if least is None else (least["x"], least["y"])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -44,44 +45,61 @@ def normalized(pixels: DataFrame, stats: DataFrame, bands: Sequence[str]) -> Dat
 def percentiles(pixels: DataFrame, x: Column, shares: Sequence[float], gather: int = 100_000) -> list[float | None]:
     """Linearly interpolated percentiles of the finite values, exactly; None without any.
 
-    A bounded sketch brackets every rank. The bracket is narrowed, counting what
-    lies below it, until it holds one value or at most `gather` rows, which alone
-    come to the driver: no group grows with the data.
+    A bounded sketch brackets all ranks at once, and one pass counts what lies
+    below and in each bracket. A bracket that holds more than `gather` rows and
+    more than one value is bracketed anew, until each can be sorted: no group
+    grows with the data, and the passes are as many as the worst rank needs.
     """
     values = pixels.select(finite(x.cast("double")).alias("x")).where("x IS NOT NULL")
-    n = values.count()
+    first = values.agg(F.count("*").alias("n"), F.min("x").alias("low"), F.max("x").alias("high")).first()
+    n = first["n"]
     if not n:
         return [None for _ in shares]
-    out = []
-    for share in shares:
-        rank = share * (n - 1)
-        low = _ranked(values, n, int(rank), gather)
-        high = _ranked(values, n, min(n - 1, int(rank) + 1), gather) if rank > int(rank) else low
-        out.append(low + (rank - int(rank)) * (high - low))
-    return out
-
-
-def _ranked(values: DataFrame, n: int, rank: int, gather: int) -> float:
-    """The value at a 0-based rank."""
-    below, inside, low, high = 0, n, None, None
-    part = values
-    while inside > gather and (low is None or low < high):
-        p = (rank - below) / inside
-        ends = part.agg(F.percentile_approx("x", [max(0.0, p - 1e-3), min(1.0, p + 1e-3)], 10_000).alias("p"), F.min("x").alias("low"), F.max("x").alias("high")).first()
-        new = (ends["low"] if p <= 1e-3 else ends["p"][0], ends["high"] if p >= 1 - 1e-3 else ends["p"][1])
-        while True:
-            placed = values.agg(F.count_if(F.col("x") < new[0]), F.count_if(F.col("x") <= new[1])).first()
-            if placed[0] <= rank < placed[1]:
-                break
-            # The sketch missed: the whole of the part's side is taken instead.
-            new = (ends["low"] if rank < placed[0] else new[0], ends["high"] if rank >= placed[1] else new[1])
-        if (low, high) == new and placed[1] - placed[0] == inside:
-            break
-        (low, high), below, inside = new, placed[0], placed[1] - placed[0]
-        part = values.where((F.col("x") >= low) & (F.col("x") <= high))
-    if low is not None and low == high:
-        return low
-    return part.orderBy("x").offset(rank - below).limit(1).first()["x"]
+    wanted = [share * (n - 1) for share in shares]
+    ranks = sorted({r for w in wanted for r in (int(w), min(n - 1, int(w) + 1))})
+    found = _ranked(values, ranks, _Bracket(first["low"], first["high"], 0, n), gather)
+    return [found[int(w)] + (w - int(w)) * (found[min(n - 1, int(w) + 1)] - found[int(w)]) for w in wanted]
+
+
+@dataclass(frozen=True)
+class _Bracket:
+    """Values from low to high: how many rows lie below and inside."""
+
+    low: float
+    high: float
+    below: int
+    inside: int
+
+    def holds(self, x: Column) -> Column:
+        return (x >= self.low) & (x <= self.high)
+
+
+def _ranked(values: DataFrame, ranks: list[int], whole: _Bracket, gather: int) -> dict[int, float]:
+    """The values at 0-based ranks."""
+    x = F.col("x")
+    at = dict.fromkeys(ranks, whole)
+    wide = lambda b: b.inside > gather and b.low < b.high
+    while todo := [r for r in ranks if wide(at[r])]:
+        near = lambda r: (r - at[r].below) / at[r].inside
+        ends = values.agg(*[F.percentile_approx(F.when(at[r].holds(x), x), [max(0.0, near(r) - 1e-3), min(1.0, near(r) + 1e-3)], 10_000).alias(f"r{r}") for r in todo]).first()
+        new = {r: (at[r].low if near(r) <= 1e-3 else ends[f"r{r}"][0], at[r].high if near(r) >= 1 - 1e-3 else ends[f"r{r}"][1]) for r in todo}
+        counts = values.agg(*[c for r in todo for c in (F.count_if(x < new[r][0]).alias(f"b{r}"), F.count_if(x <= new[r][1]).alias(f"t{r}"), F.max(F.when(x < new[r][0], x)).alias(f"l{r}"), F.min(F.when(x > new[r][1], x)).alias(f"h{r}"))]).first()
+        for r in todo:
+            below, through = counts[f"b{r}"], counts[f"t{r}"]
+            if r < below:  # the sketch missed: the part's other side is taken instead
+                at[r] = _Bracket(at[r].low, counts[f"l{r}"], at[r].below, below - at[r].below)
+            elif r >= through:
+                at[r] = _Bracket(counts[f"h{r}"], at[r].high, through, at[r].below + at[r].inside - through)
+            elif through - below < at[r].inside:
+                at[r] = _Bracket(*new[r], below, through - below)
+            else:  # too few different values for the sketch: the least one goes, or stays alone
+                one = values.where(at[r].holds(x)).agg(F.count_if(x == at[r].low).alias("n"), F.min(F.when(x > at[r].low, x)).alias("next")).first()
+                alone = r < at[r].below + one["n"]
+                at[r] = _Bracket(at[r].low, at[r].low, at[r].below, one["n"]) if alone else _Bracket(one["next"], at[r].high, at[r].below + one["n"], at[r].inside - one["n"])
+    open_ranks = [r for r in ranks if at[r].low < at[r].high]
+    sorts = [F.sort_array(F.collect_list(F.when(at[r].holds(x), x)))[r - at[r].below].alias(f"r{r}") for r in open_ranks]
+    rows = values.agg(*sorts).first() if sorts else None
+    return {r: rows[f"r{r}"] if r in open_ranks else at[r].low for r in ranks}
 
 
 def histogram(pixels: DataFrame, x: Column, bins: int, low: Column, high: Column) -> DataFrame:

@@ -39,27 +39,36 @@ def inside(x: Column, y: Column, rings: Column) -> Column:
     return total % 2 == 1
 
 
+def crossings(y: Column, rings: Column) -> Column:
+    """Where a horizontal line meets the rings' edges, in order: by the even-odd rule the first to the second is inside, the third to the fourth, and so on."""
+
+    def of(ring: Column) -> Column:
+        edges = F.zip_with(ring, F.concat(F.slice(ring, 2, F.greatest(F.size(ring) - 1, F.lit(0))), F.slice(ring, 1, 1)), lambda p, q: F.struct(p.alias("p"), q.alias("q")))
+        met = F.filter(edges, lambda e: (e["p"]["y"] > y) != (e["q"]["y"] > y))
+        return F.transform(met, lambda e: e["p"]["x"] + F.try_divide((y - e["p"]["y"]) * (e["q"]["x"] - e["p"]["x"]), e["q"]["y"] - e["p"]["y"]))
+
+    return F.array_sort(F.flatten(F.transform(rings, of)))
+
+
 def rasterize(features: DataFrame, keys: Sequence[str], left: float, top: float, scale: float, height: int, width: int) -> DataFrame:
     """keys, row and col of every grid cell whose centre is in a feature. Cells come from each feature's own bounds, so the work follows the polygons, not the grid.
 
-    A feature's rows of cells are dealt out before its cells are made: a large
-    polygon does not sit in one task.
+    A feature's rows of cells are made first, each with its crossings alone (the
+    rings stay behind), and dealt out before its cells are: a large polygon does
+    not sit in one task, and a cell looks at one run.
     """
     points = F.flatten("rings")
-    xs, ys = F.transform(points, lambda p: p["x"]), F.transform(points, lambda p: p["y"])
+    ys = F.transform(points, lambda p: p["y"])
     clamp = lambda v, most: F.greatest(F.lit(0), F.least(v, F.lit(most - 1))).cast("int")
-    bounded = non_empty(features).withColumns(
-        {
-            "__r0": clamp(F.floor((top - F.array_max(ys)) / scale), height),
-            "__r1": clamp(F.floor((top - F.array_min(ys)) / scale), height),
-            "__c0": clamp(F.floor((F.array_min(xs) - left) / scale), width),
-            "__c1": clamp(F.floor((F.array_max(xs) - left) / scale), width),
-        }
-    )
-    by_row = bounded.withColumn("row", F.explode(F.sequence("__r0", "__r1"))).repartition(*keys, "row")
-    cells = by_row.withColumn("col", F.explode(F.sequence("__c0", "__c1")))
-    x, y = left + (F.col("col") + 0.5) * scale, top - (F.col("row") + 0.5) * scale
-    return cells.where(inside(x, y, F.col("rings"))).select(*keys, "row", "col")
+    bounded = non_empty(features).withColumns({"__r0": clamp(F.floor((top - F.array_max(ys)) / scale), height), "__r1": clamp(F.floor((top - F.array_min(ys)) / scale), height)})
+    by_row = bounded.withColumn("row", F.explode(F.sequence("__r0", "__r1")))
+    met = by_row.select(*keys, "row", crossings(top - (F.col("row") + 0.5) * scale, F.col("rings")).alias("__at"))
+    pairs = F.transform(F.sequence(F.lit(0), (F.size("__at") / 2).cast("int") - 1), lambda k: F.struct(F.get("__at", 2 * k).alias("a"), F.get("__at", 2 * k + 1).alias("z")))
+    runs = met.where(F.size("__at") > 1).select(*keys, "row", F.inline(pairs)).repartition(*keys, "row")
+    # A column beyond both ends, of which the comparison takes the right ones.
+    ends = F.sequence(clamp(F.floor((F.col("a") - left) / scale) - 1, width), clamp(F.floor((F.col("z") - left) / scale) + 1, width))
+    x = left + (F.col("col") + 0.5) * scale
+    return runs.withColumn("col", F.explode(ends)).where((x >= F.col("a")) & (x < F.col("z"))).select(*keys, "row", "col")
 
 
 _A, _INV_F, _K0 = 6378137.0, 298.257222101, 0.9996

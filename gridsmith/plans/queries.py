@@ -404,7 +404,26 @@ def boundary_loss(spark, d):
     return rounded(maps.agg(evaluate.boundary_loss(_logit(), F.col("distance")).alias("loss")))
 
 
-@query()
+def _kmeans_sql(k: int, seed: int) -> str:
+    """The same draws and steps as a recursive query over lists of centres."""
+    u = lambda step: f"((('0x' || substr(md5('{seed}:{step}:' || x || ':' || y), 1, 13))::BIGINT + 0.5) / 4503599627370496.0::DOUBLE)"
+    seeds = [f"s0 AS (SELECT x AS x0, y AS y0 FROM pts ORDER BY -ln({u(0)}) / n, x, y LIMIT 1)"]
+    for j in range(1, k):
+        near = "least(" + ", ".join(f"(x - x{i}) ** 2 + (y - y{i}) ** 2" for i in range(j)) + ")"
+        seeds.append(f"s{j} AS (SELECT s{j - 1}.*, x AS x{j}, y AS y{j} FROM pts, s{j - 1} WHERE {near} > 0 ORDER BY -ln({u(j)}) / (n * {near}), x, y LIMIT 1)")
+    start = ", ".join(f"{{'x': x{j}, 'y': y{j}}}" for j in range(k))
+    nearest = "list_min(list_transform(range({k}), lambda j: {{'d': (p.x - c[j + 1].x) ** 2 + (p.y - c[j + 1].y) ** 2, 'j': j}})).j".format(k=k)
+    return (
+        f"WITH RECURSIVE {PLACED_SQL}, pts AS (SELECT x, y, count(*)::DOUBLE AS n FROM placed GROUP BY 1, 2), {', '.join(seeds)}, "
+        f"l(i, c, done) AS (SELECT 0, [{start}], false FROM s{k - 1} UNION ALL SELECT i + 1, m, m = c FROM "
+        f"(SELECT i, c, list({{'x': coalesce(mx, c[j + 1].x), 'y': coalesce(my, c[j + 1].y)}} ORDER BY j) AS m FROM (SELECT i, c, unnest(range({k})) AS j FROM l WHERE i < 100 AND NOT done) "
+        f"LEFT JOIN (SELECT {nearest} AS g, sum(p.x * p.n) / sum(p.n) AS mx, sum(p.y * p.n) / sum(p.n) AS my FROM l, pts p GROUP BY 1) ON g = j GROUP BY i, c)), "
+        f"f AS (SELECT list_sort(c) AS c FROM l ORDER BY i DESC LIMIT 1), a AS (SELECT p.*, {nearest} AS g FROM placed p, f) "
+        f"SELECT k AS fold, count(vec_id) AS n, round(avg(coffee_ratio), 6) + 0.0 AS mean_ratio, round(avg(x), 6) + 0.0 AS mean_x, round(avg(y), 6) + 0.0 AS mean_y FROM (SELECT unnest(range({k})) AS k) LEFT JOIN a ON g = k GROUP BY 1"
+    )
+
+
+@query(_kmeans_sql(SETTINGS.folds, SETTINGS.seed))
 def kmeans_folds(spark, d):
     assigned = folds.assign_folds(_placed(spark, d), SETTINGS.folds, SETTINGS.seed, "vec_id", ["row", "col"])
     return rounded(folds.fold_report(assigned, SETTINGS.folds))

@@ -191,11 +191,13 @@ def test_flips_and_turns_undo(spark):
 
 def test_folds(spark):
     west, east = [(1000, 1000), (1200, 1000), (1100, 1200)], [(90000, 90000), (92000, 90000), (91000, 92000)]
-    assert folds.kmeans(np.array(west + east, float), 2, 42).tolist() == [0, 0, 0, 1, 1, 1]
-    assert folds.kmeans(np.array(east + west, float), 2, 42).tolist() == [1, 1, 1, 0, 0, 0]
+    placed = lambda points: spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(points)], "patch_id int, x double, y double")
+    labels = lambda points, k: [r.fold for r in folds.assign_folds(placed(points), k, 42).orderBy("patch_id").collect()]
+    assert labels(west + east, 2) == [0, 0, 0, 1, 1, 1]
+    assert labels(east + west, 2) == [1, 1, 1, 0, 0, 0]
     with pytest.raises(ValueError):
-        folds.kmeans(np.array(west, float), 5, 42)
-    assert len(set(folds.kmeans(np.array([(1, 1)] * 4, float), 2, 1).tolist())) == 1
+        labels(west, 5)
+    assert len(set(labels([(1, 1)] * 4, 2))) == 1
     rows = spark.createDataFrame([(r * 5 + c, r, c, c * 512.0, r * 512.0, 0.1 + 0.01 * (r + c)) for r in range(8) for c in range(5)], "patch_id long, row int, col int, x double, y double, coffee_ratio double")
     dealt = folds.assign_folds(rows, 5, 42)
     report = folds.fold_report(dealt, 5).collect()
