@@ -1,10 +1,11 @@
 import random
 import re
 
+import duckdb
 import numpy as np
 import pytest
 
-from gridsmith.llm import graph, jaccard, words
+from gridsmith.llm import graph, jaccard, queries, words
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -146,3 +147,12 @@ def test_rows_of_one_id_with_different_texts_are_one_document(spark):
     assert {(r.doc_id, r.component_id) for r in jaccard.jaccard_components(frame).collect()} == {(8, 3), (3, 3), (5, 3), (6, 6)}
     again = spark.createDataFrame([(1, "x"), (1, "longer text"), (1, None)], "doc_id long, text string")
     assert [tuple(r) for r in jaccard.keep_one_of_each(again).collect()] == [(1, "longer text")]
+
+
+def test_op8_gives_its_sql_rows(spark, sf_dir):
+    duck = duckdb.connect()
+    duck.sql(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
+    found = duck.sql(queries.SQL["op8_jaccard_join"])
+    got = queries.QUERIES["op8_jaccard_join"](spark, sf_dir)
+    assert [c[0] for c in found.description] == got.columns
+    assert sorted(tuple(r) for r in got.collect()) == sorted(found.fetchall())

@@ -2,12 +2,13 @@ import hashlib
 import math
 import random
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import pytest
 
-from gridsmith.llm import suffixes
+from gridsmith.llm import queries, suffixes
 
 
 def plain(rows):
@@ -103,3 +104,12 @@ def test_levels_keep_the_earliest_of_equals(batches):
     left, gone = family.close(), family.removed()
     assert dict(zip(left.text.tolist(), left.doc.tolist(), strict=True)) == {k: int(doc[text == k].min()) for k in np.unique(text).tolist()}
     assert len(gone) + len(left) == 200
+
+
+def test_op1_gives_its_sql_rows(spark, sf_dir):
+    duck = duckdb.connect()
+    duck.sql(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
+    found = duck.sql(queries.SQL["op1_suffix_dedup"])
+    got = queries.QUERIES["op1_suffix_dedup"](spark, sf_dir)
+    assert [c[0] for c in found.description] == got.columns
+    assert sorted(tuple(r) for r in got.collect()) == sorted(found.fetchall())
