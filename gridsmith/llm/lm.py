@@ -17,12 +17,15 @@ adding the weights up. Words and histories are numbers of 64 bits.
 Counts cover all training documents and are never cut off. Documents are dealt
 out in parts by a hash of their id. A part sends its distinct n-grams to buckets
 by ranges of these numbers, with their training counts; a bucket adds up what
-all parts sent and answers each part in the order it asked. So no table of words
-or n-grams is ever broadcast or collected, and a frequent one costs one entry a
+all parts sent and answers each part in the order it asked, and whether other
+parts hold the n-gram too. Words and pairs are asked for first. A longer n-gram
+is asked for only where others hold both of its shorter ones: else no other part
+holds it, and the part's own count is the corpus's. So no table of words or
+n-grams is ever broadcast or collected, and a frequent one costs one entry a
 part. Every part asks every bucket, and adds N and V up from the buckets' shares
 of them. Parts and buckets are as many as the measured size of the texts asks
-for. The words of a part are taken once to ask and once more to score: that
-costs less than keeping them between the two shuffles.
+for. The words of a part are taken anew for each exchange and for the scores:
+that costs less than keeping them between the shuffles.
 
 Defined results: a null text counts as empty and scores its end token alone;
 texts of any length are scored whole (see `words`); repeated rows are counted
@@ -43,6 +46,8 @@ from gridsmith.llm.words import planes, ranges, steps, stir, unplanes, unsteps,
 
 ORDER = 3
 LAMBDA = 0.5
+#: N-grams of up to so many tokens are asked for at once; each longer kind has an exchange of its own.
+FIRST = 2
 FAIL = float(np.log10(1 - LAMBDA))
 #: The end token's number; words have hashes.
 END = np.uint64(0)
@@ -80,28 +85,70 @@ class Part:
         """The part's own training counts of each table."""
         return [np.bincount(index[self.train[at]], minlength=len(table)) for at, table, index in zip(self.at, self.table, self.index, strict=True)]
 
-    def requests(self, part: int, keys: list[int]) -> list[tuple]:
-        """A row for each bucket: a list of distinct n-grams and their training counts for each order."""
-        rows: list[list] = [[key, part] for key in keys]
-        for table, count in zip(self.table, self.counts(), strict=True):
-            for row, s in zip(rows, ranges(table, len(keys)), strict=True):
-                row += [steps(table[s]), planes(count[s])]
-        return [tuple(row) for row in rows]
+    def needed(self, k: int, shared: np.ndarray) -> np.ndarray:
+        """Which n-grams of table[k] other parts may hold too: those of whose shorter ones, of table[k - 1], others hold both."""
+        held = np.zeros(len(self.doc), bool)
+        held[self.at[k - 1]] = shared[self.index[k - 1]]
+        at = self.at[k]
+        out = np.zeros(len(self.table[k]), bool)
+        out[self.index[k][held[at] & held[at - 1]]] = True
+        return out
+
+    def requests(self, part: int, keys: list[int], orders: dict[int, np.ndarray]) -> list[tuple]:
+        """Rows for every bucket: a list of distinct n-grams of an order, those that the given flags choose, and their training counts."""
+        counts = self.counts()
+        rows = []
+        for k, chosen in orders.items():
+            table, count = self.table[k][chosen], counts[k][chosen]
+            rows += [(key, part, k, steps(table[s]), planes(count[s])) for key, s in zip(keys, ranges(table, len(keys)), strict=True)]
+        return rows
 
 
 def total_requests(rows: list[tuple]) -> list[tuple]:
-    """One bucket's requests of all parts, added up: an answer for each part in its own order, with the bucket's share of N and V."""
-    answers: list[list] = [[row[1], row[0]] for row in rows]
-    n = v = 0
-    for k in range(ORDER):
-        grams = [unsteps(row[2 + 2 * k]) for row in rows]
+    """One bucket's requests of all parts, added up: answers for each part in its own order, twice the count and 1 where others hold the n-gram too, with the bucket's share of N and V."""
+    answers = []
+    for k in sorted({row[2] for row in rows}):
+        own = [row for row in rows if row[2] == k]
+        grams = [unsteps(row[3]) for row in own]
         distinct, inverse = np.unique(np.concatenate(grams), return_inverse=True)
-        total = np.bincount(inverse, np.concatenate([unplanes(row[3 + 2 * k]) for row in rows]), len(distinct)).astype(np.int64)
-        if k == 0:
-            n, v = int(total.sum()), int((total > 0).sum())
-        for answer, some, end in zip(answers, grams, np.cumsum([len(g) for g in grams]).tolist(), strict=True):
-            answer.append(planes(total[inverse[end - len(some) : end]]))
-    return [(*answer, n, v) for answer in answers]
+        total = np.bincount(inverse, np.concatenate([unplanes(row[4]) for row in own]), len(distinct)).astype(np.int64)
+        n, v = (int(total.sum()), int((total > 0).sum())) if k == 0 else (0, 0)
+        told = 2 * total + (np.bincount(inverse, minlength=len(distinct)) > 1)
+        ends = np.cumsum([len(g) for g in grams]).tolist()
+        answers += [(row[1], row[0], k, planes(told[inverse[end - len(some) : end]]), n, v) for row, some, end in zip(own, grams, ends, strict=True)]
+    return answers
+
+
+class Told:
+    """What the buckets answered a part."""
+
+    def __init__(self, answers: pa.Table, keys: list[int]):
+        place = {key: b for b, key in enumerate(keys)}
+        rows = sorted(answers.to_pylist(), key=lambda r: (r["order"], place[r["bucket"]]))
+        whole = lambda k: np.concatenate([unplanes(r["told"]) for r in rows if r["order"] == k])
+        told = {k: whole(k) for k in {r["order"] for r in rows}}
+        self.count = {k: (x >> np.uint64(1)).astype(np.int64) for k, x in told.items()}
+        self.shared = {k: (x & np.uint64(1)).astype(bool) for k, x in told.items()}
+        self.n, self.v = sum(r["n"] for r in rows), sum(r["v"] for r in rows)
+
+    def counts(self, part: Part) -> list[np.ndarray]:
+        """Corpus counts of the part's tables: answered, or the part's own where no other holds the n-gram."""
+        out = []
+        shared = None
+        for k, own in enumerate(part.counts()):
+            count, flags = own.copy(), np.zeros(len(own), bool)
+            asked = np.ones(len(own), bool) if k < FIRST else part.needed(k, shared)
+            count[asked], flags[asked] = self.count[k], self.shared[k]
+            out.append(count)
+            shared = flags
+        return out
+
+    def flags(self, part: Part, k: int) -> np.ndarray:
+        """Which n-grams of table[k] other parts hold too."""
+        asked = np.ones(len(part.table[k]), bool) if k < FIRST else part.needed(k, self.flags(part, k - 1))
+        out = np.zeros(len(asked), bool)
+        out[asked] = self.shared[k]
+        return out
 
 
 class Automaton:
@@ -141,8 +188,8 @@ class Automaton:
 
 
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-_ASKED = [("bucket", pa.int32()), ("part", pa.int32())] + [(f"{x}{k}", pa.binary()) for k in range(ORDER) for x in ("grams", "many")]
-_ANSWERED = [("part", pa.int32()), ("bucket", pa.int32())] + [(f"many{k}", pa.binary()) for k in range(ORDER)] + [("n", pa.int64()), ("v", pa.int64())]
+_ASKED = [("bucket", pa.int32()), ("part", pa.int32()), ("order", pa.int32()), ("grams", pa.binary()), ("many", pa.binary())]
+_ANSWERED = [("part", pa.int32()), ("bucket", pa.int32()), ("order", pa.int32()), ("told", pa.binary()), ("n", pa.int64()), ("v", pa.int64())]
 
 
 def _schema(fields: list[tuple[str, pa.DataType]]) -> str:
@@ -160,34 +207,41 @@ def score_documents(docs: DataFrame) -> DataFrame:
     keys, width = buckets_and_parts(frame)
     held = F.coalesce(bucket_of(F.col("doc_id"), 10) == 0, F.lit(False))
     parts = frame.withColumn("held_out", held).withColumn("part", part_of(width))
-    place = {key: b for b, key in enumerate(keys)}
+    texts_of = lambda group: Part(group.column("text").to_pylist(), group.column("held_out").to_pylist())
 
     def ask(group: pa.Table) -> pa.Table:
-        part = Part(group.column("text").to_pylist(), group.column("held_out").to_pylist())
-        return _table(part.requests(group.column("part")[0].as_py(), keys), _ASKED)
+        part = texts_of(group)
+        return _table(part.requests(group.column("part")[0].as_py(), keys, {k: np.ones(len(part.table[k]), bool) for k in range(FIRST)}), _ASKED)
+
+    def ask_longer(k: int):
+        def run(group: pa.Table, answers: pa.Table) -> pa.Table:
+            part, told = texts_of(group), Told(answers, keys)
+            return _table(part.requests(group.column("part")[0].as_py(), keys, {k: part.needed(k, told.flags(part, k - 1))}), _ASKED)
+
+        return run
 
     def answer(group: pa.Table) -> pa.Table:
         rows = group.select([name for name, _ in _ASKED]).to_pylist()
         return _table(total_requests([tuple(r.values()) for r in rows]), _ANSWERED)
 
     def score(texts: pa.Table, answers: pa.Table) -> pa.Table:
-        part = Part(texts.column("text").to_pylist(), texts.column("held_out").to_pylist())
-        got = sorted(answers.to_pylist(), key=lambda r: place[r["bucket"]])
-        counts = [np.concatenate([unplanes(r[f"many{k}"]) for r in got]).astype(np.int64) for k in range(ORDER)]
-        n, v = sum(r["n"] for r in got), sum(r["v"] for r in got)
-        model = Automaton(part, counts, n, v)
+        part, told = texts_of(texts), Told(answers, keys)
+        model = Automaton(part, told.counts(part), told.n, told.v)
         many = len(part.size)
         columns = [
             texts.column("doc_id"),
             texts.column("held_out"),
             pa.array(part.size),
             pa.array(np.bincount(part.doc, model.count[0] > 0, many).astype(np.int64)),
-            pa.array(np.full(many, n, np.int64)),
+            pa.array(np.full(many, told.n, np.int64)),
             pa.array(np.bincount(part.doc, model.root, many)),
             pa.array(np.bincount(part.doc, model.walk(), many)),
         ]
         return pa.table(columns, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    asked = parts.groupBy("part").applyInArrow(ask, _schema(_ASKED))
-    answered = asked.groupBy("bucket").applyInArrow(answer, _schema(_ANSWERED))
-    return parts.groupBy("part").cogroup(answered.groupBy("part")).applyInArrow(score, SCORES)
+    total = lambda asked: asked.groupBy("bucket").applyInArrow(answer, _schema(_ANSWERED))
+    answers = total(parts.groupBy("part").applyInArrow(ask, _schema(_ASKED)))
+    for k in range(FIRST, ORDER):
+        longer = parts.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(ask_longer(k), _schema(_ASKED))
+        answers = answers.unionByName(total(longer))
+    return parts.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(score, SCORES)

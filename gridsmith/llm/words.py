@@ -12,6 +12,8 @@ space; a single word longer than that is hashed as it stands.
 from __future__ import annotations
 
 import re
+import struct
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -113,15 +115,17 @@ def word_numbers(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def planes(values: np.ndarray) -> bytes:
-    """Non-negative numbers byte by byte, all first bytes first: high bytes are mostly 0 and shrink in the shuffle's own compression."""
+    """Non-negative numbers byte by byte, all first bytes first. The last plane, or both of small numbers, are far from even and are deflated; the others are left to the shuffle's own compression."""
     wide = np.ascontiguousarray(values).astype("<u8")
     need = max(1, (int(wide.max()).bit_length() + 7) // 8) if len(wide) else 1
-    return bytes([need]) + wide.view("u1").reshape(-1, 8).T[:need].tobytes()
+    table = wide.view("u1").reshape(-1, 8).T[:need].tobytes()
+    plain = 0 if need <= 2 else (need - 1) * len(wide)
+    return struct.pack("<BI", need, plain) + table[:plain] + zlib.compress(table[plain:], 1)
 
 
 def unplanes(blob: bytes) -> np.ndarray:
-    need = blob[0]
-    table = np.frombuffer(blob, "u1", offset=1).reshape(need, -1)
+    need, plain = struct.unpack("<BI", blob[:5])
+    table = np.frombuffer(blob[5 : 5 + plain] + zlib.decompress(blob[5 + plain :]), "u1").reshape(need, -1)
     out = np.zeros((table.shape[1], 8), "u1")
     out[:, :need] = table.T
     return out.view("<u8").ravel()
