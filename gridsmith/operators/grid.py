@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -65,6 +65,14 @@ def nearest(pixels: DataFrame, source: Grid, target: Grid, cells: DataFrame, val
     return wanted.join(own, [*keys, "__r", "__c"], "left").select(*keys, "row", "col", F.coalesce(value, F.lit(outside)).alias(value))
 
 
+def reprojected(pixels: DataFrame, source: Grid, target: Grid, cells: DataFrame, value: str, to_source: Callable[[Column, Column], tuple[Column, Column]], outside=0) -> DataFrame:
+    """The target's cells with the value of the source pixel that holds their centre, whose coordinates to_source turns into the source's system; outside the source the fill value. One equi join."""
+    r, c = source.place(*to_source(*target.centre(F.col("row"), F.col("col"))))
+    wanted = cells.select("row", "col", F.floor(r).cast("int").alias("__r"), F.floor(c).cast("int").alias("__c"))
+    own = pixels.select(F.col("row").alias("__r"), F.col("col").alias("__c"), value)
+    return wanted.join(own, ["__r", "__c"], "left").select("row", "col", F.coalesce(value, F.lit(outside)).alias(value))
+
+
 def bilinear(pixels: DataFrame, source: Grid, target: Grid, cells: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFrame:
     """The weighted mean of the four source pixels around each target centre. Only the source's interior is defined; elsewhere, and beside missing or NaN pixels, the result is NaN.
 

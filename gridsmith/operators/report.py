@@ -11,7 +11,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridsmith.functions.scalar import finite, ratio_or_null
+from gridsmith.functions.scalar import composite_name, finite, mask_name, ratio_or_null
 from gridsmith.operators import agreement, grid, masks
 from gridsmith.schemas import Settings
 
@@ -76,6 +76,14 @@ def decision_record(report: Mapping, chosen: str, settings: Settings) -> dict:
     return {"chosen_source": chosen, "region": settings.region, "decision": "manual", "pair_key": next(iter(mine), None), "basis": basis, **{k: report[k] for k in ("sources", "years", "area_km2", "share", "pairs")}}
 
 
+def composite_and_mask(settings: Settings, year: int) -> tuple[str, str, str]:
+    """The composite of a year, and the mask and name of the first enabled source of that year; an error where there is none."""
+    for s in settings.enabled():
+        if (s.year if s.year is not None else int(settings.start_date[:4])) == year:
+            return composite_name(settings.region, year), mask_name(s.name, settings.region, year, s.value if s.kind == "threshold" else None), s.name
+    raise ValueError(f"no enabled source has the year {year}")
+
+
 def sanity_report(manifest: DataFrame, arrays: DataFrame, shape: Sequence[int]) -> DataFrame:
     """One row over a manifest (patch_id, tile_id, mask_source, fold, coffee_ratio) and sampled arrays (patch_id, dtype, shape, values, mask): what is there, and the issues found."""
     m = manifest.agg(

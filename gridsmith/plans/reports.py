@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import io
 import json
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,7 +17,7 @@ from gridsmith.plans.registry import query, rounded
 from gridsmith.plans.views import PATCHES_SQL, PER_ROW, PX_SQL, SIDE, px, table
 from gridsmith.plans.views import patches as patch_view
 from gridsmith.schemas import BANDS, Settings, Source
-from gridsmith.sources import readers
+from gridsmith.sources import geotiff, readers
 from gridsmith.sources.store import Store, shared_folder
 
 RASTER_SQL = f"{PX_SQL}, raster AS (SELECT vec_id, CAST(vec_id // 32 * 4 + row AS INTEGER) AS row, CAST(vec_id % 32 * 4 + col AS INTEGER) AS col, b2, b3, b4, b8 FROM px), size AS (SELECT (max(vec_id) // 32 + 1) * 4 AS height FROM embeddings)"
@@ -376,9 +378,88 @@ def run_metadata(spark, d):
     return rows_of(spark, "source string, year int, folds int, seed int, manifest string, batch int, has_versions boolean, current boolean, stale boolean", [row])
 
 
+@query(f"WITH {RASTER_SQL} SELECT row, col, round(b2, 6) + 0.0 AS b2, CASE WHEN b3 > 0 THEN round(b3, 6) + 0.0 END AS b3 FROM raster")
+def geotiff_round_trip(spark, d):
+    """The whole raster written as GeoTIFF files of 64 x 64 pixels and read again on its grid; what was no data comes back as such, also where the last row of patches ends."""
+    whole, height = Q.raster(spark, d)
+    own = grid.Grid(height, PER_ROW * SIDE, 10.0, 0.0, 300000.0, 0.0, -10.0, 7780000.0)
+    files = geotiff.encoded(whole.withColumn("b3", F.when(F.col("b3") > 0, F.col("b3")).otherwise(F.lit(float("nan")))), "r", own, ["b2", "b3"], 64, nodata=-9999.0)
+    path = geotiff.write_geotiff(store(spark, "geotiff_round_trip"), str(height), files)
+    meta = geotiff.read_geotiff_meta(spark, path)
+    placed = meta.select("raster_id", F.round((F.lit(own.f) - F.col("transform.f")) / 10).cast("int").alias("r0"), F.round((F.col("transform.c") - own.c) / 10).cast("int").alias("c0"))
+    pixels = geotiff.read_geotiff(spark, path, ["b2", "b3"]).where(~F.isnan("b2")).join(placed, "raster_id")
+    return rounded(pixels.select((F.col("row") + F.col("r0")).alias("row"), (F.col("col") + F.col("c0")).alias("col"), "b2", F.when(~F.isnan("b3"), F.col("b3")).alias("b3")))
+
+
+@query("SELECT format('m_r0000_c{:04d}', c) AS raster_id, 'EPSG:31983' AS crs, 300000.0::DOUBLE + c * 640 AS x, 7780000.0::DOUBLE AS y, CAST(64 AS INTEGER) AS height, CAST(64 AS INTEGER) AS width, 'uint8' AS dtype, CAST(1 AS INTEGER) AS bands FROM (SELECT unnest([0, 1]) AS c)")
+def mask_geotiff_meta(spark, d):
+    """A mask's files carry their grid, system and type."""
+    whole, _ = Q.raster(spark, d)
+    own = grid.Grid(64, PER_ROW * SIDE, 10.0, 0.0, 300000.0, 0.0, -10.0, 7780000.0)
+    path = geotiff.write_geotiff(store(spark, "mask_geotiff_meta"), "m", geotiff.encoded(whole.select("row", "col", (F.col("b2") > 0).cast("double").alias("m")), "m", own, ["m"], 64, "uint8"))
+    return geotiff.read_geotiff_meta(spark, path).select("raster_id", "crs", F.col("transform.c").alias("x"), F.col("transform.f").alias("y"), "height", "width", "dtype", "bands")
+
+
+@query("SELECT 'a' || r_regionkey || '.npy' AS name, (r_regionkey + 1) || 'x3' AS shape, CASE WHEN r_regionkey % 2 = 0 THEN 'float32' ELSE 'uint8' END AS dtype, CAST((r_regionkey + 1) * 3 * ((r_regionkey + 1) * 3 - 1) / 2 AS DOUBLE) AS total FROM region")
+def arrays_read(spark, d):
+    kept = store(spark, "arrays_read")
+    for r in table(spark, d, "region").collect():  # five rows at every size
+        k, out = r["r_regionkey"], io.BytesIO()
+        np.save(out, np.arange((k + 1) * 3).reshape(k + 1, 3).astype("uint8" if k % 2 else "float32"))
+        kept.put(f"{kept.root}/arrays/a{k}.npy", out.getvalue())
+    rows = readers.read_arrays(spark, f"{kept.root}/arrays")
+    total = F.aggregate("values", F.lit(0.0), lambda a, v: a + v)
+    return rows.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.concat_ws("x", F.col("shape").cast("array<string>")).alias("shape"), "dtype", total.alias("total"))
+
+
+@query("SELECT vec_id, CAST(len(embedding) AS INTEGER) AS n, round(list_sum(list_transform(embedding, lambda v: CAST(v AS DOUBLE))), 6) + 0.0 AS total FROM embeddings")
+def patch_arrays(spark, d):
+    """A row of arrays a patch, written and read."""
+    image = F.transform("embedding", lambda v: v.cast("float"))
+    path = store(spark, "patch_arrays").write_table("arrays", table(spark, d, "embeddings").select("vec_id", image.alias("image")), {"tables": d})
+    return rounded(spark.read.parquet(path).select("vec_id", F.size("image").alias("n"), F.aggregate("image", F.lit(0.0), lambda a, v: a + v.cast("double")).alias("total")))
+
+
+@query("SELECT * FROM (VALUES (CAST(2025 AS INTEGER), 'composite_310044_2025', 'mask_mapbiomas_310044_2025', 'mapbiomas'), (2024, 'composite_310044_2024', 'mask_alphaearth_310044_2024_t028', 'alphaearth'), (2018, 'composite_310044_2018', 'mask_emater_310044_2018', 'emater')) AS t(year, composite, mask, source)")
+def year_lookup(spark, d):
+    return rows_of(spark, "year int, composite string, mask string, source string", [(y, *report.composite_and_mask(Q.SETTINGS, y)) for y in (2025, 2024, 2018)])
+
+
+def _utm_sql(lon: str, lat: str) -> tuple[str, str]:
+    """Easting and northing in zone 23 south by the same series, as SQL."""
+    f = 1 / 298.257222101
+    n, e = f / (2 - f), (f * (2 - f)) ** 0.5
+    radius = 6378137.0 / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
+    alpha = (n / 2 - 2 * n**2 / 3 + 5 * n**3 / 16 + 41 * n**4 / 180, 13 * n**2 / 48 - 3 * n**3 / 5 + 557 * n**4 / 1440, 61 * n**3 / 240 - 103 * n**4 / 140, 49561 * n**4 / 161280)
+    s = f"sin(radians({lat}))"
+    t = f"sinh(atanh({s}) - {e!r}::DOUBLE * atanh({e!r}::DOUBLE * {s}))"
+    lam = f"radians({lon} + 45)"
+    xi, eta = f"atan2({t}, cos({lam}))", f"atanh(sin({lam}) / sqrt(1 + {t} * {t}))"
+    x = " + ".join([eta, *[f"{a!r}::DOUBLE * cos({2 * j} * {xi}) * sinh({2 * j} * {eta})" for j, a in enumerate(alpha, 1)]])
+    y = " + ".join([xi, *[f"{a!r}::DOUBLE * sin({2 * j} * {xi}) * cosh({2 * j} * {eta})" for j, a in enumerate(alpha, 1)]])
+    k = 0.9996 * radius
+    return f"(500000 + {k!r}::DOUBLE * ({x}))", f"(10000000 + {k!r}::DOUBLE * ({y}))"
+
+
+_E, _N = _utm_sql("lon", "lat")
+
+
+@query(
+    f"WITH {RASTER_SQL}, t AS (SELECT CAST(i // 64 AS INTEGER) AS row, CAST(i % 64 AS INTEGER) AS col FROM (SELECT unnest(range(4096)) AS i)), p AS (SELECT row, col, -46.9352::DOUBLE + (col + 0.5) * 0.0002::DOUBLE AS lon, -20.0650::DOUBLE - (row + 0.5) * 0.0002::DOUBLE AS lat FROM t), "
+    f"m AS (SELECT row, col, CAST(floor((7780000 - {_N}) / 10) AS INTEGER) AS r, CAST(floor(({_E} - 297500) / 10) AS INTEGER) AS c FROM p) SELECT m.row, m.col, CASE WHEN coalesce(b2, -1) > 0 THEN 1 ELSE 0 END AS m FROM m LEFT JOIN raster ON raster.row = r AND raster.col = c"
+)
+def raster_reprojection(spark, d):
+    """A mask in metres drawn on a grid of degrees, nearest pixel; outside the raster 0."""
+    whole, height = Q.raster(spark, d)
+    own = grid.Grid(height, PER_ROW * SIDE, 10.0, 0.0, 297500.0, 0.0, -10.0, 7780000.0)
+    target = grid.Grid(64, 64, 0.0002, 0.0, -46.9352, 0.0, -0.0002, -20.0650, "EPSG:4326")
+    mask = whole.select("row", "col", (F.col("b2") > 0).cast("int").alias("m"))
+    return grid.reprojected(mask, own, target, grid.target_pixels(target, spark), "m", vector.to_utm)
+
+
 GUARDS = (
     "an empty source", "too few points", "no feature", "several features", "an empty fold", "distinct grids", "a singular transform", "no weights", "an unknown mask kind", "an unknown move", "one mask",
-    "a mask with a 2", "settings without keys", "a chosen source that is off", "a missing table", "an unknown resampling", "a nested folder", "an unknown chosen source",
+    "a mask with a 2", "settings without keys", "a chosen source that is off", "a missing table", "an unknown resampling", "a nested folder", "an unknown chosen source", "a year without source", "no TIFF file",
 )
 
 
@@ -409,5 +490,7 @@ def guards(spark, d):
         lambda: report.export_resampling("cubic-ish", "folder"),
         lambda: report.export_resampling("nearest", "a/b"),
         lambda: report.decision_record({"sources": [], "pairs": {}}, "x", Q.SETTINGS),
+        lambda: report.composite_and_mask(Q.SETTINGS, 1999),
+        lambda: geotiff.header(b"not a file"),
     )
     return rows_of(spark, "guard string, raised boolean", [(g, raised(a)) for g, a in zip(GUARDS, actions, strict=True)])

@@ -41,12 +41,12 @@ class Store:
     def exists(self, path: str) -> bool:
         return self._fs(path).exists(self._path(path))
 
-    def put(self, path: str, text: str) -> None:
+    def put(self, path: str, text: str | bytes) -> None:
         """Written under another name and renamed over the old one in one step: readers see the old text or the new, also after a crash."""
         new = f"{path}.new"
         out = self._fs(path).create(self._path(new), True)
         try:
-            out.write(bytearray(text.encode()))
+            out.write(bytearray(text.encode() if isinstance(text, str) else text))
         finally:
             out.close()
         context = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._path(path).toUri(), self._conf)

@@ -2,14 +2,17 @@
 
 import json
 import math
+import struct
+import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from gridsmith.functions import scalar as S
-from gridsmith.operators import agreement, evaluate, folds, grid, masks, patches, stats, vector
+from gridsmith.operators import agreement, evaluate, folds, grid, masks, patches, report, stats, vector
 from gridsmith.schemas import MANIFEST, Settings, Source
+from gridsmith.sources import geotiff
 
 NAN, INF = float("nan"), float("inf")
 
@@ -336,3 +339,66 @@ def test_streamed_scores_equal_batch(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("scores").first() == evaluate.with_scores(evaluate.counts(rows, F.col("p"), F.col("t"))).first()
+
+
+def test_tiff_blocks_of_every_kind():
+    rng = np.random.default_rng(3)
+    pixels = rng.normal(size=(2, 70, 90)).astype("float32")
+    own = grid.Grid(70, 90, 10.0, 0.0, 300000.0, 0.0, -10.0, 7780000.0)
+    for block in (16, 64, 256):
+        raster = geotiff.header(content := geotiff.encode(pixels, own, -1.0, block))
+        out = np.zeros_like(pixels)
+        for r, c, part in raster.blocks(content):
+            out[:, r : r + part.shape[1], c : c + part.shape[2]] = part
+        assert raster.grid == own and raster.nodata == -1.0 and (out == pixels).all()
+    chunky = pixels.transpose(1, 2, 0)
+    of = lambda kind, **tags: geotiff.Raster(own, 2, kind, None, {geotiff.COMPRESSION: (8,), **{getattr(geotiff, k): (v,) for k, v in tags.items()}}, "<")
+    # Predictor 3: byte planes of a row, most significant first, as differences; predictor 2: differences of pixels.
+    planes = np.ascontiguousarray(chunky.astype(">f4")).view("u1").reshape(70, 180, 4).transpose(0, 2, 1).reshape(70, -1, 2)
+    raw = np.diff(planes, axis=1, prepend=np.zeros((70, 1, 2), "u1")).astype("u1").tobytes()
+    assert (of("f4", PREDICTOR=3)._pixels(zlib.compress(raw), 70, 90, 2) == chunky).all()
+    whole = rng.integers(0, 250, (70, 90, 2)).astype("u1")
+    raw = np.diff(whole, axis=1, prepend=np.zeros((70, 1, 2), "u1")).astype("u1").tobytes()
+    assert (of("u1", PREDICTOR=2)._pixels(zlib.compress(raw), 70, 90, 2) == whole).all()
+    with pytest.raises(ValueError):
+        geotiff.header(b"PNG and so on")
+    with pytest.raises(ValueError):
+        of("u1", COMPRESSION=5)._pixels(b"", 1, 1, 1)
+
+
+def test_a_tiff_window_and_big_endian_strips(spark, tmp_path):
+    pixels = np.arange(35 * 20, dtype=">u2").reshape(35, 20)
+    strips = [pixels[r : r + 10].tobytes() for r in range(0, 35, 10)]
+    fields = [(256, 3, [20]), (257, 3, [35]), (258, 3, [16]), (259, 3, [1]), (273, 4, None), (277, 3, [1]), (278, 3, [10]), (279, 4, [len(s) for s in strips]), (33550, 12, [5.0, 5.0, 0.0]), (33922, 12, [0.0, 0.0, 0.0, 100.0, 900.0, 0.0])]
+    at = 8 + 2 + 12 * len(fields) + 4
+    starts, extra, entries = [], b"", b""
+    sizes = sum(len(v or strips) * {3: 2, 4: 4, 12: 8}[t] for _, t, v in fields if len(v or strips) * {3: 2, 4: 4, 12: 8}[t] > 4)
+    for s in strips:
+        starts.append(at + sizes + sum(map(len, strips[: len(starts)])))
+    for tag, t, v in fields:
+        v = v or starts
+        raw = struct.pack(f">{len(v)}{ {3: 'H', 4: 'I', 12: 'd'}[t]}", *v)
+        entries += struct.pack(">HHI", tag, t, len(v)) + (raw.ljust(4, b"\0") if len(raw) <= 4 else struct.pack(">I", at + len(extra)))
+        extra += raw if len(raw) > 4 else b""
+    (tmp_path / "a.tif").write_bytes(b"MM" + struct.pack(">HI", 42, 8) + struct.pack(">H", len(fields)) + entries + struct.pack(">I", 0) + extra + b"".join(strips))
+    rows = geotiff.read_geotiff(spark, str(tmp_path), ["v"], (8, 3, 5, 4)).collect()
+    assert {(r.row, r.col): r.v for r in rows} == {(r, c): float(pixels[r, c]) for r in range(8, 13) for c in range(3, 7)}
+    meta = geotiff.read_geotiff_meta(spark, str(tmp_path)).first()
+    assert (meta.height, meta.width, meta.dtype, meta.transform.a, meta.transform.c, meta.transform.f, meta.crs) == (35, 20, "uint16", 5.0, 100.0, 900.0, "")
+
+
+def test_verification_and_settings(spark):
+    own = grid.Grid(2, 2, 10, 0, 0, 0, -10, 20)
+    frame = spark.createDataFrame([(0, 0, float("nan"), 1), (0, 1, 3.0, 0), (1, 0, -2.0, 1), (1, 1, None, 1)], "row int, col int, b2 double, m int")
+    facts = report.verify_composite(frame, own, grid.Grid(2, 2, 10, 0, 5, 0, -10, 20), ["b2"]).first()
+    assert (facts.height, facts.width, facts.bands, facts.aligned_to_mask, facts.min_value, facts.max_value) == (2, 2, 1, False, -2.0, 3.0)
+    none = report.verify_composite(frame.where("b2 IS NULL"), own, own, ["b2"]).first()
+    assert (none.aligned_to_mask, none.min_value) == (True, None)
+    assert report.verify_mask(frame, "m", own).first().area_km2 == 3 * 100 / 1e6
+    with pytest.raises(Exception, match="not binary"):
+        report.verify_mask(frame.withColumn("m", F.col("m") * 2), "m", own).collect()
+    assert report.export_resampling("nearest", "out") is None and report.export_resampling("bilinear", "out") == "bilinear"
+    assert report.preview_grid(0, 0, 4, 3, 1024).height == 768 and report.preview_grid(0, 0, 3, 1.0001, 1024).height == 342
+    assert report.seed_all(3).integers(100) == np.random.default_rng(3).integers(100)
+    with pytest.raises(ValueError, match="missing"):
+        Settings.load('{"region": "x"}')
