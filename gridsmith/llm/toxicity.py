@@ -39,6 +39,8 @@ FOLDS = 3
 #: So many rows of mean toxicity weigh against the labelled rows in the calibration.
 DRAWN = 2.0
 THRESHOLD = 0.3
+#: Log-odds of a word of the learned lexicon, chosen on the training rows' folds.
+ODDS = 3.0
 
 #: The seed lexicon, and second persons in the corpus's languages.
 LEXICON = "idiot idiots moron morons stupid dumb fool fools loser losers pathetic worthless scum trash garbage clown clowns jerk creep pig liar ugly disgusting hate kill die shut crap damn hell bastard imbecile cretin dimwit twit freak filthy vile parasite coward".split()
@@ -212,7 +214,7 @@ def lexicon(counts: list[tuple[str, list[int], list[int]]], n_toxic: list[int],
     found = set()
     for word, toxic, clean in counts:
         c1, c0 = sum(toxic[k] for k in keep), sum(clean[k] for k in keep)
-        if c1 >= max(3, 0.005 * n1) and np.log((c1 + 0.5) / (n1 + 1)) - np.log((c0 + 0.5) / (n0 + 1)) > 1.5:
+        if c1 >= max(3, 0.005 * n1) and np.log((c1 + 0.5) / (n1 + 1)) - np.log((c0 + 0.5) / (n0 + 1)) > ODDS:
             found.add(word)
     return frozenset(found)
 
