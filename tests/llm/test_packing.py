@@ -98,3 +98,13 @@ def lower_bound(counts, capacity):
         small = sum(n for n in items if k <= n <= capacity / 2)
         best = max(best, alone + len(large) + max(0, math.ceil((small - len(large) * capacity + sum(large)) / capacity)))
     return best
+
+
+def test_repeated_rows_and_clashing_columns_are_packed_each(spark, tokenizer):
+    long = "one two three " * 900
+    rows = [(1, long, 3), (1, long, 4), (None, "a", 5), (None, "a", 5), (2, None, 6)]
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string, piece int")).collect()
+    n = len(tokenizer.encode(long, add_special_tokens=False).ids) + 1
+    assert sum(r.length for r in got if r.doc_id == 1) == 2 * n and sum(r.doc_id is None for r in got) == 2
+    places = [(r.sequence_id, r.offset) for r in got]
+    assert len(set(places)) == len(places) == 2 * -(-n // 1024) + 3
