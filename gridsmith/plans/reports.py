@@ -17,7 +17,7 @@ from gridsmith.plans.registry import query, rounded
 from gridsmith.plans.views import PATCHES_SQL, PER_ROW, PX_SQL, SIDE, px, table
 from gridsmith.plans.views import patches as patch_view
 from gridsmith.schemas import BANDS, Settings, Source
-from gridsmith.sources import geotiff, readers
+from gridsmith.sources import geotiff, readers, shapefile
 from gridsmith.sources.store import Store, shared_folder
 
 RASTER_SQL = f"{PX_SQL}, raster AS (SELECT vec_id, CAST(vec_id // 32 * 4 + row AS INTEGER) AS row, CAST(vec_id % 32 * 4 + col AS INTEGER) AS col, b2, b3, b4, b8 FROM px), size AS (SELECT (max(vec_id) // 32 + 1) * 4 AS height FROM embeddings)"
@@ -457,9 +457,25 @@ def raster_reprojection(spark, d):
     return grid.reprojected(mask, own, target, grid.target_pixels(target, spark), "m", vector.to_utm)
 
 
+@query("SELECT r_name AS region, r_regionkey + 1 AS side, CAST((r_regionkey + 1) * (r_regionkey + 1) AS BIGINT) AS pixels FROM region WHERE r_name = 'EUROPE'")
+def shapefile_area(spark, d):
+    """A shapefile of all regions, of which exactly one is taken by an attribute and drawn on a grid."""
+    kept = store(spark, "shapefile_area")
+    rows = []
+    for r in table(spark, d, "region").collect():  # five rows at every size
+        n = r["r_regionkey"] + 1.0
+        rows.append(({"NAME": r["r_name"], "SIDE": str(r["r_regionkey"] + 1)}, [[(0.0, 0.0), (0.0, n), (n, n), (n, 0.0), (0.0, 0.0)]]))
+    shp, dbf = shapefile.encode(rows)
+    kept.put(f"{kept.root}/mesh/regions.shp", shp)
+    kept.put(f"{kept.root}/mesh/regions.dbf", dbf)
+    features = shapefile.read_shapefile(spark, f"{kept.root}/mesh")
+    one = vector.exactly_one(features, F.col("attributes")["NAME"] == "EUROPE").select(F.col("attributes")["NAME"].alias("region"), F.col("attributes")["SIDE"].cast("int").alias("side"), "rings")
+    return vector.rasterize(one, ["region", "side"], 0.0, 10.0, 1.0, 10, 10).groupBy("region", "side").agg(F.count("*").alias("pixels"))
+
+
 GUARDS = (
     "an empty source", "too few points", "no feature", "several features", "an empty fold", "distinct grids", "a singular transform", "no weights", "an unknown mask kind", "an unknown move", "one mask",
-    "a mask with a 2", "settings without keys", "a chosen source that is off", "a missing table", "an unknown resampling", "a nested folder", "an unknown chosen source", "a year without source", "no TIFF file",
+    "a mask with a 2", "settings without keys", "a chosen source that is off", "a missing table", "an unknown resampling", "a nested folder", "an unknown chosen source", "a year without source", "no TIFF file", "no shapefile",
 )
 
 
@@ -492,5 +508,6 @@ def guards(spark, d):
         lambda: report.decision_record({"sources": [], "pairs": {}}, "x", Q.SETTINGS),
         lambda: report.composite_and_mask(Q.SETTINGS, 1999),
         lambda: geotiff.header(b"not a file"),
+        lambda: list(shapefile.shapes(b"not a file")),
     )
     return rows_of(spark, "guard string, raised boolean", [(g, raised(a)) for g, a in zip(GUARDS, actions, strict=True)])

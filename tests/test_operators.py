@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from gridsmith.functions import scalar as S
 from gridsmith.operators import agreement, evaluate, folds, grid, masks, patches, report, stats, vector
 from gridsmith.schemas import MANIFEST, Settings, Source
-from gridsmith.sources import geotiff
+from gridsmith.sources import geotiff, shapefile
 
 NAN, INF = float("nan"), float("inf")
 
@@ -402,3 +402,18 @@ def test_verification_and_settings(spark):
     assert report.seed_all(3).integers(100) == np.random.default_rng(3).integers(100)
     with pytest.raises(ValueError, match="missing"):
         Settings.load('{"region": "x"}')
+
+
+def test_shapes_and_attributes_of_a_shapefile(spark, tmp_path):
+    ring = lambda a, b: [(a, a), (a, b), (b, b), (b, a), (a, a)]
+    rows = [({"NM": "Três Pontas", "CD": "1"}, [ring(0.0, 9.0), ring(3.0, 4.0)]), ({"NM": "b", "CD": "22"}, []), ({"NM": "", "CD": "3"}, [ring(1.5, 2.0)])]
+    shp, dbf = shapefile.encode(rows)
+    assert list(shapefile.shapes(shp)) == [r for _, r in rows] and list(shapefile.records(dbf)) == [a for a, _ in rows]
+    (tmp_path / "one.shp").write_bytes(shp)
+    (tmp_path / "one.dbf").write_bytes(dbf)
+    (tmp_path / "bare.shp").write_bytes(shapefile.encode(rows[:1])[0])
+    got = shapefile.read_shapefile(spark, str(tmp_path)).collect()
+    assert sorted((r.name, r.attributes.get("NM"), len(r.rings)) for r in got if r.name == "one") == [("one", "", 1), ("one", "Três Pontas", 2), ("one", "b", 0)]
+    assert [len(r.rings) for r in got if r.name == "bare"] == [2]
+    with pytest.raises(ValueError):
+        list(shapefile.shapes(b"\0" * 200))
