@@ -49,15 +49,20 @@ def mask_agreement_all_pairs(spark, d):
     return rounded(agreement.all_pairs(px(spark, d), {"a": F.col("b2") > 0, "b": F.col("b3") > 0, "c": F.col("b4") > 0}))
 
 
-@query(f"WITH {PX_SQL} SELECT CAST(CASE WHEN b2 > 0 AND b3 > 0 THEN 1 WHEN b2 > 0 THEN 2 WHEN b3 > 0 THEN 3 ELSE 0 END AS INTEGER) AS label, count(*) AS n FROM px GROUP BY 1")
+@query(
+    f"WITH {PX_SQL} SELECT CAST(CASE WHEN b2 > 0 AND b3 > 0 THEN 1 WHEN b2 > 0 THEN 2 WHEN b3 > 0 THEN 3 ELSE 0 END AS INTEGER) AS label, count(*) AS n "
+    f"FROM px GROUP BY 1"
+)
 def agreement_label_counts(spark, d):
     return px(spark, d).groupBy(S.agreement_label(F.col("b2") > 0, F.col("b3") > 0).alias("label")).agg(F.count("*").alias("n"))
 
 
 @query(
-    f"WITH {PX_SQL}, t AS (SELECT count(*) AS total, count(*) FILTER (b8 > -0.1) AS aoi, count(*) FILTER (b2 > 0) AS a, count(*) FILTER (b3 > 0) AS b, count(*) FILTER (b4 > 0) AS c FROM px), "
+    f"WITH {PX_SQL}, t AS (SELECT count(*) AS total, count(*) FILTER (b8 > -0.1) AS aoi, count(*) FILTER (b2 > 0) AS a, count(*) FILTER (b3 > 0) AS b, "
+    f"count(*) FILTER (b4 > 0) AS c FROM px), "
     "u AS (SELECT 'a' AS source, a AS pixels, total, aoi FROM t UNION ALL SELECT 'b', b, total, aoi FROM t UNION ALL SELECT 'c', c, total, aoi FROM t) "
-    "SELECT source, pixels, round(pixels * 100.0::DOUBLE / 1e6, 6) + 0.0 AS area_km2, round(pixels / nullif(total, 0)::DOUBLE, 6) + 0.0 AS share_of_grid, round(pixels / nullif(aoi, 0)::DOUBLE, 6) + 0.0 AS share_of_aoi FROM u"
+    "SELECT source, pixels, round(pixels * 100.0::DOUBLE / 1e6, 6) + 0.0 AS area_km2, "
+    "round(pixels / nullif(total, 0)::DOUBLE, 6) + 0.0 AS share_of_grid, round(pixels / nullif(aoi, 0)::DOUBLE, 6) + 0.0 AS share_of_aoi FROM u"
 )
 def mask_area_share(spark, d):
     return rounded(masks.area_share(px(spark, d), {"a": F.col("b2") > 0, "b": F.col("b3") > 0, "c": F.col("b4") > 0}, SETTINGS.scale_m, F.col("b8") > -0.1))
@@ -87,13 +92,19 @@ def threshold_sweep(spark, d):
     return rounded(masks.threshold_sweep(table(spark, d, "lineitem"), F.col("l_discount"), THRESHOLDS, SETTINGS.scale_m))
 
 
-@query("SELECT event_type, count(*) AS n_total, count(*) FILTER (event_id & 3072 = 0) AS n_clear, round(avg(value) FILTER (event_id & 3072 = 0), 6) + 0.0 AS mean_clear FROM events GROUP BY 1")
+@query(
+    "SELECT event_type, count(*) AS n_total, count(*) FILTER (event_id & 3072 = 0) AS n_clear, "
+    "round(avg(value) FILTER (event_id & 3072 = 0), 6) + 0.0 AS mean_clear FROM events GROUP BY 1"
+)
 def qa_bitmask_counts(spark, d):
     clear = masks.mask_clouds(table(spark, d, "events"), ["value"], SETTINGS.qa_bits, "event_id")
     return rounded(clear.groupBy("event_type").agg(F.count("*").alias("n_total"), F.count("value").alias("n_clear"), F.avg("value").alias("mean_clear")))
 
 
-@query("SELECT CAST(year(ts) AS INTEGER) AS year, CAST(month(ts) AS INTEGER) AS month, count(*) AS n_scenes FROM events WHERE ts >= TIMESTAMP '2024-01-03' AND ts < TIMESTAMP '2024-02-11' AND value < 20 AND event_type = 'view' GROUP BY 1, 2")
+@query(
+    "SELECT CAST(year(ts) AS INTEGER) AS year, CAST(month(ts) AS INTEGER) AS month, count(*) AS n_scenes FROM events WHERE ts >= TIMESTAMP '2024-01-03' "
+    "AND ts < TIMESTAMP '2024-02-11' AND value < 20 AND event_type = 'view' GROUP BY 1, 2"
+)
 def scene_filter_counts(spark, d):
     e = table(spark, d, "events").where(masks.in_dates(F.col("ts"), "2024-01-03", "2024-02-10") & (F.col("value") < SETTINGS.cloud_below) & (F.col("event_type") == "view"))
     return e.groupBy(F.year("ts").alias("year"), F.month("ts").alias("month")).agg(F.count("*").alias("n_scenes"))
@@ -110,7 +121,10 @@ def latest_mosaic(spark, d):
     return rounded(masks.latest_mosaic(table(spark, d, "events"), ["user_id"], ["value"], ["ts", "event_id"]))
 
 
-@query("SELECT n_name AS municipio, count(c_custkey) AS n_customers FROM region JOIN nation ON n_regionkey = r_regionkey LEFT JOIN customer ON c_nationkey = n_nationkey WHERE r_name = 'EUROPE' GROUP BY 1")
+@query(
+    "SELECT n_name AS municipio, count(c_custkey) AS n_customers FROM region JOIN nation ON n_regionkey = r_regionkey LEFT "
+    "JOIN customer ON c_nationkey = n_nationkey WHERE r_name = 'EUROPE' GROUP BY 1"
+)
 def aoi_lookup(spark, d):
     aoi = vector.exactly_one(table(spark, d, "region"), F.col("r_name") == "EUROPE")
     inside = aoi.join(table(spark, d, "nation"), F.col("n_regionkey") == F.col("r_regionkey"))
@@ -118,7 +132,10 @@ def aoi_lookup(spark, d):
     return inside.join(counted, F.col("c_nationkey") == F.col("n_nationkey"), "left").select(F.col("n_name").alias("municipio"), F.coalesce("n", F.lit(0)).alias("n_customers"))
 
 
-@query("SELECT c_nationkey AS feature, floor(min(c_acctbal) / 10) * 10 AS low, ceil(max(c_acctbal) / 10) * 10 AS high, CAST((ceil(max(c_acctbal) / 10) - floor(min(c_acctbal) / 10)) AS BIGINT) AS cells FROM customer GROUP BY 1")
+@query(
+    "SELECT c_nationkey AS feature, floor(min(c_acctbal) / 10) * 10 AS low, ceil(max(c_acctbal) / 10) * 10 AS high, "
+    "CAST((ceil(max(c_acctbal) / 10) - floor(min(c_acctbal) / 10)) AS BIGINT) AS cells FROM customer GROUP BY 1"
+)
 def grid_snap(spark, d):
     bounds = table(spark, d, "customer").groupBy(F.col("c_nationkey").alias("feature")).agg(F.min("c_acctbal").alias("a"), F.max("c_acctbal").alias("b"))
     low, high = S.snap(F.col("a"), F.col("b"), SETTINGS.scale_m)
@@ -147,8 +164,10 @@ def patch_ratio_filter(spark, d):
 
 
 @query(
-    f"WITH {PX_SQL}, w AS (SELECT CAST((vec_id // 32 * 4 + row) // 8 AS INTEGER) AS row, CAST((vec_id % 32 * 4 + col) // 8 AS INTEGER) AS col, b2 FROM px), h AS (SELECT ((max(vec_id) // 32 + 1) * 4 - 1) // 8 AS h FROM embeddings) "
-    "SELECT row, col, round(avg(CASE WHEN b2 > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) + 0.0 AS coffee_ratio FROM w, h WHERE row < h GROUP BY 1, 2 HAVING avg(CASE WHEN b2 > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) >= 0.4"
+    f"WITH {PX_SQL}, w AS (SELECT CAST((vec_id // 32 * 4 + row) // 8 AS INTEGER) AS row, CAST((vec_id % 32 * 4 + col) // 8 AS INTEGER) AS col, b2 "
+    f"FROM px), h AS (SELECT ((max(vec_id) // 32 + 1) * 4 - 1) // 8 AS h FROM embeddings) "
+    "SELECT row, col, round(avg(CASE WHEN b2 > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) + 0.0 AS coffee_ratio FROM w, h WHERE row < h "
+    "GROUP BY 1, 2 HAVING avg(CASE WHEN b2 > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) >= 0.4"
 )
 def patch_manifest_ratios(spark, d):
     """All patches as one raster, tiled anew in 8 x 8 pixels; its height is one short of the table's, so that a partial edge of tiles is dropped."""
@@ -156,14 +175,20 @@ def patch_manifest_ratios(spark, d):
     return rounded(patches.patch_ratios(whole.withColumn("m", F.col("b2")), 8, height - 1, PER_ROW * SIDE, 0.4))
 
 
-@query(f"WITH {PX_SQL} SELECT row, col, round(sum(b2), 6) + 0.0 AS b2, round(sum(b3), 6) + 0.0 AS b3, round(sum(b4), 6) + 0.0 AS b4, round(sum(b8), 6) + 0.0 AS b8, count(*) AS n FROM px GROUP BY 1, 2")
+@query(
+    f"WITH {PX_SQL} SELECT row, col, round(sum(b2), 6) + 0.0 AS b2, round(sum(b3), 6) + 0.0 AS b3, round(sum(b4), 6) + 0.0 AS b4, "
+    f"round(sum(b8), 6) + 0.0 AS b8, count(*) AS n FROM px GROUP BY 1, 2"
+)
 def patch_pixels_explode(spark, d):
     return rounded(px(spark, d).groupBy("row", "col").agg(*[F.sum(b).alias(b) for b in BANDS], F.count("*").alias("n")))
 
 
 @query(
-    f"WITH {PX_SQL}, t AS (SELECT vec_id, unnest(range(36)) AS i FROM embeddings), c AS (SELECT vec_id, CAST(i // 6 AS INTEGER) AS row, CAST(i % 6 AS INTEGER) AS col, CAST(floor((i // 6 + 0.5) * 0.8 - 0.5) AS INTEGER) AS r, CAST(floor((i % 6 + 0.5) * 0.8 - 0.5) AS INTEGER) AS k FROM t) "
-    "SELECT c.row, c.col, count(b2) AS n_inside, round(sum(coalesce(b2, 0.0::DOUBLE)), 6) + 0.0 AS total FROM c LEFT JOIN px ON px.vec_id = c.vec_id AND px.row = c.r AND px.col = c.k GROUP BY 1, 2"
+    f"WITH {PX_SQL}, t AS (SELECT vec_id, unnest(range(36)) AS i FROM embeddings), c AS (SELECT vec_id, CAST(i // 6 AS INTEGER) AS row, "
+    f"CAST(i % 6 AS INTEGER) AS col, CAST(floor((i // 6 + 0.5) * 0.8 - 0.5) AS INTEGER) AS r, CAST(floor((i % 6 + 0.5) * 0.8 - 0.5) AS INTEGER) AS k "
+    f"FROM t) "
+    "SELECT c.row, c.col, count(b2) AS n_inside, round(sum(coalesce(b2, 0.0::DOUBLE)), 6) + 0.0 AS total FROM c LEFT JOIN px ON px.vec_id = c.vec_id "
+    "AND px.row = c.r AND px.col = c.k GROUP BY 1, 2"
 )
 def nearest_resample(spark, d):
     source, target = grid.Grid(4, 4, 10, 0, 0, 0, -10, 40), grid.Grid(6, 6, 8, 0, -5, 0, -8, 45)
@@ -174,9 +199,11 @@ def nearest_resample(spark, d):
 
 
 @query(
-    f"WITH {PX_SQL}, t AS (SELECT vec_id, unnest(range(9)) AS i FROM embeddings), c AS (SELECT vec_id, CAST(i // 3 AS INTEGER) AS row, CAST(i % 3 AS INTEGER) AS col FROM t), "
+    f"WITH {PX_SQL}, t AS (SELECT vec_id, unnest(range(9)) AS i FROM embeddings), c AS (SELECT vec_id, CAST(i // 3 AS INTEGER) AS row, "
+    f"CAST(i % 3 AS INTEGER) AS col FROM t), "
     "n AS (SELECT c.*, unnest([0, 0, 1, 1]) AS dr, unnest([0, 1, 0, 1]) AS dk, unnest([0.28::DOUBLE, 0.42::DOUBLE, 0.12::DOUBLE, 0.18::DOUBLE]) AS w FROM c), "
-    "v AS (SELECT n.vec_id, n.row, n.col, sum(b2 * w) AS v FROM n JOIN px ON px.vec_id = n.vec_id AND px.row = n.row + dr AND px.col = n.col + dk GROUP BY 1, 2, 3) SELECT row, col, round(sum(v), 6) + 0.0 AS total, round(max(v), 6) + 0.0 AS most FROM v GROUP BY 1, 2"
+    "v AS (SELECT n.vec_id, n.row, n.col, sum(b2 * w) AS v FROM n JOIN px ON px.vec_id = n.vec_id AND px.row = n.row + dr AND px.col = n.col + dk "
+    "GROUP BY 1, 2, 3) SELECT row, col, round(sum(v), 6) + 0.0 AS total, round(max(v), 6) + 0.0 AS most FROM v GROUP BY 1, 2"
 )
 def bilinear_resample(spark, d):
     """A grid moved by 0.6 of a pixel in x and 0.3 in y: interior pixels."""
@@ -188,9 +215,11 @@ def bilinear_resample(spark, d):
 
 
 @query(
-    "WITH s AS (SELECT s_suppkey AS feature, s_suppkey * 37 % 1000 AS x, s_suppkey * 53 % 1000 AS y FROM supplier), c AS (SELECT feature, x, y, unnest(range(-4, 5)) AS i FROM s), k AS (SELECT *, unnest(range(-4, 5)) AS j FROM c), "
+    "WITH s AS (SELECT s_suppkey AS feature, s_suppkey * 37 % 1000 AS x, s_suppkey * 53 % 1000 AS y "
+    "FROM supplier), c AS (SELECT feature, x, y, unnest(range(-4, 5)) AS i FROM s), k AS (SELECT *, unnest(range(-4, 5)) AS j FROM c), "
     "p AS (SELECT feature, x, y, (x // 10 + j) AS col, ((1000 - y) // 10 + i) AS row FROM k) "
-    "SELECT feature, count(*) AS pixels, sum(row)::BIGINT AS rows, sum(col)::BIGINT AS cols FROM p WHERE row BETWEEN 0 AND 99 AND col BETWEEN 0 AND 99 AND abs(col * 10 + 5 - x) + abs(1000 - row * 10 - 5 - y) < 34.5 GROUP BY 1"
+    "SELECT feature, count(*) AS pixels, sum(row)::BIGINT AS rows, sum(col)::BIGINT AS cols FROM p WHERE row BETWEEN 0 AND 99 AND col BETWEEN 0 AND 99 "
+    "AND abs(col * 10 + 5 - x) + abs(1000 - row * 10 - 5 - y) < 34.5 GROUP BY 1"
 )
 def rasterize_polygon(spark, d):
     """A diamond around a place for each supplier, on a grid of 100 x 100 cells."""
@@ -201,13 +230,20 @@ def rasterize_polygon(spark, d):
     return cells.groupBy("feature").agg(F.count("*").alias("pixels"), F.sum("row").alias("rows"), F.sum("col").alias("cols"))
 
 
-@query("SELECT CAST(2018 + n_nationkey % 3 AS INTEGER) AS year, arg_min(n_name, n_nationkey) AS source, count(*) AS n_sources FROM nation WHERE n_regionkey <> 0 GROUP BY 1")
+@query(
+    "SELECT CAST(2018 + n_nationkey % 3 AS INTEGER) AS year, arg_min(n_name, n_nationkey) AS source, count(*) AS n_sources FROM nation "
+    "WHERE n_regionkey <> 0 GROUP BY 1"
+)
 def source_year_lookup(spark, d):
     n = table(spark, d, "nation").where("n_regionkey <> 0")
     return n.groupBy((F.lit(2018) + F.col("n_nationkey") % 3).cast("int").alias("year")).agg(F.min_by("n_name", "n_nationkey").alias("source"), F.count("*").alias("n_sources"))
 
 
-@query(f"WITH {PATCHES_SQL} SELECT count(*) AS n_patches, count(*) FILTER (coffee_ratio > 0) AS n_positive, min(coffee_ratio) AS min_ratio, round(avg(coffee_ratio), 6) + 0.0 AS mean_ratio, max(coffee_ratio) AS max_ratio, array_to_string(list_sort(list(DISTINCT fold)), ',') AS fold_values, count(DISTINCT fold) AS n_fold FROM patches")
+@query(
+    f"WITH {PATCHES_SQL} SELECT count(*) AS n_patches, count(*) FILTER (coffee_ratio > 0) AS n_positive, min(coffee_ratio) AS min_ratio, "
+    f"round(avg(coffee_ratio), 6) + 0.0 AS mean_ratio, max(coffee_ratio) AS max_ratio, array_to_string(list_sort(list(DISTINCT fold)), ',') AS fold_values, "
+    f"count(DISTINCT fold) AS n_fold FROM patches"
+)
 def manifest_summary(spark, d):
     return rounded(patches.manifest_summary(patch_view(spark, d), sets=["fold"]).withColumn("fold_values", F.array_join(F.col("fold_values").cast("array<string>"), ",")))
 
@@ -227,13 +263,19 @@ def _placed(spark, d) -> DataFrame:
 PLACED_SQL = f"{PATCHES_SQL}, placed AS (SELECT *, (col * 512 + 256)::DOUBLE AS x, (row * 512 + 256)::DOUBLE AS y FROM patches)"
 
 
-@query(f"WITH {PLACED_SQL} SELECT f.fold, count(vec_id) AS n, round(avg(coffee_ratio), 6) + 0.0 AS mean_ratio, round(avg(x), 6) + 0.0 AS mean_x, round(avg(y), 6) + 0.0 AS mean_y FROM (SELECT unnest(range(7)) AS fold) f LEFT JOIN placed p ON p.fold = f.fold GROUP BY 1")
+@query(
+    f"WITH {PLACED_SQL} SELECT f.fold, count(vec_id) AS n, round(avg(coffee_ratio), 6) + 0.0 AS mean_ratio, round(avg(x), 6) + 0.0 AS mean_x, "
+    f"round(avg(y), 6) + 0.0 AS mean_y FROM (SELECT unnest(range(7)) AS fold) f LEFT JOIN placed p ON p.fold = f.fold GROUP BY 1"
+)
 def fold_report(spark, d):
     """Seven folds, two of them empty."""
     return rounded(folds.fold_report(_placed(spark, d), 7))
 
 
-@query(f"WITH {PATCHES_SQL} SELECT CASE WHEN fold = 1 THEN 'validation' ELSE 'training' END AS part, count(*) AS n, round(avg(coffee_ratio), 6) + 0.0 AS mean_ratio FROM patches GROUP BY 1")
+@query(
+    f"WITH {PATCHES_SQL} SELECT CASE WHEN fold = 1 THEN 'validation' ELSE 'training' END AS part, count(*) AS n, "
+    f"round(avg(coffee_ratio), 6) + 0.0 AS mean_ratio FROM patches GROUP BY 1"
+)
 def fold_train_val_split(spark, d):
     train, held = folds.split(patch_view(spark, d), 1)
     both = train.withColumn("part", F.lit("training")).unionByName(held.withColumn("part", F.lit("validation")))
@@ -282,7 +324,10 @@ def zscore_range(spark, d):
     return rounded(one.select(F.inline(F.array(*[F.struct(F.lit(b).alias("band"), F.col(f"{b}_low").alias("low"), F.col(f"{b}_high").alias("high"), F.col("n")) for b in BANDS]))))
 
 
-@query("SELECT l_returnflag AS region, round(sum(greatest(0.0::DOUBLE, least(1.0::DOUBLE, l_extendedprice * 1e-4::DOUBLE))), 4) + 0.0 AS total, count(*) FILTER (l_extendedprice * 1e-4::DOUBLE > 1) AS n_clipped FROM lineitem GROUP BY 1")
+@query(
+    "SELECT l_returnflag AS region, round(sum(greatest(0.0::DOUBLE, least(1.0::DOUBLE, l_extendedprice * 1e-4::DOUBLE))), 4) + 0.0 AS total, "
+    "count(*) FILTER (l_extendedprice * 1e-4::DOUBLE > 1) AS n_clipped FROM lineitem GROUP BY 1"
+)
 def reflectance_clip(spark, d):
     li = table(spark, d, "lineitem")
     return rounded(li.groupBy(F.col("l_returnflag").alias("region")).agg(F.sum(S.reflectance(F.col("l_extendedprice"))).alias("total"), F.count_if(F.col("l_extendedprice") * 1e-4 > 1).alias("n_clipped")), 4)
@@ -295,8 +340,10 @@ def percentile_bounds(spark, d):
 
 
 @query(
-    "WITH p AS (SELECT quantile_cont(l_extendedprice, 0.02) AS a, quantile_cont(l_extendedprice, 0.98) AS b FROM lineitem), v AS (SELECT CAST(trunc(greatest(0.0::DOUBLE, least(1.0::DOUBLE, (l_extendedprice - a) / (b - a))) * 255) AS INTEGER) AS v FROM lineitem, p), "
-    "h AS (SELECT CAST(least(floor(v * 20 / 255.0::DOUBLE), 19) AS INTEGER) AS bin, count(*) AS n FROM v GROUP BY 1) SELECT CAST(b AS INTEGER) AS bin, coalesce(n, 0) AS n FROM (SELECT unnest(range(20)) AS b) LEFT JOIN h ON h.bin = b"
+    "WITH p AS (SELECT quantile_cont(l_extendedprice, 0.02) AS a, quantile_cont(l_extendedprice, 0.98) AS b FROM lineitem), v AS (SELECT "
+    "CAST(trunc(greatest(0.0::DOUBLE, least(1.0::DOUBLE, (l_extendedprice - a) / (b - a))) * 255) AS INTEGER) AS v FROM lineitem, p), "
+    "h AS (SELECT CAST(least(floor(v * 20 / 255.0::DOUBLE), 19) AS INTEGER) AS bin, count(*) AS n FROM v GROUP BY 1) SELECT "
+    "CAST(b AS INTEGER) AS bin, coalesce(n, 0) AS n FROM (SELECT unnest(range(20)) AS b) LEFT JOIN h ON h.bin = b"
 )
 def percentile_stretch_hist(spark, d):
     li = table(spark, d, "lineitem").select("l_extendedprice")
@@ -339,24 +386,39 @@ def metrics_by_fold(spark, d):
     return rounded(evaluate.with_scores(evaluate.counts(px(spark, d), S.positive(_logit()), F.col("b3") > 0, ["fold"])))
 
 
-@query("WITH h AS (SELECT o_orderpriority AS model, CAST(o_custkey % 5 AS INTEGER) AS fold, o_orderkey AS epoch, (o_orderkey * 7919 % 101) / 101.0::DOUBLE AS val_iou FROM orders) SELECT model, fold, epoch, round(val_iou, 6) + 0.0 AS val_iou FROM (SELECT *, row_number() OVER (PARTITION BY model, fold ORDER BY val_iou DESC, epoch) AS r FROM h) WHERE r = 1")
+@query(
+    "WITH h AS (SELECT o_orderpriority AS model, "
+    "CAST(o_custkey % 5 AS INTEGER) AS fold, o_orderkey AS epoch, (o_orderkey * 7919 % 101) / 101.0::DOUBLE AS val_iou FROM orders) "
+    "SELECT model, fold, epoch, round(val_iou, 6) + 0.0 AS val_iou FROM (SELECT *, row_number() OVER (PARTITION BY model, fold "
+    "ORDER BY val_iou DESC, epoch) AS r FROM h) WHERE r = 1"
+)
 def best_epoch(spark, d):
     o = table(spark, d, "orders").select(F.col("o_orderpriority").alias("model"), (F.col("o_custkey") % 5).cast("int").alias("fold"), F.col("o_orderkey").alias("epoch"), ((F.col("o_orderkey") * 7919 % 101) / 101.0).alias("val_iou"))
     return rounded(evaluate.best_epochs(o, ["model", "fold"]))
 
 
-@query("SELECT o_orderpriority AS model, round(avg(b), 4) + 0.0 AS loss FROM (SELECT o_orderpriority, o_custkey % 16 AS batch, avg(o_totalprice) AS b FROM orders GROUP BY 1, 2) GROUP BY 1")
+@query(
+    "SELECT o_orderpriority AS model, round(avg(b), 4) + 0.0 AS loss FROM (SELECT o_orderpriority, o_custkey % 16 AS batch, avg(o_totalprice) AS b "
+    "FROM orders GROUP BY 1, 2) GROUP BY 1"
+)
 def epoch_mean_loss(spark, d):
     o = table(spark, d, "orders").select(F.col("o_orderpriority").alias("model"), (F.col("o_custkey") % 16).alias("batch"), "o_totalprice")
     return rounded(evaluate.epoch_means(o, ["model"], "batch", F.col("o_totalprice")), 4)
 
 
-@query(f"WITH {PX_SQL}, p AS (SELECT 1 / (1 + exp(-b2 * 10)) AS p, CASE WHEN b3 > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS t FROM px) SELECT round(1 - (2 * sum(p * t) + 1) / (sum(p) + sum(t) + 1), 6) + 0.0 AS loss FROM p")
+@query(
+    f"WITH {PX_SQL}, p AS (SELECT 1 / (1 + exp(-b2 * 10)) AS p, CASE WHEN b3 > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS t FROM px) SELECT "
+    f"round(1 - (2 * sum(p * t) + 1) / (sum(p) + sum(t) + 1), 6) + 0.0 AS loss FROM p"
+)
 def dice_loss(spark, d):
     return rounded(px(spark, d).agg(evaluate.dice_loss(_logit(), F.col("b3") > 0).alias("loss")))
 
 
-@query(f"WITH {PX_SQL}, p AS (SELECT greatest(1e-6::DOUBLE, least(1 - 1e-6::DOUBLE, 1 / (1 + exp(-b2 * 10)))) AS p, b3 > 0 AS t FROM px) SELECT round(avg((CASE WHEN t THEN 0.25::DOUBLE ELSE 0.75::DOUBLE END) * power(1 - (CASE WHEN t THEN p ELSE 1 - p END), 2) * -ln(CASE WHEN t THEN p ELSE 1 - p END)), 6) + 0.0 AS loss FROM p")
+@query(
+    f"WITH {PX_SQL}, p AS (SELECT greatest(1e-6::DOUBLE, least(1 - 1e-6::DOUBLE, 1 / (1 + exp(-b2 * 10)))) AS p, b3 > 0 AS t FROM px) SELECT "
+    f"round(avg((CASE WHEN t THEN 0.25::DOUBLE ELSE 0.75::DOUBLE END) * power(1 - (CASE WHEN t THEN p ELSE 1 - p END), "
+    f"2) * -ln(CASE WHEN t THEN p ELSE 1 - p END)), 6) + 0.0 AS loss FROM p"
+)
 def focal_loss(spark, d):
     return rounded(px(spark, d).agg(evaluate.focal_loss(_logit(), F.col("b3") > 0).alias("loss")))
 
@@ -370,8 +432,13 @@ def nearest_center_assign(spark, d):
 
 
 @query(
-    "WITH r AS (SELECT l_linenumber % 3 AS m, CASE WHEN l_linenumber < 7 THEN l_linenumber % 5 END AS f, CASE WHEN l_linenumber = 7 THEN 'NaN'::DOUBLE ELSE l_quantity END AS v FROM lineitem), a AS (SELECT count(*) AS n, count(*) FILTER (f IS NULL) AS n_without_fold, count(DISTINCT f) AS n_folds, count(*) FILTER (m NOT IN (0, 1)) AS n_not_binary, count(*) FILTER (NOT isfinite(v)) AS n_not_finite FROM r) "
-    "SELECT *, concat_ws(';', CASE WHEN n = 0 THEN 'no rows' END, CASE WHEN n_without_fold > 0 THEN 'rows without fold' END, CASE WHEN n_folds <> 5 THEN 'unexpected number of folds' END, CASE WHEN n_not_binary > 0 THEN 'mask is not binary' END, CASE WHEN n_not_finite > 0 THEN 'values that are not finite' END) AS issues FROM a"
+    "WITH r AS (SELECT l_linenumber % 3 AS m, CASE WHEN l_linenumber < 7 THEN l_linenumber % 5 END AS f, "
+    "CASE WHEN l_linenumber = 7 THEN 'NaN'::DOUBLE ELSE l_quantity END AS v FROM lineitem), a AS (SELECT count(*) AS n, "
+    "count(*) FILTER (f IS NULL) AS n_without_fold, count(DISTINCT f) AS n_folds, count(*) FILTER (m NOT IN (0, 1)) AS n_not_binary, "
+    "count(*) FILTER (NOT isfinite(v)) AS n_not_finite FROM r) "
+    "SELECT *, concat_ws(';', CASE WHEN n = 0 THEN 'no rows' END, CASE WHEN n_without_fold > 0 THEN 'rows without fold' END, "
+    "CASE WHEN n_folds <> 5 THEN 'unexpected number of folds' END, CASE WHEN n_not_binary > 0 THEN 'mask is not binary' END, "
+    "CASE WHEN n_not_finite > 0 THEN 'values that are not finite' END) AS issues FROM a"
 )
 def sanity_issues(spark, d):
     n = F.col("l_linenumber")
@@ -389,15 +456,23 @@ def rot90_remap(spark, d):
     return rounded(patches.augment(px(spark, d), SIDE, SIDE, "rot90").groupBy("row", "col").agg(F.sum("b2").alias("total")))
 
 
-@query(f"WITH {PX_SQL}, m AS (SELECT a.vec_id, a.row, a.col, a.b2 > 0 AS m, min(sqrt((a.row - b.row) ** 2 + (a.col - b.col) ** 2)) FILTER ((a.b2 > 0) <> (b.b2 > 0)) AS d FROM px a JOIN px b ON a.vec_id = b.vec_id GROUP BY 1, 2, 3, 4) SELECT vec_id, round(sum(CASE WHEN m THEN -coalesce(d, 0.0::DOUBLE) ELSE coalesce(d, 0.0::DOUBLE) END), 6) + 0.0 AS total, round(max(coalesce(d, 0.0::DOUBLE)), 6) + 0.0 AS most FROM m GROUP BY 1")
+@query(
+    f"WITH {PX_SQL}, m AS (SELECT a.vec_id, a.row, a.col, a.b2 > 0 AS m, "
+    f"min(sqrt((a.row - b.row) ** 2 + (a.col - b.col) ** 2)) FILTER ((a.b2 > 0) <> (b.b2 > 0)) AS d FROM px a JOIN px b ON a.vec_id = b.vec_id "
+    f"GROUP BY 1, 2, 3, 4) SELECT vec_id, round(sum(CASE WHEN m THEN -coalesce(d, 0.0::DOUBLE) ELSE coalesce(d, 0.0::DOUBLE) END), 6) + 0.0 AS total, "
+    f"round(max(coalesce(d, 0.0::DOUBLE)), 6) + 0.0 AS most FROM m GROUP BY 1"
+)
 def signed_distance(spark, d):
     maps = evaluate.distance_maps(px(spark, d).withColumn("m", F.col("b2") > 0), "vec_id")
     return rounded(maps.groupBy("vec_id").agg(F.sum("distance").alias("total"), F.max(F.abs("distance")).alias("most")))
 
 
 @query(
-    f"WITH {PX_SQL}, m AS (SELECT a.vec_id, a.row, a.col, a.b3 > 0 AS m, a.b2, min(sqrt((a.row - b.row) ** 2 + (a.col - b.col) ** 2)) FILTER ((a.b3 > 0) <> (b.b3 > 0)) AS d FROM px a JOIN px b ON a.vec_id = b.vec_id GROUP BY 1, 2, 3, 4, 5), "
-    "s AS (SELECT b2, CASE WHEN m THEN -coalesce(d, 0.0::DOUBLE) ELSE coalesce(d, 0.0::DOUBLE) END AS s FROM m) SELECT round(coalesce(sum(s * (1 / (1 + exp(-b2 * 10)))) / nullif(sum(abs(s)), 0), 0.0), 6) + 0.0 AS loss FROM s"
+    f"WITH {PX_SQL}, m AS (SELECT a.vec_id, a.row, a.col, a.b3 > 0 AS m, a.b2, "
+    f"min(sqrt((a.row - b.row) ** 2 + (a.col - b.col) ** 2)) FILTER ((a.b3 > 0) <> (b.b3 > 0)) AS d FROM px a JOIN px b ON a.vec_id = b.vec_id "
+    f"GROUP BY 1, 2, 3, 4, 5), "
+    "s AS (SELECT b2, CASE WHEN m THEN -coalesce(d, 0.0::DOUBLE) ELSE coalesce(d, 0.0::DOUBLE) END AS s FROM m) SELECT "
+    "round(coalesce(sum(s * (1 / (1 + exp(-b2 * 10)))) / nullif(sum(abs(s)), 0), 0.0), 6) + 0.0 AS loss FROM s"
 )
 def boundary_loss(spark, d):
     maps = evaluate.distance_maps(px(spark, d).withColumn("m", F.col("b3") > 0), "vec_id", carried=["b2"])

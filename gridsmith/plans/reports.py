@@ -46,7 +46,10 @@ def raised(action: Callable[[], object]) -> bool:
     return False
 
 
-@query(f"WITH {PX_SQL} SELECT '310044' AS raster_id, CAST(vec_id // 32 AS INTEGER) AS tile_r, CAST(vec_id % 32 AS INTEGER) AS tile_c, row, col, b2, b8 FROM px WHERE vec_id // 32 = 3 AND vec_id % 32 = 5")
+@query(
+    f"WITH {PX_SQL} SELECT '310044' AS raster_id, CAST(vec_id // 32 AS INTEGER) AS tile_r, CAST(vec_id % 32 AS INTEGER) AS tile_c, row, col, b2, b8 FROM px "
+    f"WHERE vec_id // 32 = 3 AND vec_id % 32 = 5"
+)
 def raster_window_read(spark, d):
     """All pixels written by tile row, one window of two bands read."""
     place = {"raster_id": F.lit("310044"), "tile_r": F.floor(F.col("vec_id") / PER_ROW).cast("int"), "tile_c": (F.col("vec_id") % PER_ROW).cast("int")}
@@ -96,7 +99,10 @@ def features_read(spark, d):
     return vector.non_empty(readers.read_features(spark, paths + paths[:1])).select("municipio", "variedade", "area", F.size("rings").alias("rings"))
 
 
-@query("SELECT event_id AS scene_id, user_id % 100 + 0.0::DOUBLE AS cloud_pct FROM events WHERE ts >= TIMESTAMP '2024-01-03' AND ts < TIMESTAMP '2024-02-11' AND user_id % 100 < 20")
+@query(
+    "SELECT event_id AS scene_id, user_id % 100 + 0.0::DOUBLE AS cloud_pct FROM events WHERE ts >= TIMESTAMP '2024-01-03' AND ts < TIMESTAMP '2024-02-11' "
+    "AND user_id % 100 < 20"
+)
 def scenes_read(spark, d):
     e = table(spark, d, "events")
     band = F.col("value").alias
@@ -114,7 +120,9 @@ def file_facts(spark, d):
 
 
 @query(
-    "SELECT * FROM (VALUES ('before', false, false), ('after', true, true), ('other facts', false, true), ('missing', false, false)) AS t(moment, current, readable)"
+    "SELECT * "
+    "FROM (VALUES ('before', false, false), ('after', true, true), ('other facts', false, true), ('missing', false, false)) AS t(moment, current, "
+    "readable)"
 )
 def staleness_gates(spark, d):
     """A table is current for the very facts it was made of; a pointer that is broken or missing is none."""
@@ -129,7 +137,10 @@ def staleness_gates(spark, d):
     return rows_of(spark, "moment string, current boolean, readable boolean", rows)
 
 
-@query("SELECT vec_id FROM embeddings WHERE vec_id % 32 * 512 <= 4000 AND vec_id % 32 * 512 + 512 >= 1000 AND vec_id // 32 * 512 <= 2500 AND vec_id // 32 * 512 + 512 >= 600")
+@query(
+    "SELECT vec_id FROM embeddings WHERE vec_id % 32 * 512 <= 4000 AND vec_id % 32 * 512 + 512 >= 1000 AND vec_id // 32 * 512 <= 2500 "
+    "AND vec_id // 32 * 512 + 512 >= 600"
+)
 def bounds_filter(spark, d):
     left, bottom = F.col("col") * 512, F.col("row") * 512
     return patch_view(spark, d).where(masks.overlaps(left, bottom, left + 512, bottom + 512, (1000, 600, 4000, 2500))).select("vec_id")
@@ -143,8 +154,10 @@ def aoi_clip(spark, d):
 
 
 @query(
-    f"WITH {RASTER_SQL}, t AS (SELECT *, row // 8 AS tile_r, col // 8 AS tile_c FROM raster, size WHERE row // 8 < height // 8), k AS (SELECT tile_r, tile_c FROM t GROUP BY 1, 2 HAVING avg(CASE WHEN b2 > 0 THEN 1.0 ELSE 0.0 END) >= 0.5) "
-    "SELECT CAST(tile_r AS INTEGER) AS tile_r, CAST(tile_c AS INTEGER) AS tile_c, count(*) AS n, round(sum(b3), 6) + 0.0 AS total FROM t JOIN k USING (tile_r, tile_c) GROUP BY 1, 2"
+    f"WITH {RASTER_SQL}, t AS (SELECT *, row // 8 AS tile_r, col // 8 AS tile_c FROM raster, size "
+    f"WHERE row // 8 < height // 8), k AS (SELECT tile_r, tile_c FROM t GROUP BY 1, 2 HAVING avg(CASE WHEN b2 > 0 THEN 1.0 ELSE 0.0 END) >= 0.5) "
+    "SELECT CAST(tile_r AS INTEGER) AS tile_r, CAST(tile_c AS INTEGER) AS tile_c, count(*) AS n, round(sum(b3), 6) + 0.0 AS total FROM t "
+    "JOIN k USING (tile_r, tile_c) GROUP BY 1, 2"
 )
 def kept_patch_pixels(spark, d):
     """The image's pixels of the patches that the mask keeps."""
@@ -154,15 +167,22 @@ def kept_patch_pixels(spark, d):
     return rounded(out.groupBy("tile_r", "tile_c").agg(F.count("*").alias("n"), F.sum("b3").alias("total")))
 
 
-@query(f"WITH {RASTER_SQL}, s AS (SELECT greatest(1, greatest(height, 128) // 16) AS s FROM size) SELECT row, col, b2 FROM raster, s WHERE row % s = 0 AND col % s = 0")
+@query(
+    f"WITH {RASTER_SQL}, s AS (SELECT greatest(1, greatest(height, 128) // 16) AS s FROM size) SELECT row, col, b2 FROM raster, s WHERE row % s = 0 "
+    f"AND col % s = 0"
+)
 def strided_preview(spark, d):
     whole, height = Q.raster(spark, d)
     return grid.strided(whole, height, PER_ROW * SIDE, 16).select("row", "col", "b2")
 
 
 @query(
-    f"WITH {PX_SQL}, n AS (SELECT sum(b2) AS v, count(*) AS n FROM px) SELECT 'same' AS grid, true AS aligned, n, CAST(0 AS BIGINT) AS n_nan, round(v, 6) + 0.0 AS total FROM n UNION ALL "
-    "SELECT 'moved', false, n, n * 7 // 16, (SELECT round(sum(0.28::DOUBLE * a.b2 + 0.42::DOUBLE * b.b2 + 0.12::DOUBLE * c.b2 + 0.18::DOUBLE * e.b2), 6) + 0.0 FROM px a JOIN px b ON b.vec_id = a.vec_id AND b.row = a.row AND b.col = a.col + 1 JOIN px c ON c.vec_id = a.vec_id AND c.row = a.row + 1 AND c.col = a.col JOIN px e ON e.vec_id = a.vec_id AND e.row = a.row + 1 AND e.col = a.col + 1) FROM n"
+    f"WITH {PX_SQL}, n AS (SELECT sum(b2) AS v, count(*) AS n FROM px) SELECT 'same' AS grid, true AS aligned, n, CAST(0 AS BIGINT) AS n_nan, "
+    f"round(v, 6) + 0.0 AS total FROM n UNION ALL "
+    "SELECT 'moved', false, n, n * 7 // 16, (SELECT "
+    "round(sum(0.28::DOUBLE * a.b2 + 0.42::DOUBLE * b.b2 + 0.12::DOUBLE * c.b2 + 0.18::DOUBLE * e.b2), 6) + 0.0 FROM px a "
+    "JOIN px b ON b.vec_id = a.vec_id AND b.row = a.row AND b.col = a.col + 1 JOIN px c ON c.vec_id = a.vec_id AND c.row = a.row + 1 AND c.col = a.col "
+    "JOIN px e ON e.vec_id = a.vec_id AND e.row = a.row + 1 AND e.col = a.col + 1) FROM n"
 )
 def align_or_pass(spark, d):
     """One grid passes, a moved one is resampled; what has no four neighbours is NaN."""
@@ -175,7 +195,10 @@ def align_or_pass(spark, d):
     return rounded(out[0].unionByName(out[1]))
 
 
-@query("SELECT s_suppkey AS feature, round(-47 + s_suppkey % 300 * 0.01::DOUBLE, 7) + 0.0 AS lon, round(-24 + s_suppkey % 170 * 0.02::DOUBLE, 7) + 0.0 AS lat, CASE WHEN s_suppkey % 300 = 200 THEN 500000.0::DOUBLE END AS on_meridian FROM supplier")
+@query(
+    "SELECT s_suppkey AS feature, round(-47 + s_suppkey % 300 * 0.01::DOUBLE, 7) + 0.0 AS lon, "
+    "round(-24 + s_suppkey % 170 * 0.02::DOUBLE, 7) + 0.0 AS lat, CASE WHEN s_suppkey % 300 = 200 THEN 500000.0::DOUBLE END AS on_meridian FROM supplier"
+)
 def projection_round_trip(spark, d):
     """Degrees to metres and back; on the zone's central meridian the easting is 500 km."""
     key = F.col("s_suppkey")
@@ -187,7 +210,8 @@ def projection_round_trip(spark, d):
 
 
 @query(
-    "WITH h AS (SELECT s_suppkey AS feature, s_suppkey * 37 % 900 // 10 * 10 AS x, s_suppkey * 53 % 900 // 10 * 10 AS y FROM supplier) SELECT feature, CAST(100 - 16 + 4 AS BIGINT) AS pixels, CAST(x // 10 AS INTEGER) AS first_col, CAST((900 - y) // 10 AS INTEGER) AS first_row FROM h"
+    "WITH h AS (SELECT s_suppkey AS feature, s_suppkey * 37 % 900 // 10 * 10 AS x, s_suppkey * 53 % 900 // 10 * 10 AS y FROM supplier) SELECT feature, "
+    "CAST(100 - 16 + 4 AS BIGINT) AS pixels, CAST(x // 10 AS INTEGER) AS first_col, CAST((900 - y) // 10 AS INTEGER) AS first_row FROM h"
 )
 def rasterize_holes(spark, d):
     """A square of 10 x 10 cells with a hole of 4 x 4 in which an island of 2 x 2 lies (the second polygon of a multipolygon)."""
@@ -211,7 +235,10 @@ def total_loss(spark, d):
 
 
 @query(
-    "SELECT n_nationkey AS k, CAST(CASE WHEN n_nationkey % 3 = 0 THEN 2018 ELSE 2018 + n_nationkey % 5 END AS INTEGER) AS year, CAST(make_date(2018 + n_nationkey % 5, 1, 1) AS VARCHAR) AS first_day, CAST(make_date(2018 + n_nationkey % 5, 12, 31) AS VARCHAR) AS last_day, 'mask_x_310044_2018_t028' AS mask, 'sentinel2_310044_2018-01-01_2018-12-31.tif' AS mosaic, 'composite_310044_2018' AS composite FROM nation"
+    "SELECT n_nationkey AS k, CAST(CASE WHEN n_nationkey % 3 = 0 THEN 2018 ELSE 2018 + n_nationkey % 5 END AS INTEGER) AS year, "
+    "CAST(make_date(2018 + n_nationkey % 5, 1, 1) AS VARCHAR) AS first_day, "
+    "CAST(make_date(2018 + n_nationkey % 5, 12, 31) AS VARCHAR) AS last_day, 'mask_x_310044_2018_t028' AS mask, "
+    "'sentinel2_310044_2018-01-01_2018-12-31.tif' AS mosaic, 'composite_310044_2018' AS composite FROM nation"
 )
 def names_and_years(spark, d):
     key = F.col("n_nationkey")
@@ -240,7 +267,10 @@ def fingerprints(spark, d):
     return table(spark, d, "nation").select(F.col("n_nationkey").alias("k"), F.lit(S.fingerprint({"b": "x", "a": [1, 2]})).alias("mark"))
 
 
-@query(f"WITH {PATCHES_SQL} SELECT vec_id, CAST((row_number() OVER (PARTITION BY fold ORDER BY md5('42:' || vec_id), vec_id) - 1) // 16 AS BIGINT) AS batch FROM patches")
+@query(
+    f"WITH {PATCHES_SQL} SELECT vec_id, CAST((row_number() OVER (PARTITION BY fold ORDER BY md5('42:' || vec_id), vec_id) - 1) // 16 AS BIGINT) AS batch "
+    f"FROM patches"
+)
 def batch_numbers(spark, d):
     """A seeded shuffle dealt to batches of 16 within each fold."""
     return folds.batches(patch_view(spark, d), 16, Q.SETTINGS.seed, "vec_id", ["fold"]).select("vec_id", "batch")
@@ -272,22 +302,31 @@ def further_remaps(spark, d):
 @query(
     "WITH v AS ("
     + " UNION ALL ".join(f"SELECT '{b}' AS band, {c} AS x FROM lineitem" for b, c in Q.LI.items())
-    + "), e AS (SELECT band, min(x) AS a, max(x) AS z FROM v GROUP BY 1), h AS (SELECT band, CAST(least(floor((x - a) * 32 / (z - a)), 31) AS INTEGER) AS bin, count(*) AS n FROM v JOIN e USING (band) GROUP BY 1, 2) "
-    "SELECT e.band AS band, CAST(b AS INTEGER) AS bin, coalesce(n, 0) AS n FROM e CROSS JOIN (SELECT unnest(range(32)) AS b) LEFT JOIN h ON h.band = e.band AND h.bin = b"
+    + "), e AS (SELECT band, min(x) AS a, max(x) AS z FROM v GROUP BY 1), h AS (SELECT band, "
+    "CAST(least(floor((x - a) * 32 / (z - a)), 31) AS INTEGER) AS bin, count(*) AS n FROM v JOIN e USING (band) GROUP BY 1, 2) "
+    "SELECT e.band AS band, CAST(b AS INTEGER) AS bin, coalesce(n, 0) AS n FROM e CROSS JOIN (SELECT unnest(range(32)) AS b) LEFT "
+    "JOIN h ON h.band = e.band AND h.bin = b"
 )
 def band_histograms(spark, d):
     li = table(spark, d, "lineitem").select(*[F.col(c).alias(b) for b, c in Q.LI.items()])
     return stats.band_histograms(li, BANDS, Q.SETTINGS.bins)
 
 
-@query(f"WITH {RASTER_SQL} SELECT CAST(height AS INTEGER) AS height, CAST(128 AS INTEGER) AS width, 'EPSG:31983' AS crs, CAST(4 AS INTEGER) AS bands, true AS aligned_to_mask, round(least(min(b2), min(b3), min(b4), min(b8)), 6) + 0.0 AS min_value, round(greatest(max(b2), max(b3), max(b4), max(b8)), 6) + 0.0 AS max_value FROM raster, size GROUP BY height")
+@query(
+    f"WITH {RASTER_SQL} SELECT CAST(height AS INTEGER) AS height, CAST(128 AS INTEGER) AS width, 'EPSG:31983' AS crs, "
+    f"CAST(4 AS INTEGER) AS bands, true AS aligned_to_mask, round(least(min(b2), min(b3), min(b4), min(b8)), 6) + 0.0 AS min_value, "
+    f"round(greatest(max(b2), max(b3), max(b4), max(b8)), 6) + 0.0 AS max_value FROM raster, size GROUP BY height"
+)
 def composite_verification(spark, d):
     whole, height = Q.raster(spark, d)
     own = grid.Grid(height, PER_ROW * SIDE, 10, 0, 300000, 0, -10, 7780000)
     return rounded(report.verify_composite(whole, own, own, BANDS))
 
 
-@query(f"WITH {RASTER_SQL} SELECT CAST(height AS INTEGER) AS height, CAST(128 AS INTEGER) AS width, 'EPSG:31983' AS crs, count(*) FILTER (b2 > 0) AS pixels, round(count(*) FILTER (b2 > 0) * 100 / 1e6, 6) + 0.0 AS area_km2 FROM raster, size GROUP BY height")
+@query(
+    f"WITH {RASTER_SQL} SELECT CAST(height AS INTEGER) AS height, CAST(128 AS INTEGER) AS width, 'EPSG:31983' AS crs, count(*) FILTER (b2 > 0) AS pixels, "
+    f"round(count(*) FILTER (b2 > 0) * 100 / 1e6, 6) + 0.0 AS area_km2 FROM raster, size GROUP BY height"
+)
 def mask_verification(spark, d):
     whole, height = Q.raster(spark, d)
     own = grid.Grid(height, PER_ROW * SIDE, 10, 0, 300000, 0, -10, 7780000)
@@ -326,9 +365,14 @@ def decision_record(spark, d):
 
 
 @query(
-    f"WITH {PATCHES_SQL}, f AS (SELECT fold, count(*) AS n FROM patches WHERE vec_id % 7 <> 0 GROUP BY 1), e AS (SELECT vec_id, embedding AS v FROM embeddings), x AS (SELECT min(list_min(v))::DOUBLE AS low, max(list_max(v))::DOUBLE AS high FROM e), b AS (SELECT count(*) AS n FROM embeddings WHERE vec_id % 50 = 0) "
-    "SELECT (SELECT count(*) FROM patches) AS n_patches, (SELECT count(DISTINCT row) FROM patches) AS n_tiles, (SELECT count(*) FROM patches) AS unique_patch_ids, 'emater' AS mask_sources, (SELECT string_agg(fold || ':' || n, ',' ORDER BY fold) FROM f) AS fold_distribution, (SELECT count(*) FROM patches) AS sample_size, "
-    "'float32,float64' AS dtypes, (SELECT n FROM b) AS n_shape_issues, '0,1,2' AS mask_values, round(low, 6) + 0.0 AS min_value, round(high, 6) + 0.0 AS max_value, 'rows without fold;unexpected shapes;mask is not binary' AS issues FROM x"
+    f"WITH {PATCHES_SQL}, f AS (SELECT fold, count(*) AS n FROM patches WHERE vec_id % 7 <> 0 GROUP BY 1), e AS (SELECT vec_id, embedding AS v "
+    f"FROM embeddings), x AS (SELECT min(list_min(v))::DOUBLE AS low, max(list_max(v))::DOUBLE AS high FROM e), b AS (SELECT count(*) AS n "
+    f"FROM embeddings WHERE vec_id % 50 = 0) "
+    "SELECT (SELECT count(*) FROM patches) AS n_patches, (SELECT count(DISTINCT row) FROM patches) AS n_tiles, (SELECT count(*) "
+    "FROM patches) AS unique_patch_ids, 'emater' AS mask_sources, (SELECT string_agg(fold || ':' || n, ',' ORDER BY fold) "
+    "FROM f) AS fold_distribution, (SELECT count(*) FROM patches) AS sample_size, "
+    "'float32,float64' AS dtypes, (SELECT n FROM b) AS n_shape_issues, '0,1,2' AS mask_values, round(low, 6) + 0.0 AS min_value, "
+    "round(high, 6) + 0.0 AS max_value, 'rows without fold;unexpected shapes;mask is not binary' AS issues FROM x"
 )
 def sanity_report(spark, d):
     """A manifest with holes in its folds, and arrays of two types, some of another shape, with a mask that holds 2."""
@@ -365,7 +409,8 @@ def containment(spark, d):
 
 
 @query(
-    "SELECT * FROM (VALUES ('emater', CAST(2018 AS INTEGER), CAST(5 AS INTEGER), CAST(42 AS INTEGER), 'm1', CAST(16 AS INTEGER), true, true, false)) AS t(source, year, folds, seed, manifest, batch, has_versions, current, stale)"
+    "SELECT * FROM (VALUES ('emater', CAST(2018 AS INTEGER), CAST(5 AS INTEGER), CAST(42 AS INTEGER), 'm1', "
+    "CAST(16 AS INTEGER), true, true, false)) AS t(source, year, folds, seed, manifest, batch, has_versions, current, stale)"
 )
 def run_metadata(spark, d):
     """What a run and a division into folds rest on, and the gate that these facts make."""
@@ -400,7 +445,11 @@ def mask_geotiff_meta(spark, d):
     return geotiff.read_geotiff_meta(spark, path).select("raster_id", "crs", F.col("transform.c").alias("x"), F.col("transform.f").alias("y"), "height", "width", "dtype", "bands")
 
 
-@query("SELECT 'a' || r_regionkey || '.npy' AS name, (r_regionkey + 1) || 'x3' AS shape, CASE WHEN r_regionkey % 2 = 0 THEN 'float32' ELSE 'uint8' END AS dtype, CAST((r_regionkey + 1) * 3 * ((r_regionkey + 1) * 3 - 1) / 2 AS DOUBLE) AS total FROM region")
+@query(
+    "SELECT 'a' || r_regionkey || '.npy' AS name, (r_regionkey + 1) || 'x3' AS shape, "
+    "CASE WHEN r_regionkey % 2 = 0 THEN 'float32' ELSE 'uint8' END AS dtype, "
+    "CAST((r_regionkey + 1) * 3 * ((r_regionkey + 1) * 3 - 1) / 2 AS DOUBLE) AS total FROM region"
+)
 def arrays_read(spark, d):
     kept = store(spark, "arrays_read")
     for r in table(spark, d, "region").collect():  # five rows at every size
@@ -412,7 +461,10 @@ def arrays_read(spark, d):
     return rows.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.concat_ws("x", F.col("shape").cast("array<string>")).alias("shape"), "dtype", total.alias("total"))
 
 
-@query("SELECT vec_id, CAST(len(embedding) AS INTEGER) AS n, round(list_sum(list_transform(embedding, lambda v: CAST(v AS DOUBLE))), 6) + 0.0 AS total FROM embeddings")
+@query(
+    "SELECT vec_id, CAST(len(embedding) AS INTEGER) AS n, round(list_sum(list_transform(embedding, lambda v: CAST(v AS DOUBLE))), 6) + 0.0 AS total "
+    "FROM embeddings"
+)
 def patch_arrays(spark, d):
     """A row of arrays a patch, written and read."""
     image = F.transform("embedding", lambda v: v.cast("float"))
@@ -420,7 +472,12 @@ def patch_arrays(spark, d):
     return rounded(spark.read.parquet(path).select("vec_id", F.size("image").alias("n"), F.aggregate("image", F.lit(0.0), lambda a, v: a + v.cast("double")).alias("total")))
 
 
-@query("SELECT * FROM (VALUES (CAST(2025 AS INTEGER), 'composite_310044_2025', 'mask_mapbiomas_310044_2025', 'mapbiomas'), (2024, 'composite_310044_2024', 'mask_alphaearth_310044_2024_t028', 'alphaearth'), (2018, 'composite_310044_2018', 'mask_emater_310044_2018', 'emater')) AS t(year, composite, mask, source)")
+@query(
+    "SELECT * "
+    "FROM (VALUES (CAST(2025 AS INTEGER), 'composite_310044_2025', 'mask_mapbiomas_310044_2025', 'mapbiomas'), (2024, 'composite_310044_2024', "
+    "'mask_alphaearth_310044_2024_t028', 'alphaearth'), (2018, 'composite_310044_2018', 'mask_emater_310044_2018', 'emater')) AS t(year, composite, mask, "
+    "source)"
+)
 def year_lookup(spark, d):
     return rows_of(spark, "year int, composite string, mask string, source string", [(y, *report.composite_and_mask(Q.SETTINGS, y)) for y in (2025, 2024, 2018)])
 
@@ -445,7 +502,9 @@ _E, _N = _utm_sql("lon", "lat")
 
 
 @query(
-    f"WITH {RASTER_SQL}, t AS (SELECT CAST(i // 64 AS INTEGER) AS row, CAST(i % 64 AS INTEGER) AS col FROM (SELECT unnest(range(4096)) AS i)), p AS (SELECT row, col, -46.9352::DOUBLE + (col + 0.5) * 0.0002::DOUBLE AS lon, -20.0650::DOUBLE - (row + 0.5) * 0.0002::DOUBLE AS lat FROM t), "
+    f"WITH {RASTER_SQL}, t AS (SELECT CAST(i // 64 AS INTEGER) AS row, CAST(i % 64 AS INTEGER) AS col "
+    f"FROM (SELECT unnest(range(4096)) AS i)), p AS (SELECT row, col, -46.9352::DOUBLE + (col + 0.5) * 0.0002::DOUBLE AS lon, "
+    f"-20.0650::DOUBLE - (row + 0.5) * 0.0002::DOUBLE AS lat FROM t), "
     f"m AS (SELECT row, col, CAST(floor((7780000 - {_N}) / 10) AS INTEGER) AS r, CAST(floor(({_E} - 297500) / 10) AS INTEGER) AS c FROM p) SELECT m.row, m.col, CASE WHEN coalesce(b2, -1) > 0 THEN 1 ELSE 0 END AS m FROM m LEFT JOIN raster ON raster.row = r AND raster.col = c"
 )
 def raster_reprojection(spark, d):
