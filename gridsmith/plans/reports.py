@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import json
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -19,6 +20,7 @@ from gridsmith.plans.views import patches as patch_view
 from gridsmith.schemas import BANDS, Settings, Source
 from gridsmith.sources import geotiff, readers, shapefile
 from gridsmith.sources.store import Store, shared_folder
+from gridsmith.streaming import metrics
 
 RASTER_SQL = f"{PX_SQL}, raster AS (SELECT vec_id, CAST(vec_id // 32 * 4 + row AS INTEGER) AS row, CAST(vec_id % 32 * 4 + col AS INTEGER) AS col, b2, b3, b4, b8 FROM px), size AS (SELECT (max(vec_id) // 32 + 1) * 4 AS height FROM embeddings)"
 
@@ -532,6 +534,40 @@ def shapefile_area(spark, d):
     return vector.rasterize(one, ["region", "side"], 0.0, 10.0, 1.0, 10, 10).groupBy("region", "side").agg(F.count("*").alias("pixels"))
 
 
+def _streamed(spark: SparkSession, name: str, rows: DataFrame, scores: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What a stream over two files holds when all of them have arrived, a file a trigger."""
+    kept = store(spark, name)
+    path = kept.write_table("rows", rows.repartition(2), {"columns": rows.columns})
+    arriving = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    view = f"{name}_{uuid.uuid4().hex}"
+    sink = scores(arriving).writeStream.outputMode("complete").format("memory").queryName(view)
+    sink.option("checkpointLocation", f"{kept.root}/{view}").trigger(availableNow=True).start().awaitTermination()
+    return spark.table(view)
+
+
+@query(Q._counts_sql("fold"))
+def streaming_scores(spark, d):
+    """Scores by fold over predictions that arrive in batches: those of all of them at once."""
+    rows = px(spark, d).select("fold", "b2", "b3")
+    return rounded(_streamed(spark, "streaming_scores", rows, lambda s: metrics.streaming_scores(s, S.positive(F.col("b2") * 10), F.col("b3") > 0, ("fold",))))
+
+
+@query(
+    "WITH c AS (SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, count(*) FILTER (value < 20 AND event_type = 'view') AS tp, "
+    "count(*) FILTER (value < 20 AND event_type <> 'view') AS fp, count(*) FILTER (value >= 20 AND event_type = 'view') AS fn FROM events GROUP BY 1) "
+    "SELECT day, tp, fp, fn, round(coalesce(tp / nullif(tp + fp + fn, 0)::DOUBLE, 1.0), 6) + 0.0 AS iou FROM c"
+)
+def streaming_windows(spark, d):
+    """Scores of tumbling days, with a watermark that keeps all of them."""
+    # Whole days since 1970 in whatever time zone the session has.
+    seconds = F.expr("timestampdiff(SECOND, timestamp_ntz '1970-01-01 00:00:00', CAST(ts AS TIMESTAMP_NTZ))")
+    rows = table(spark, d, "events").select(F.timestamp_seconds(seconds).alias("ts"), "value", "event_type")
+    scores = lambda s: metrics.windowed_scores(s, F.col("value") < 20, F.col("event_type") == "view", "ts", "1 day", "400 days")
+    found = _streamed(spark, "streaming_windows", rows, scores)
+    day = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(F.unix_seconds("window.start") / 86_400).cast("int"))
+    return rounded(found.select(day.cast("string").alias("day"), "tp", "fp", "fn", "iou"))
+
+
 GUARDS = (
     "an empty source", "too few points", "no feature", "several features", "an empty fold", "distinct grids", "a singular transform", "no weights", "an unknown mask kind", "an unknown move", "one mask",
     "a mask with a 2", "settings without keys", "a chosen source that is off", "a missing table", "an unknown resampling", "a nested folder", "an unknown chosen source", "a year without source", "no TIFF file", "no shapefile",
