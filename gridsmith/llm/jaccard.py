@@ -337,7 +337,8 @@ def _links(frame: DataFrame, sized: DataFrame, block: tuple[int, int]) -> DataFr
     split = cut(total.join(rest, "label").select("label", F.ceil(F.col("total") / F.col("size")).cast("int").alias("others"), F.ceil(F.col("rest") / F.col("size")).cast("int").alias("parts")))
     one = large.select("doc_id", "label").join(split, "label").select("doc_id", "label", _spread("doc_id", "others", 2).alias("i"), F.explode(_all_blocks("parts")).alias("j"))
     two = apart.select("doc_id", "label").join(split, "label").select("doc_id", "label", F.explode(_all_blocks("others")).alias("i"), _spread("doc_id", "parts", 3).alias("j"))
-    met = _texts(frame, one.unionByName(two).distinct()).groupBy("label", "i", "j")
+    # Dealt by document before the distinct: else it would lean on the join's partitions by label, and AQE could not split them.
+    met = _texts(frame, one.unionByName(two).repartition("doc_id").distinct()).groupBy("label", "i", "j")
     return found.unionByName(met.applyInArrow(_verify, "a long, b long"))
 
 
