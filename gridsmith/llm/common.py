@@ -65,12 +65,12 @@ def even_keys(spark: SparkSession, rounds: int = 1) -> list[int]:
 PART_BYTES = 24 << 20
 
 
-def buckets_and_parts(frame: DataFrame, part_bytes: int = PART_BYTES) -> tuple[list[int], int]:
-    """Keys of the buckets and the number of parts, for texts of the measured size."""
+def buckets_and_parts(frame: DataFrame, part_bytes: int = PART_BYTES, spread: int = 3) -> tuple[list[int], int]:
+    """Keys of the buckets and the number of parts, for texts of the measured size: at least `spread` parts for each shuffle partition, to even them out."""
     spark = frame.sparkSession
     size = frame.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     width = shuffle_width(spark)
-    return even_keys(spark, max(1, -(-size // (part_bytes * width)))), max(3 * width, -(-size // part_bytes))
+    return even_keys(spark, max(1, -(-size // (part_bytes * width)))), max(spread * width, -(-size // part_bytes))
 
 
 def part_of(width: int) -> Column:

@@ -36,6 +36,9 @@ ignored.
 
 from __future__ import annotations
 
+import struct
+from collections import defaultdict
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -95,41 +98,65 @@ class Part:
         return out
 
     def requests(self, part: int, keys: list[int], orders: dict[int, np.ndarray]) -> list[tuple]:
-        """Rows for every bucket: a list of distinct n-grams of an order, those that the given flags choose, and their training counts."""
+        """A row for each bucket: for every order given its distinct n-grams, those that the flags choose, and their training counts. Only a bucket of words must be asked in any case."""
         counts = self.counts()
-        rows = []
+        rows: list[tuple] = [(key, part, [], [], []) for key in keys]
+        empty = np.ones(len(keys), bool)
         for k, chosen in orders.items():
             table, count = self.table[k][chosen], counts[k][chosen]
-            rows += [(key, part, k, steps(table[s]), planes(count[s])) for key, s in zip(keys, ranges(table, len(keys)), strict=True)]
-        return rows
+            for b, s in enumerate(ranges(table, len(keys))):
+                empty[b] &= s.stop == s.start and k > 0
+                for column, value in zip(rows[b][2:], (k, steps(table[s]), planes(count[s])), strict=True):
+                    column.append(value)
+        return [row for row, none in zip(rows, empty.tolist(), strict=True) if not none]
 
 
 def total_requests(rows: list[tuple]) -> list[tuple]:
-    """One bucket's requests of all parts, added up: answers for each part in its own order, twice the count and 1 where others hold the n-gram too, with the bucket's share of N and V."""
-    answers = []
-    for k in sorted({row[2] for row in rows}):
-        own = [row for row in rows if row[2] == k]
-        grams = [unsteps(row[3]) for row in own]
+    """One bucket's requests of all parts, added up: answers for each part in its own order, counts and which n-grams others hold too, with the bucket's share of N and V."""
+    answers: list[tuple] = [(row[1], row[0], row[2], [], []) for row in rows]
+    n = v = 0
+    for at, k in enumerate(rows[0][2]):
+        grams = [unsteps(row[3][at]) for row in rows]
         distinct, inverse = np.unique(np.concatenate(grams), return_inverse=True)
-        total = np.bincount(inverse, np.concatenate([unplanes(row[4]) for row in own]), len(distinct)).astype(np.int64)
-        n, v = (int(total.sum()), int((total > 0).sum())) if k == 0 else (0, 0)
-        told = 2 * total + (np.bincount(inverse, minlength=len(distinct)) > 1)
+        total = np.bincount(inverse, np.concatenate([unplanes(row[4][at]) for row in rows]), len(distinct)).astype(np.int64)
+        shared = np.bincount(inverse, minlength=len(distinct)) > 1
+        if k == 0:
+            n, v = int(total.sum()), int((total > 0).sum())
         ends = np.cumsum([len(g) for g in grams]).tolist()
-        answers += [(row[1], row[0], k, planes(told[inverse[end - len(some) : end]]), n, v) for row, some, end in zip(own, grams, ends, strict=True)]
-    return answers
+        for answer, some, end in zip(answers, grams, ends, strict=True):
+            mine = inverse[end - len(some) : end]
+            answer[3].append(planes(total[mine]))
+            answer[4].append(_bits(shared[mine]))
+    return [(*answer, n, v) for answer in answers]
+
+
+def _bits(flags: np.ndarray) -> bytes:
+    return struct.pack("<I", len(flags)) + np.packbits(flags).tobytes()
+
+
+def _flags(blob: bytes) -> np.ndarray:
+    many = struct.unpack("<I", blob[:4])[0]
+    return np.unpackbits(np.frombuffer(blob, "u1", offset=4), count=many).astype(bool)
 
 
 class Told:
-    """What the buckets answered a part."""
+    """What the buckets answered a part: counts (where they were sent along) and flags by order, in the order of its requests."""
 
     def __init__(self, answers: pa.Table, keys: list[int]):
         place = {key: b for b, key in enumerate(keys)}
-        rows = sorted(answers.to_pylist(), key=lambda r: (r["order"], place[r["bucket"]]))
-        whole = lambda k: np.concatenate([unplanes(r["told"]) for r in rows if r["order"] == k])
-        told = {k: whole(k) for k in {r["order"] for r in rows}}
-        self.count = {k: (x >> np.uint64(1)).astype(np.int64) for k, x in told.items()}
-        self.shared = {k: (x & np.uint64(1)).astype(bool) for k, x in told.items()}
-        self.n, self.v = sum(r["n"] for r in rows), sum(r["v"] for r in rows)
+        rows = sorted(answers.to_pylist(), key=lambda r: (r["orders"], place[r["bucket"]]))
+        parts: dict[int, tuple[list, list]] = {}
+        for r in rows:
+            for at, k in enumerate(r["orders"]):
+                count, shared = parts.setdefault(k, ([], []))
+                if "counts" in r:
+                    count.append(unplanes(r["counts"][at]).astype(np.int64))
+                shared.append(_flags(r["shared"][at]))
+        whole = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
+        none = (np.zeros(0, np.int64), np.zeros(0, bool))
+        self.count = defaultdict(lambda: none[0], {k: whole(c, np.int64) for k, (c, _) in parts.items()})
+        self.shared = defaultdict(lambda: none[1], {k: whole(f, bool) for k, (_, f) in parts.items()})
+        self.n, self.v = (sum(r.get(c, 0) for r in rows) for c in ("n", "v"))
 
     def counts(self, part: Part) -> list[np.ndarray]:
         """Corpus counts of the part's tables: answered, or the part's own where no other holds the n-gram."""
@@ -188,12 +215,15 @@ class Automaton:
 
 
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-_ASKED = [("bucket", pa.int32()), ("part", pa.int32()), ("order", pa.int32()), ("grams", pa.binary()), ("many", pa.binary())]
-_ANSWERED = [("part", pa.int32()), ("bucket", pa.int32()), ("order", pa.int32()), ("told", pa.binary()), ("n", pa.int64()), ("v", pa.int64())]
+_INTS, _BLOBS = pa.list_(pa.int32()), pa.list_(pa.binary())
+_ASKED = [("bucket", pa.int32()), ("part", pa.int32()), ("orders", _INTS), ("grams", _BLOBS), ("many", _BLOBS)]
+_ANSWERED = [("part", pa.int32()), ("bucket", pa.int32()), ("orders", _INTS), ("counts", _BLOBS), ("shared", _BLOBS), ("n", pa.int64()), ("v", pa.int64())]
+#: Bytes of text of a part; its n-grams take some twenty times as much while they are sorted.
+PART_BYTES = 40 << 20
 
 
 def _schema(fields: list[tuple[str, pa.DataType]]) -> str:
-    names = {pa.int32(): "int", pa.int64(): "long", pa.binary(): "binary"}
+    names = {pa.int32(): "int", pa.int64(): "long", _INTS: "array<int>", _BLOBS: "array<binary>"}
     return ", ".join(f"{name} {names[kind]}" for name, kind in fields)
 
 
@@ -204,7 +234,7 @@ def _table(rows: list[tuple], fields: list[tuple[str, pa.DataType]]) -> pa.Table
 def score_documents(docs: DataFrame) -> DataFrame:
     """The rows that op2 returns."""
     frame = id_and_text(docs)
-    keys, width = buckets_and_parts(frame)
+    keys, width = buckets_and_parts(frame, PART_BYTES, 2)
     held = F.coalesce(bucket_of(F.col("doc_id"), 10) == 0, F.lit(False))
     parts = frame.withColumn("held_out", held).withColumn("part", part_of(width))
     texts_of = lambda group: Part(group.column("text").to_pylist(), group.column("held_out").to_pylist())
@@ -242,6 +272,8 @@ def score_documents(docs: DataFrame) -> DataFrame:
     total = lambda asked: asked.groupBy("bucket").applyInArrow(answer, _schema(_ANSWERED))
     answers = total(parts.groupBy("part").applyInArrow(ask, _schema(_ASKED)))
     for k in range(FIRST, ORDER):
-        longer = parts.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(ask_longer(k), _schema(_ASKED))
+        # Only the flags travel for this.
+        flags = answers.select("part", "bucket", "orders", "shared")
+        longer = parts.groupBy("part").cogroup(flags.groupBy("part")).applyInArrow(ask_longer(k), _schema(_ASKED))
         answers = answers.unionByName(total(longer))
     return parts.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(score, SCORES)
