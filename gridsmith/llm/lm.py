@@ -219,7 +219,7 @@ _INTS, _BLOBS = pa.list_(pa.int32()), pa.list_(pa.binary())
 _ASKED = [("bucket", pa.int32()), ("part", pa.int32()), ("orders", _INTS), ("grams", _BLOBS), ("many", _BLOBS)]
 _ANSWERED = [("part", pa.int32()), ("bucket", pa.int32()), ("orders", _INTS), ("counts", _BLOBS), ("shared", _BLOBS), ("n", pa.int64()), ("v", pa.int64())]
 #: Bytes of text of a part; its n-grams take some twenty times as much while they are sorted.
-PART_BYTES = 40 << 20
+PART_BYTES = 36 << 20
 
 
 def _schema(fields: list[tuple[str, pa.DataType]]) -> str:
@@ -234,7 +234,7 @@ def _table(rows: list[tuple], fields: list[tuple[str, pa.DataType]]) -> pa.Table
 def score_documents(docs: DataFrame) -> DataFrame:
     """The rows that op2 returns."""
     frame = id_and_text(docs)
-    keys, width = buckets_and_parts(frame, PART_BYTES, 2)
+    keys, width = buckets_and_parts(frame, PART_BYTES, 1)
     held = F.coalesce(bucket_of(F.col("doc_id"), 10) == 0, F.lit(False))
     parts = frame.withColumn("held_out", held).withColumn("part", part_of(width))
     texts_of = lambda group: Part(group.column("text").to_pylist(), group.column("held_out").to_pylist())
