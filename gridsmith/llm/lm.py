@@ -219,7 +219,7 @@ _INTS, _BLOBS = pa.list_(pa.int32()), pa.list_(pa.binary())
 _ASKED = [("bucket", pa.int32()), ("part", pa.int32()), ("orders", _INTS), ("grams", _BLOBS), ("many", _BLOBS)]
 _ANSWERED = [("part", pa.int32()), ("bucket", pa.int32()), ("orders", _INTS), ("counts", _BLOBS), ("shared", _BLOBS), ("n", pa.int64()), ("v", pa.int64())]
 #: Bytes of text of a part; its n-grams take some twenty times as much while they are sorted.
-PART_BYTES = 36 << 20
+PART_BYTES = 28 << 20
 
 
 def _schema(fields: list[tuple[str, pa.DataType]]) -> str:
