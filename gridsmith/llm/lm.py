@@ -68,7 +68,8 @@ class Part:
         inner = np.ones(len(token), bool)
         inner[ends - 1] = False
         token[inner] = word
-        self.doc = np.repeat(np.arange(len(texts)), self.size)
+        # Four bytes a place: a part's tokens are far fewer than 2^31.
+        self.doc = np.repeat(np.arange(len(texts), dtype=np.int32), self.size)
         self.train = ~np.array(held, bool)[self.doc]
         place = np.arange(len(token)) - np.repeat(ends - self.size, self.size)
         self.at, self.table, self.index = [], [], []
@@ -78,11 +79,11 @@ class Part:
                 longer = np.zeros(len(token), np.uint64)
                 longer[1:] = stir(number[:-1] * _A + token[1:] * _B + np.uint64(k))
                 number = longer
-            at = np.flatnonzero(place >= k)
+            at = np.flatnonzero(place >= k).astype(np.int32)
             table, index = np.unique(number[at], return_inverse=True)
             self.at.append(at)
             self.table.append(table)
-            self.index.append(index)
+            self.index.append(index.astype(np.int32))
 
     def counts(self) -> list[np.ndarray]:
         """The part's own training counts of each table."""
@@ -219,7 +220,7 @@ _INTS, _BLOBS = pa.list_(pa.int32()), pa.list_(pa.binary())
 _ASKED = [("bucket", pa.int32()), ("part", pa.int32()), ("orders", _INTS), ("grams", _BLOBS), ("many", _BLOBS)]
 _ANSWERED = [("part", pa.int32()), ("bucket", pa.int32()), ("orders", _INTS), ("counts", _BLOBS), ("shared", _BLOBS), ("n", pa.int64()), ("v", pa.int64())]
 #: Bytes of text of a part; its n-grams take some twenty times as much while they are sorted.
-PART_BYTES = 28 << 20
+PART_BYTES = 24 << 20
 
 
 def _schema(fields: list[tuple[str, pa.DataType]]) -> str:
